@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tabforge import fixtures as fx
 from tabforge.fixtures import LINEITEM_KEYS as LK
-from tabforge.operators import checks, normalize, outliers, profile, select
+from tabforge.operators import checks, metrics, normalize, outliers, profile, sampling, select
 from tabforge.operators.encode import (build_input_schema, encode_features, label_classes, one_hot)
 from tabforge.operators.impute import drop_rows_any_null, impute
 
@@ -162,6 +162,62 @@ def q_prep_flow(spark, d):
     return r6(res.table)
 
 
+# ------------------------------------------------------------------ step 5
+def _high(spark, d):
+    return normalize.integrate(fx.fx_high(spark, d))
+
+
+def q_undersample(spark, d):
+    df = normalize.integrate(fx.fx_imbalanced(spark, d))
+    return sampling.undersample(df, "quality", keys=["doc_id"])
+
+
+def q_split_random(spark, d):
+    return r6(sampling.split(_high(spark, d), "is_high", LK, test_size=0.2, stratify=False))
+
+
+def q_split_stratified(spark, d):
+    return r6(sampling.split(_high(spark, d), "is_high", LK, test_size=0.3, stratify=True))
+
+
+def q_kfold_assign(spark, d):
+    return r6(sampling.kfold(_high(spark, d), "is_high", LK, k=5))
+
+
+def q_class_drift(spark, d):
+    sp = sampling.split(_high(spark, d), "is_high", LK, test_size=0.3, stratify=True)
+    return sampling.class_drift(sp, "is_high")
+
+
+def q_split_recommendation(spark, d):
+    return profile.split_recommendation(_high(spark, d), "is_high")
+
+
+# ------------------------------------------------------------------ step 6
+def _rule(spark, d):
+    return fx.fx_rule_scores(spark, d)
+
+
+def q_confusion_matrix(spark, d):
+    return metrics.confusion(_rule(spark, d), "l_linestatus", "prediction")
+
+
+def q_weighted_metrics(spark, d):
+    return r6(metrics.weighted_metrics(_rule(spark, d), "l_linestatus", "prediction"))
+
+
+def q_classification_report(spark, d):
+    return r6(metrics.classification_report(_rule(spark, d), "l_linestatus", "prediction"))
+
+
+def q_roc_points(spark, d):
+    return r6(metrics.roc_points(_rule(spark, d), "l_linestatus", "score", positive="O"))
+
+
+def q_roc_auc(spark, d):
+    return r6(metrics.roc_auc(_rule(spark, d), "l_linestatus", "score", positive="O"))
+
+
 QUERIES = {
     "normalize_strings": q_normalize_strings,
     "coerce_numeric": q_coerce_numeric,
@@ -186,4 +242,15 @@ QUERIES = {
     "target_corr": q_target_corr,
     "select_features": q_select_features,
     "prep_flow": q_prep_flow,
+    "undersample": q_undersample,
+    "split_random": q_split_random,
+    "split_stratified": q_split_stratified,
+    "kfold_assign": q_kfold_assign,
+    "class_drift": q_class_drift,
+    "split_recommendation": q_split_recommendation,
+    "confusion_matrix": q_confusion_matrix,
+    "weighted_metrics": q_weighted_metrics,
+    "classification_report": q_classification_report,
+    "roc_points": q_roc_points,
+    "roc_auc": q_roc_auc,
 }

@@ -212,6 +212,114 @@ WHERE NOT EXISTS (SELECT 1 FROM f WHERE q3 - q1 > 0 AND (
   (f.column_name = 'l_charge' AND (fx.l_charge < q1 - 3 * (q3 - q1) OR fx.l_charge > q3 + 3 * (q3 - q1)))))""",
                     f", f AS ({_fences(_FENCE_COLS)})")
 
+# ----------------------------------------------------------------- step 5
+def md5_key(keys, seed=42):
+    return "md5(concat_ws('|', '" + str(seed) + "', " + ", ".join(
+        f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys) + "))"
+
+
+_LK = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_HIGH_OUT = (f"{K}, round(l_quantity, 6) AS l_quantity, round(l_extendedprice, 6) AS l_extendedprice, "
+             "round(l_discount, 6) AS l_discount, round(l_tax, 6) AS l_tax, "
+             f"{clean('l_returnflag', 'l_returnflag')}, round(l_charge, 6) AS l_charge, is_high")
+
+UNDERSAMPLE = with_fx("fx_imbalanced", f"""
+SELECT doc_id, n_chars, {clean('lang', 'lang')}, {clean('source', 'source')}, quality FROM (
+  SELECT *, row_number() OVER (PARTITION BY quality ORDER BY {md5_key(['doc_id'])}, doc_id) - 1 AS rk FROM fx)
+WHERE rk < (SELECT min(n) FROM (SELECT count(*) AS n FROM fx GROUP BY quality))""")
+
+SPLIT_RANDOM = with_fx("fx_high", f"""
+SELECT {_HIGH_OUT}, CASE WHEN rk < (SELECT count(*) - ceil(0.2 * count(*)) FROM fx) THEN 'train' ELSE 'test' END AS split
+FROM (SELECT *, row_number() OVER (ORDER BY {md5_key(_LK)}, {K}) - 1 AS rk FROM fx)""")
+
+
+def _strat_alloc(test_size: float) -> str:
+    return f""",
+c AS (SELECT CAST(is_high AS VARCHAR) AS cls, count(*) AS n FROM fx GROUP BY 1),
+t AS (SELECT sum(n) AS total, sum(n) - ceil({test_size} * sum(n)) AS n_train FROM c),
+a AS (SELECT cls, n / total * n_train AS cont FROM c, t),
+fl AS (SELECT cls, floor(cont) AS base, cont - floor(cont) AS rem FROM a),
+alloc AS (SELECT cls, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, cls)
+                                   <= (SELECT n_train FROM t) - (SELECT sum(base) FROM fl) THEN 1 ELSE 0 END AS n_cut
+          FROM fl),
+r AS (SELECT *, row_number() OVER (PARTITION BY is_high ORDER BY {md5_key(_LK)}, {K}) - 1 AS rk FROM fx)"""
+
+
+SPLIT_STRATIFIED = with_fx("fx_high", f"""
+SELECT {_HIGH_OUT}, CASE WHEN rk < alloc.n_cut THEN 'train' ELSE 'test' END AS split
+FROM r JOIN alloc ON CAST(r.is_high AS VARCHAR) = alloc.cls""", _strat_alloc(0.3))
+
+KFOLD_ASSIGN = with_fx("fx_high", f"""
+SELECT {_HIGH_OUT}, CAST((o.off + rk) % 5 AS INTEGER) AS fold
+FROM r JOIN (SELECT cls, coalesce(sum(n) OVER (ORDER BY cls ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+             FROM c) o ON CAST(r.is_high AS VARCHAR) = o.cls""",
+    f""", c AS (SELECT CAST(is_high AS VARCHAR) AS cls, count(*) AS n FROM fx GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY is_high ORDER BY {md5_key(_LK)}, {K}) - 1 AS rk FROM fx)""")
+
+CLASS_DRIFT = with_fx("fx_high", """
+SELECT target_class, n_train, n_test, round(pt, 4) AS train_pct, round(pe, 4) AS test_pct,
+       round(abs(pt - pe), 4) AS drift, max(round(abs(pt - pe), 4)) OVER () AS max_drift,
+       max(round(abs(pt - pe), 4)) OVER () > 0.05 AS exceeds
+FROM (SELECT target_class, n_train, n_test, n_train / sum(n_train) OVER () AS pt, n_test / sum(n_test) OVER () AS pe
+      FROM (SELECT CAST(is_high AS VARCHAR) AS target_class,
+                   count(*) FILTER (WHERE split = 'train') AS n_train,
+                   count(*) FILTER (WHERE split = 'test') AS n_test
+            FROM (SELECT r.is_high, CASE WHEN rk < alloc.n_cut THEN 'train' ELSE 'test' END AS split
+                  FROM r JOIN alloc ON CAST(r.is_high AS VARCHAR) = alloc.cls) GROUP BY 1))""", _strat_alloc(0.3))
+
+SPLIT_RECOMMENDATION = with_fx("fx_high", """
+SELECT rows, majority_count, minority_count, coalesce(round(minority_count / majority_count, 4), 1.0) AS ratio,
+       CASE WHEN rows < 5000 THEN 0.2 WHEN rows < 20000 THEN 0.25 ELSE 0.3 END::DOUBLE AS test_size,
+       minority_count >= 2 AS stratify, 42 AS random_state
+FROM (SELECT sum(n) AS rows, max(n) AS majority_count, min(n) AS minority_count
+      FROM (SELECT is_high, count(*) AS n FROM fx WHERE is_high IS NOT NULL GROUP BY 1))""")
+
+# ----------------------------------------------------------------- step 6
+_CONF = """, cnt AS (SELECT l_linestatus AS actual, prediction AS predicted, count(*) AS n FROM fx GROUP BY 1, 2),
+cls AS (SELECT actual AS c FROM cnt UNION SELECT predicted FROM cnt),
+conf AS (SELECT a.c AS actual, p.c AS predicted, coalesce(cnt.n, 0) AS n FROM cls a CROSS JOIN cls p
+         LEFT JOIN cnt ON cnt.actual = a.c AND cnt.predicted = p.c),
+pc AS (SELECT c, tp, support, npred,
+              coalesce(tp / nullif(npred, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall
+       FROM (SELECT cls.c,
+                    (SELECT sum(n) FROM conf WHERE actual = cls.c AND predicted = cls.c) AS tp,
+                    (SELECT sum(n) FROM conf WHERE actual = cls.c) AS support,
+                    (SELECT sum(n) FROM conf WHERE predicted = cls.c) AS npred FROM cls)),
+pcf AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1
+        FROM pc)"""
+
+CONFUSION_MATRIX = with_fx("fx_rule_scores", "SELECT actual, predicted, n FROM conf", _CONF)
+
+WEIGHTED_METRICS = with_fx("fx_rule_scores", """
+SELECT round(sum(tp) / sum(support), 6) AS accuracy,
+       round(sum(precision * support) / sum(support), 6) AS precision_weighted,
+       round(sum(recall * support) / sum(support), 6) AS recall_weighted,
+       round(sum(f1 * support) / sum(support), 6) AS f1_weighted FROM pcf""", _CONF)
+
+CLASSIFICATION_REPORT = with_fx("fx_rule_scores", """
+SELECT c AS row_name, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       support FROM pcf
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6), sum(support) FROM pcf
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support) FROM pcf
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
+       round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), sum(support)
+FROM pcf""", _CONF)
+
+_SCORES = """, sc AS (SELECT score AS s, sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS pos,
+                      sum(CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END) AS neg FROM fx GROUP BY 1),
+cum AS (SELECT s, pos, neg,
+               coalesce(sum(pos) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_gt,
+               coalesce(sum(neg) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_gt
+        FROM sc)"""
+
+ROC_POINTS = with_fx("fx_rule_scores", """
+SELECT CAST(NULL AS DOUBLE) AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
+UNION ALL SELECT round(s, 6), round((neg_gt + neg) / (SELECT sum(neg) FROM sc), 6),
+       round((pos_gt + pos) / (SELECT sum(pos) FROM sc), 6) FROM cum""", _SCORES)
+
+ROC_AUC = with_fx("fx_rule_scores", """
+SELECT round(sum(neg * (pos_gt + pos / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc FROM cum""", _SCORES)
+
 ORACLE_SQL = {
     "normalize_strings": NORMALIZE_STRINGS,
     "coerce_numeric": COERCE_NUMERIC,
@@ -236,4 +344,15 @@ ORACLE_SQL = {
     "target_corr": TARGET_CORR,
     "select_features": SELECT_FEATURES,
     "prep_flow": PREP_FLOW,
+    "undersample": UNDERSAMPLE,
+    "split_random": SPLIT_RANDOM,
+    "split_stratified": SPLIT_STRATIFIED,
+    "kfold_assign": KFOLD_ASSIGN,
+    "class_drift": CLASS_DRIFT,
+    "split_recommendation": SPLIT_RECOMMENDATION,
+    "confusion_matrix": CONFUSION_MATRIX,
+    "weighted_metrics": WEIGHTED_METRICS,
+    "classification_report": CLASSIFICATION_REPORT,
+    "roc_points": ROC_POINTS,
+    "roc_auc": ROC_AUC,
 }
