@@ -91,7 +91,11 @@ def fx_rule_scores(spark, sf_dir):
 
 
 def fx_raw_new(spark, sf_dir):
-    li = fx_lineitem(spark, sf_dir)
+    return raw_new_projection(table(spark, sf_dir, "lineitem"))
+
+
+def raw_new_projection(li: DataFrame) -> DataFrame:
+    """fx_raw_new as a projection of lineitem (works on a streaming lineitem too)."""
     return li.select(
         *LINEITEM_KEYS,
         F.when(F.col("l_orderkey") % 13 == 0, None).otherwise(F.col("l_quantity")).alias("l_quantity"),

@@ -13,8 +13,11 @@ from pyspark.sql import types as T
 
 from tabforge import fixtures as fx
 from tabforge.fixtures import LINEITEM_KEYS as LK
-from tabforge.operators import checks, metrics, normalize, outliers, profile, sampling, select
-from tabforge.operators.encode import (build_input_schema, encode_features, label_classes, one_hot)
+from tabforge.operators import checks, gate, metrics, models, normalize, outliers, profile, sampling, select
+from tabforge.operators import score as score_mod
+from tabforge.operators.score import score_linear
+from tabforge.operators.encode import (build_input_schema, encode_features, label_classes, one_hot,
+                                      transform_raw)
 from tabforge.operators.impute import drop_rows_any_null, impute
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -218,6 +221,153 @@ def q_roc_auc(spark, d):
     return r6(metrics.roc_auc(_rule(spark, d), "l_linestatus", "score", positive="O"))
 
 
+# ------------------------------------------------------------------ step 7
+LINEAR_WEIGHTS = [0.02, 0.00001, -1.0, 2.0, 0.3, -0.2, 0.1]
+LINEAR_INTERCEPT = -1.2
+
+
+def _raw_schema(spark, d):
+    """Feature schema fitted on fx_lineitem (target l_linestatus), all features kept."""
+    enc, info = encode_features(normalize.integrate(fx.fx_lineitem(spark, d)), "one_hot_drop_first",
+                                "l_linestatus", keys=LK)
+    feats = [c for c in enc.columns if c != "l_linestatus" and c not in LK]
+    sch = build_input_schema(info["pre_encode"], info["groups"], feats, info["excluded"], LK)
+    classes = label_classes(normalize.integrate(fx.fx_lineitem(spark, d)), "l_linestatus")
+    return sch, feats, classes
+
+
+def q_transform_raw(spark, d):
+    sch, feats, _ = _raw_schema(spark, d)
+    return r6(transform_raw(fx.fx_raw_new(spark, d), sch, feats, passthrough=LK))
+
+
+def _linear_scored(spark, d, raw=None):
+    sch, feats, classes = _raw_schema(spark, d)
+    raw = fx.fx_raw_new(spark, d) if raw is None else raw
+    return score_linear(raw, sch, feats, LINEAR_WEIGHTS, LINEAR_INTERCEPT, classes)
+
+
+def q_score_linear(spark, d):
+    return r6(_linear_scored(spark, d))
+
+
+def q_low_confidence(spark, d):
+    return score_mod.low_confidence_count(_linear_scored(spark, d))
+
+
+def q_class_probabilities(spark, d):
+    _, _, classes = _raw_schema(spark, d)
+    return r6(score_mod.class_probabilities(_linear_scored(spark, d), LK, classes))
+
+
+# ------------------------------------------------------------------ step 9
+def _prepared_split(spark, d):
+    from tabforge.plans.prep import prepare
+    from tabforge.plans.stages import split_stage
+    res = prepare(fx.fx_high(spark, d), "is_high", keys=LK, balance="none")
+    sp = split_stage(res.table, "is_high", keys=LK)
+    return res, sp
+
+
+def _cand_frame(spark, cands):
+    reg = models.CandidateRegistry()
+    for c in cands:
+        reg.add(c)
+    return r6(reg.frame(spark))
+
+
+def q_train_lr(spark, d):
+    _, sp = _prepared_split(spark, d)
+    c = models.train_baseline(sp.train, "is_high", "logistic_regression",
+                              {"C": 1.0, "solver": "lbfgs", "max_iter": 1000, "random_state": 42}, keys=LK)
+    return _cand_frame(spark, [c])
+
+
+def q_train_rf(spark, d):
+    _, sp = _prepared_split(spark, d)
+    c = models.train_baseline(sp.train, "is_high", "random_forest",
+                              {"n_estimators": 50, "max_depth": 10, "random_state": 42}, keys=LK)
+    return _cand_frame(spark, [c])
+
+
+def q_train_gbt(spark, d):
+    _, sp = _prepared_split(spark, d)
+    c = models.train_baseline(sp.train, "is_high", "gradient_boosting",
+                              {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1, "random_state": 42},
+                              keys=LK)
+    return _cand_frame(spark, [c])
+
+
+def q_grid_search(spark, d):
+    _, sp = _prepared_split(spark, d)
+    c = models.tune(sp.train, "is_high", "random_forest", {"n_estimators": [20, 50], "max_depth": [5, 10]},
+                    fixed={"random_state": 42}, keys=LK)
+    rows = [(i, str(pt), sc) for i, (pt, sc) in enumerate(zip(c.extra["grid"], c.extra["cv_scores"]))]
+    return r6(spark.createDataFrame(rows, "grid_index int, params string, cv_f1_weighted double"))
+
+
+def q_best_candidate(spark, d):
+    from tabforge.plans.stages import train_stage
+    _, sp = _prepared_split(spark, d)
+    tr = train_stage(sp.train, "is_high", keys=LK)
+    return r6(tr.registry.frame(spark))
+
+
+def q_train_recommendation(spark, d):
+    return profile.train_recommendation(_high(spark, d), "is_high")
+
+
+# ----------------------------------------------------------------- step 10
+def _rule_split(spark, d):
+    return sampling.split(_rule(spark, d), "l_linestatus", LK, test_size=0.3, stratify=True)
+
+
+def _rule_signals(spark, d):
+    sp = _rule_split(spark, d)
+    tr = sp.where("split = 'train'")
+    te = sp.where("split = 'test'")
+    m_tr = metrics.weighted_metrics(tr, "l_linestatus", "prediction")
+    m_te = metrics.weighted_metrics(te, "l_linestatus", "prediction")
+    return gate.deploy_signals(m_tr, m_te, te, "l_linestatus")
+
+
+def q_deploy_signals(spark, d):
+    return r6(_rule_signals(spark, d))
+
+
+def q_deploy_branch(spark, d):
+    sig = _rule_signals(spark, d)
+    rec = gate.record_verdict(sig, " deploy ", "Reviewer accepts the rule scorer despite the low F1.")
+    return r6(gate.deploy_branch(rec))
+
+
+def q_run_log(spark, d):
+    from tabforge.plans.prep import prepare
+    res = prepare(fx.fx_high(spark, d), "is_high", keys=LK, balance="none", count_steps=True)
+    return res.log.steps_frame(spark).select("seq", "tool", "rows_before", "rows_after")
+
+
+def q_stage_validation(spark, d):
+    from tabforge.plans.prep import prepare
+    res = prepare(fx.fx_high(spark, d), "is_high", keys=LK, balance="none")
+    return checks.quality_checks(res.table, "is_high", keys=LK)
+
+
+# ----------------------------------------------------------------- step 11
+def q_end_to_end(spark, d):
+    from tabforge.plans.flow import end_to_end
+    return r6(end_to_end(spark, d).scored)
+
+
+def q_stream_score_equals_batch(spark, d):
+    from tabforge.streaming.score_stream import score_stream_once
+    sch, feats, classes = _raw_schema(spark, d)
+
+    def scorer(stream_df):
+        return score_linear(stream_df, sch, feats, LINEAR_WEIGHTS, LINEAR_INTERCEPT, classes)
+    return r6(score_stream_once(spark, f"{d}/lineitem.parquet", fx.raw_new_projection, scorer))
+
+
 QUERIES = {
     "normalize_strings": q_normalize_strings,
     "coerce_numeric": q_coerce_numeric,
@@ -253,4 +403,20 @@ QUERIES = {
     "classification_report": q_classification_report,
     "roc_points": q_roc_points,
     "roc_auc": q_roc_auc,
+    "transform_raw": q_transform_raw,
+    "score_linear": q_score_linear,
+    "low_confidence": q_low_confidence,
+    "class_probabilities": q_class_probabilities,
+    "train_lr": q_train_lr,
+    "train_rf": q_train_rf,
+    "train_gbt": q_train_gbt,
+    "grid_search": q_grid_search,
+    "best_candidate": q_best_candidate,
+    "train_recommendation": q_train_recommendation,
+    "deploy_signals": q_deploy_signals,
+    "deploy_branch": q_deploy_branch,
+    "run_log": q_run_log,
+    "stage_validation": q_stage_validation,
+    "end_to_end": q_end_to_end,
+    "stream_score_equals_batch": q_stream_score_equals_batch,
 }

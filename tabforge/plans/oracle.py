@@ -320,6 +320,123 @@ UNION ALL SELECT round(s, 6), round((neg_gt + neg) / (SELECT sum(neg) FROM sc),
 ROC_AUC = with_fx("fx_rule_scores", """
 SELECT round(sum(neg * (pos_gt + pos / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc FROM cum""", _SCORES)
 
+# ----------------------------------------------------------------- step 7
+_W = [0.02, 0.00001, -1.0, 2.0, 0.3, -0.2, 0.1]
+_B = -1.2
+_RAWN = "lower(regexp_replace(l_returnflag, '^\\s+|\\s+$', '', 'g'))"
+_FEATS_SQL = ["coalesce(l_quantity, 0.0)", "coalesce(l_extendedprice, 0.0)", "coalesce(l_discount, 0.0)", "0.0",
+              f"CAST(coalesce({_RAWN} = 'a', false) AS DOUBLE)", f"CAST(coalesce({_RAWN} = 'n', false) AS DOUBLE)",
+              f"CAST(coalesce({_RAWN} = 'r', false) AS DOUBLE)"]
+_FEAT_NAMES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag_a", "l_returnflag_n",
+               "l_returnflag_r"]
+
+TRANSFORM_RAW = with_fx("fx_raw_new", f"SELECT {K}, " + ", ".join(
+    f"round(CAST({e} AS DOUBLE), 6) AS {n}" for e, n in zip(_FEATS_SQL, _FEAT_NAMES)) + " FROM fx")
+
+_Z = f"{_B}" + "".join(f" + {w} * {e}" for w, e in zip(_W, _FEATS_SQL))
+_SCORED = f""", sc AS (SELECT *, 1.0 / (1.0 + exp(-({_Z}))) AS p1 FROM fx),
+scored AS (SELECT *, greatest(p1, 1 - p1) AS conf, CASE WHEN p1 > 0.5 THEN 'o' ELSE 'f' END AS pred FROM sc)"""
+
+SCORE_LINEAR = with_fx("fx_raw_new", f"""
+SELECT {K}, round(l_quantity, 6) AS l_quantity, round(l_extendedprice, 6) AS l_extendedprice,
+       round(l_discount, 6) AS l_discount, l_returnflag, round(p1, 6) AS p_positive, pred AS prediction,
+       round(conf, 6) AS confidence, conf < 0.6 AS low_confidence FROM scored""", _SCORED)
+
+LOW_CONFIDENCE = with_fx("fx_raw_new", """
+SELECT count(*) AS rows, count(*) FILTER (WHERE conf < 0.6) AS low_confidence_rows FROM scored""", _SCORED)
+
+CLASS_PROBABILITIES = with_fx("fx_raw_new", f"""
+SELECT {K}, 'f' AS class, round(1 - p1, 6) AS probability FROM scored
+UNION ALL SELECT {K}, 'o', round(p1, 6) FROM scored""", _SCORED)
+
+TRAIN_RECOMMENDATION = with_fx("fx_high", """
+SELECT count(*) AS rows,
+       CASE WHEN count(*) < 1000 THEN 'logistic_regression' WHEN count(*) < 5000 THEN 'random_forest'
+            ELSE 'gradient_boosting' END AS algorithm,
+       count(*) >= 1000 AS tune, 0.2 AS validation_size, 'f1_weighted' AS scoring FROM fx""")
+
+
+# ----------------------------------------------------------------- step 10
+def _split_ctes(target: str, keys, test_size: float) -> str:
+    kk = ", ".join(keys)
+    return f""",
+sc_c AS (SELECT CAST({target} AS VARCHAR) AS cls, count(*) AS n FROM fx GROUP BY 1),
+sc_t AS (SELECT sum(n) AS total, sum(n) - ceil({test_size} * sum(n)) AS n_train FROM sc_c),
+sc_fl AS (SELECT cls, floor(n / total * n_train) AS base, n / total * n_train - floor(n / total * n_train) AS rem
+          FROM sc_c, sc_t),
+sc_alloc AS (SELECT cls, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, cls)
+                                     <= (SELECT n_train FROM sc_t) - (SELECT sum(base) FROM sc_fl) THEN 1 ELSE 0 END
+                     AS n_cut FROM sc_fl),
+sp AS (SELECT r.*, CASE WHEN rk < a.n_cut THEN 'train' ELSE 'test' END AS split
+       FROM (SELECT *, row_number() OVER (PARTITION BY {target} ORDER BY {md5_key(keys)}, {kk}) - 1 AS rk FROM fx) r
+       JOIN sc_alloc a ON CAST(r.{target} AS VARCHAR) = a.cls)"""
+
+
+def _f1_ctes(name: str, where: str, label: str, pred: str) -> str:
+    return f""",
+{name}_cnt AS (SELECT {label} AS actual, {pred} AS predicted, count(*) AS n FROM sp WHERE {where} GROUP BY 1, 2),
+{name}_cls AS (SELECT actual AS c FROM {name}_cnt UNION SELECT predicted FROM {name}_cnt),
+{name}_pc AS (SELECT c, coalesce((SELECT sum(n) FROM {name}_cnt WHERE actual = c AND predicted = c), 0) AS tp,
+                     coalesce((SELECT sum(n) FROM {name}_cnt WHERE actual = c), 0) AS support,
+                     coalesce((SELECT sum(n) FROM {name}_cnt WHERE predicted = c), 0) AS npred FROM {name}_cls),
+{name}_m AS (SELECT sum(f1 * support) / sum(support) AS f1 FROM (
+    SELECT support, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM (
+        SELECT support, coalesce(tp / nullif(npred, 0), 0) AS p, coalesce(tp / nullif(support, 0), 0) AS r
+        FROM {name}_pc)))"""
+
+
+_SIG = (_split_ctes("l_linestatus", _LK, 0.3) + _f1_ctes("tr", "split = 'train'", "l_linestatus", "prediction")
+        + _f1_ctes("te", "split = 'test'", "l_linestatus", "prediction") + """,
+bal AS (SELECT max(n) AS majority_count, min(n) AS minority_count FROM (
+        SELECT l_linestatus, count(*) AS n FROM sp WHERE split = 'test' AND l_linestatus IS NOT NULL GROUP BY 1)),
+sig AS (SELECT tr_m.f1 AS train_f1, te_m.f1 AS test_f1, abs(tr_m.f1 - te_m.f1) AS f1_gap,
+               te_m.f1 >= 0.7 AS test_f1_meets_minimum, abs(tr_m.f1 - te_m.f1) <= 0.05 AS f1_gap_within_limit,
+               majority_count, minority_count FROM tr_m, te_m, bal)""")
+
+DEPLOY_SIGNALS = with_fx("fx_rule_scores", """
+SELECT round(train_f1, 6) AS train_f1, round(test_f1, 6) AS test_f1, round(f1_gap, 6) AS f1_gap,
+       test_f1_meets_minimum, f1_gap_within_limit, majority_count, minority_count,
+       coalesce(round(minority_count / majority_count, 4), 1.0) AS test_class_ratio,
+       CAST(NULL AS DOUBLE) AS validation_to_test_f1_delta,
+       CASE WHEN test_f1_meets_minimum AND f1_gap_within_limit THEN 'DEPLOY' ELSE 'DO NOT DEPLOY' END
+           AS suggested_verdict,
+       concat_ws('; ', CASE WHEN NOT test_f1_meets_minimum THEN 'test F1 below 0.7' END,
+                       CASE WHEN NOT f1_gap_within_limit THEN 'train-test F1 gap above 0.05' END) AS signal_reasons
+FROM sig""", _SIG)
+
+DEPLOY_BRANCH = with_fx("fx_rule_scores", """
+SELECT round(test_f1, 6) AS test_f1, round(f1_gap, 6) AS f1_gap, v AS suggested_verdict, 'DEPLOY' AS verdict,
+       v <> 'DEPLOY' AS overrides_suggestion,
+       'Reviewer accepts the rule scorer despite the low F1.' AS rationale, 'deploy' AS branch
+FROM (SELECT *, CASE WHEN test_f1_meets_minimum AND f1_gap_within_limit THEN 'DEPLOY' ELSE 'DO NOT DEPLOY' END AS v
+      FROM sig)""", _SIG)
+
+_KEPT = ", kept AS (SELECT * FROM fx WHERE NOT EXISTS (SELECT 1 FROM f WHERE q3 - q1 > 0 AND (" + " OR ".join(
+    f"(f.column_name = '{c}' AND (fx.{c} < q1 - 3 * (q3 - q1) OR fx.{c} > q3 + 3 * (q3 - q1)))"
+    for c in _FENCE_COLS) + ")))"
+
+RUN_LOG = with_fx("fx_high", """
+SELECT 1 AS seq, 'load' AS tool, (SELECT count(*) FROM fx) AS rows_before, (SELECT count(*) FROM fx) AS rows_after
+UNION ALL SELECT 2, 'drop_columns', (SELECT count(*) FROM fx), (SELECT count(*) FROM fx)
+UNION ALL SELECT 3, 'handle_outliers', (SELECT count(*) FROM fx), (SELECT count(*) FROM kept)
+UNION ALL SELECT 4, 'impute_missing', (SELECT count(*) FROM kept), (SELECT count(*) FROM kept WHERE is_high IS NOT NULL)
+UNION ALL SELECT 5, 'encode_features', (SELECT count(*) FROM kept), (SELECT count(*) FROM kept)
+UNION ALL SELECT 6, 'filter_by_correlation', (SELECT count(*) FROM kept), (SELECT count(*) FROM kept)
+UNION ALL SELECT 7, 'finalize_preparation', NULL, NULL""", f", f AS ({_fences(_FENCE_COLS)})" + _KEPT)
+
+STAGE_VALIDATION = with_fx("fx_high", """
+SELECT * FROM (
+  SELECT 'non_empty' AS "check", CAST(NULL AS VARCHAR) AS column_name, rows AS n, rows > 0 AS ok FROM a
+  UNION ALL SELECT 'target_present', 'is_high', 1, true FROM a
+  UNION ALL SELECT 'min_rows', NULL, rows, rows >= 10 FROM a
+  UNION ALL SELECT 'binary_target', 'is_high', classes, classes = 2 FROM a
+  UNION ALL SELECT 'has_features', NULL, 2, true FROM a
+  UNION ALL SELECT 'numeric_features', NULL, 0, true FROM a
+  UNION ALL SELECT 'null_free_features', NULL, null_rows, null_rows = 0 FROM a)""",
+    f", f AS ({_fences(_FENCE_COLS)})" + _KEPT
+    + ", a AS (SELECT count(*) AS rows, count(DISTINCT is_high) AS classes, "
+      "count(*) FILTER (WHERE l_discount IS NULL OR l_charge IS NULL) AS null_rows FROM kept)")
+
 ORACLE_SQL = {
     "normalize_strings": NORMALIZE_STRINGS,
     "coerce_numeric": COERCE_NUMERIC,
@@ -355,4 +472,14 @@ ORACLE_SQL = {
     "classification_report": CLASSIFICATION_REPORT,
     "roc_points": ROC_POINTS,
     "roc_auc": ROC_AUC,
+    "transform_raw": TRANSFORM_RAW,
+    "score_linear": SCORE_LINEAR,
+    "low_confidence": LOW_CONFIDENCE,
+    "class_probabilities": CLASS_PROBABILITIES,
+    "train_recommendation": TRAIN_RECOMMENDATION,
+    "deploy_signals": DEPLOY_SIGNALS,
+    "deploy_branch": DEPLOY_BRANCH,
+    "run_log": RUN_LOG,
+    "stage_validation": STAGE_VALIDATION,
+    "stream_score_equals_batch": SCORE_LINEAR,
 }
