@@ -54,8 +54,13 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     if not columns:
         return {}
     tall = tall_numeric(df, columns)
-    stats = {r["name"]: r for r in tall.groupBy("name").agg(
-        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    # one wide pass (no shuffle) for count / min / max per column
+    aggs = []
+    for i, c in enumerate(columns):
+        v = F.when(~F.isnan(col(c).cast("double")), col(c).cast("double"))
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+    w = df.agg(*aggs).collect()[0]
+    stats = {c: {"n": w[f"n{i}"], "lo": w[f"lo{i}"], "hi": w[f"hi{i}"]} for i, c in enumerate(columns)}
 
     # target ranks per column; a bracket per (column, rank)
     targets: dict[tuple[str, int], dict] = {}
@@ -91,8 +96,14 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         small = {k: t for k, t in open_t.items() if t["count"] <= MAX_BRACKET_VALUES}
         large = {k: t for k, t in open_t.items() if t["count"] > MAX_BRACKET_VALUES}
         keyed = list(open_t.items())
+        # targets that share a bracket share one histogram / one value list
+        bid: dict[tuple, int] = {}
+        tid_of = []
+        for k, t in keyed:
+            key = (k[0], float(t["lo"]), float(t["hi"]), k in small)
+            tid_of.append(bid.setdefault(key, len(bid)))
         br = spark.createDataFrame(
-            [(i, k[0], float(t["lo"]), float(t["hi"]), k in small) for i, (k, t) in enumerate(keyed)],
+            [(i, key[0], key[1], key[2], key[3]) for key, i in bid.items()],
             "tid int, name string, blo double, bhi double, final boolean")
         joined = tall.join(F.broadcast(br), "name").where(
             (F.col("v") >= F.col("blo")) & (F.col("v") <= F.col("bhi")))
@@ -101,10 +112,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             by_tid: dict[int, list] = {}
             for r in rows:
                 by_tid.setdefault(r["tid"], []).append((r["v"], r["count"]))
-            for i, (k, t) in enumerate(keyed):
+            for j, (k, t) in enumerate(keyed):
                 if k not in small:
                     continue
-                vals = sorted(by_tid.get(i, []))
+                vals = sorted(by_tid.get(tid_of[j], []))
                 pos = k[1] - t["below"]
                 acc = 0
                 for v, cnt in vals:
@@ -122,12 +133,12 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             by_tid = {}
             for r in hist:
                 by_tid.setdefault(r["tid"], []).append((r["bin"], r["cnt"], r["mn"], r["mx"]))
-            for i, (k, t) in enumerate(keyed):
+            for j, (k, t) in enumerate(keyed):
                 if k not in large:
                     continue
                 pos = k[1] - t["below"]
                 acc = 0
-                for _bin, cnt, mn, mx in sorted(by_tid.get(i, [])):
+                for _bin, cnt, mn, mx in sorted(by_tid.get(tid_of[j], [])):
                     if acc + cnt > pos:
                         t.update(lo=mn, hi=mx, below=t["below"] + acc, count=cnt)
                         break
@@ -232,25 +243,66 @@ def pearson(a, b):
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def corr_pairs(df: DataFrame, columns: Sequence[str], chunk: int = 400) -> dict[tuple[str, str], float | None]:
-    """Pairwise-complete |r| for every pair i<j (computed in chunks of pairs)."""
+AGG_CHUNK = 48   # aggregate functions per job, small enough for whole-stage codegen
+
+
+def _run_chunked(df: DataFrame, named: list[tuple[str, object]]) -> dict[str, object]:
+    out: dict[str, object] = {}
+    for s0 in range(0, len(named), AGG_CHUNK):
+        part = named[s0:s0 + AGG_CHUNK]
+        row = df.agg(*[e.alias(f"a{i}") for i, (_, e) in enumerate(part)]).collect()[0]
+        out.update({n: row[f"a{i}"] for i, (n, _) in enumerate(part)})
+    return out
+
+
+def null_flags(df: DataFrame, columns: Sequence[str]) -> dict[str, bool]:
+    row = df.agg(*[F.max(col(c).isNull().cast("int")).alias(f"n{i}") for i, c in enumerate(columns)]).collect()[0]
+    return {c: bool(row[f"n{i}"]) for i, c in enumerate(columns)}
+
+
+def corr_pairs(df: DataFrame, columns: Sequence[str], nulls: dict[str, bool] | None = None
+               ) -> dict[tuple[str, str], float | None]:
+    """Pairwise-complete |r| for every pair i<j.
+
+    Columns without nulls share one ``stddev_pop`` each and every pair adds one
+    ``covar_pop``; pairs touching a column with nulls are masked to the rows
+    where both are present.  Aggregates run in codegen-sized chunks.
+    """
     cols = list(columns)
+    if len(cols) < 2:
+        return {}
+    nulls = nulls if nulls is not None else null_flags(df, cols)
+    named: list[tuple[str, object]] = []
+    for c in cols:
+        if not nulls[c]:
+            named.append((f"sd|{c}", F.stddev_pop(col(c).cast("double"))))
     pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    out: dict[tuple[str, str], float | None] = {}
-    for s in range(0, len(pairs), chunk):
-        part = pairs[s:s + chunk]
-        exprs = []
-        for i, (a, b) in enumerate(part):
+    for a, b in pairs:
+        if nulls[a] or nulls[b]:
             both = col(a).isNotNull() & col(b).isNotNull()
-            x = F.when(both, col(a).cast("double"))
-            y = F.when(both, col(b).cast("double"))
-            exprs.append(F.abs(pearson(x, y)).alias(f"p{i}"))
-        row = df.agg(*exprs).collect()[0]
-        for i, pr in enumerate(part):
-            out[pr] = row[f"p{i}"]
+            x, y = F.when(both, col(a).cast("double")), F.when(both, col(b).cast("double"))
+            named += [(f"cv|{a}|{b}", F.covar_pop(x, y)), (f"sa|{a}|{b}", F.stddev_pop(x)),
+                      (f"sb|{a}|{b}", F.stddev_pop(y))]
+        else:
+            named.append((f"cv|{a}|{b}", F.covar_pop(col(a).cast("double"), col(b).cast("double"))))
+    got = _run_chunked(df, named)
+    out: dict[tuple[str, str], float | None] = {}
+    for a, b in pairs:
+        cv = got[f"cv|{a}|{b}"]
+        if nulls[a] or nulls[b]:
+            sa, sb = got[f"sa|{a}|{b}"], got[f"sb|{a}|{b}"]
+        else:
+            sa, sb = got[f"sd|{a}"], got[f"sd|{b}"]
+        out[(a, b)] = _abs_r(cv, sa, sb)
     return out
 
 
+def _abs_r(cv, sa, sb):
+    if cv is None or sa is None or sb is None or sa == 0 or sb == 0:
+        return None
+    return abs(cv / (sa * sb))
+
+
 def target_codes(df: DataFrame, target: str):
     """Target as a number: numeric stays numeric; text gets its sorted-label index."""
     dt = df.schema[target].dataType
@@ -262,14 +314,20 @@ def target_codes(df: DataFrame, target: str):
 
 
 def target_corr(df: DataFrame, features: Sequence[str], target: str) -> dict[str, float | None]:
-    """|r| of each feature with the target; NULL if the feature has any null."""
+    """|r| of each feature with the target; NULL if the feature (or target) has any null."""
+    if not features:
+        return {}
     df, y = target_codes(df, target)
-    exprs = []
-    for i, c in enumerate(features):
+    named: list[tuple[str, object]] = [("sy", F.stddev_pop(y)), ("ny", F.max(y.isNull().cast("int")))]
+    for c in features:
         x = col(c).cast("double")
-        has_null = F.max((col(c).isNull() | y.isNull()).cast("int")) > 0
-        exprs.append(F.when(has_null, F.lit(None)).otherwise(F.abs(pearson(x, y))).alias(f"t{i}"))
-    if not exprs:
-        return {}
-    row = df.agg(*exprs).collect()[0]
-    return {c: row[f"t{i}"] for i, c in enumerate(features)}
+        named += [(f"n|{c}", F.max(col(c).isNull().cast("int"))), (f"sx|{c}", F.stddev_pop(x)),
+                  (f"cv|{c}", F.covar_pop(x, y))]
+    got = _run_chunked(df, named)
+    out = {}
+    for c in features:
+        if got[f"n|{c}"] or got["ny"]:
+            out[c] = None
+        else:
+            out[c] = _abs_r(got[f"cv|{c}"], got[f"sx|{c}"], got["sy"])
+    return out

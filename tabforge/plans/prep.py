@@ -22,6 +22,7 @@ from tabforge.operators.normalize import (coerce_numeric_strict, drop_columns, e
                                           integrate, target_last)
 from tabforge.operators.outliers import handle_outliers
 from tabforge.operators.select import filter_by_correlation
+from tabforge.session import cut_lineage
 from tabforge.sources.runlog import RunLog
 
 
@@ -40,8 +41,13 @@ def prepare(df: DataFrame, target: str, keys: Sequence[str] = (), manual_drops:
             outliers: str = "iqr_remove", imputation: str = "median",
             encoding: str = "one_hot_drop_first", correlation: str = "both",
             balance: str = "none", ratio: float = IMBALANCE_RATIO, seed: int = 42,
-            log: RunLog | None = None, count_steps: bool = False) -> PrepResult:
-    """Run the preparation stage; ``balance='suggested'`` uses the profile rule."""
+            log: RunLog | None = None, count_steps: bool = False, checkpoint: bool = True) -> PrepResult:
+    """Run the preparation stage; ``balance='suggested'`` uses the profile rule.
+
+    The finished table is checkpointed into the shared checkpoint folder, so
+    later stages (many actions each) start from it instead of replaying the
+    preparation lineage, and a lost executor recomputes from there.
+    """
     log = log or RunLog("prep")
     keys = list(keys)
     info: dict = {}
@@ -88,6 +94,8 @@ def prepare(df: DataFrame, target: str, keys: Sequence[str] = (), manual_drops:
         n = step("balance_classes", {"method": method}, n, selected)
 
     final, schema, feats = finalize(selected, target, keys, einfo, log)
+    if checkpoint:
+        final = cut_lineage(final)
     info["features"] = feats
     return PrepResult(final, schema, target, keys, feats, info, log)
 

@@ -17,6 +17,7 @@ from tabforge.constants import DEFAULT_SEED, MAX_CLASS_DRIFT, MIN_ROWS, VERDICTS
 from tabforge.errors import DataError
 from tabforge.operators import checks, gate, metrics, models, profile, sampling
 from tabforge.operators.score import score
+from tabforge.session import cut_lineage
 from tabforge.sources.runlog import RunLog
 
 
@@ -42,7 +43,7 @@ def split_stage(df: DataFrame, target: str, keys: Sequence[str] = (), test_size:
     ts = rec["test_size"] if test_size is None else test_size
     st = rec["stratify"] if stratify is None else stratify
     hk = models.hash_keys(df, keys)
-    sp = sampling.split(df, target, hk, test_size=ts, stratify=st, seed=seed)
+    sp = cut_lineage(sampling.split(df, target, hk, test_size=ts, stratify=st, seed=seed))
     drift = sampling.class_drift(sp, target, max_drift=max_drift)
     mx = sampling.require_drift_ok(drift)
     log.step("split_train_test", {"test_size": ts, "stratify": st, "seed": seed}, rec["rows"], rec["rows"])
