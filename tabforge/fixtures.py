@@ -66,6 +66,16 @@ def fx_dirty(spark, sf_dir):
                      mixed.alias("mixed_text"), F.upper("l_linestatus").alias("Status "))
 
 
+def fx_knn(spark, sf_dir):
+    """Two numeric columns with nulls (quantity, discount) for kNN imputation."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        *LINEITEM_KEYS,
+        F.when(F.col("l_orderkey") % 10 == 0, None).otherwise(F.col("l_quantity")).alias("l_quantity"),
+        F.when(F.col("l_partkey") % 11 == 0, None).otherwise(F.col("l_discount")).alias("l_discount"),
+        "l_tax", "l_linestatus")
+
+
 def fx_outliers(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     return ev.select("event_id", "value", "event_type",
@@ -139,5 +149,5 @@ FIXTURES = {
     "fx_lineitem": fx_lineitem, "fx_high": fx_high, "fx_nulls": fx_nulls,
     "fx_redundant": fx_redundant, "fx_dirty": fx_dirty, "fx_outliers": fx_outliers,
     "fx_imbalanced": fx_imbalanced, "fx_three_class": fx_three_class,
-    "fx_rule_scores": fx_rule_scores, "fx_raw_new": fx_raw_new,
+    "fx_rule_scores": fx_rule_scores, "fx_raw_new": fx_raw_new, "fx_knn": fx_knn,
 }

@@ -368,6 +368,38 @@ def q_stream_score_equals_batch(spark, d):
     return r6(score_stream_once(spark, f"{d}/lineitem.parquet", fx.raw_new_projection, scorer))
 
 
+# ------------------------------------------------------------------ step 8
+def q_smote_rows(spark, d):
+    """SMOTE on the prepared fx_high table (continuous features): synthetic rows only."""
+    from tabforge.operators.resample import balance_classes
+    from tabforge.plans.prep import prepare
+    res = prepare(fx.fx_high(spark, d), "is_high", keys=LK, balance="none")
+    out, _ = balance_classes(res.table, "smote", "is_high", keys=LK)
+    return r6(out.where(F.col("l_orderkey").isNull()))
+
+
+def q_smotenc_class_counts(spark, d):
+    """SMOTE-NC (one-hot 0/1 columns present) on fx_imbalanced: class counts after balancing."""
+    from tabforge.operators.resample import balance_classes
+    enc, _ = encode_features(normalize.integrate(fx.fx_imbalanced(spark, d)), "one_hot_drop_first",
+                             "quality", keys=["doc_id"])
+    out, info = balance_classes(enc, "smote", "quality", keys=["doc_id"])
+    return out.groupBy("quality").agg(F.count("*").alias("n")).withColumn(
+        "method_applied", F.lit(info["method_applied"]))
+
+
+def q_knn_impute(spark, d):
+    out, _ = impute(normalize.integrate(fx.fx_knn(spark, d)), "knn", "l_linestatus", keys=LK)
+    return r6(out)
+
+
+def q_prep_flow_balanced(spark, d):
+    """M1 with the profile's suggested balancing (SMOTE-NC / SMOTE)."""
+    from tabforge.plans.prep import prepare
+    res = prepare(fx.fx_high(spark, d), "is_high", keys=LK, balance="suggested")
+    return r6(res.table)
+
+
 QUERIES = {
     "normalize_strings": q_normalize_strings,
     "coerce_numeric": q_coerce_numeric,
@@ -419,4 +451,8 @@ QUERIES = {
     "stage_validation": q_stage_validation,
     "end_to_end": q_end_to_end,
     "stream_score_equals_batch": q_stream_score_equals_batch,
+    "smote_rows": q_smote_rows,
+    "smotenc_class_counts": q_smotenc_class_counts,
+    "knn_impute": q_knn_impute,
+    "prep_flow_balanced": q_prep_flow_balanced,
 }

@@ -437,6 +437,13 @@ SELECT * FROM (
     + ", a AS (SELECT count(*) AS rows, count(DISTINCT is_high) AS classes, "
       "count(*) FILTER (WHERE l_discount IS NULL OR l_charge IS NULL) AS null_rows FROM kept)")
 
+# ----------------------------------------------------------------- step 8
+# invariant: after balancing both classes have the majority count
+SMOTENC_CLASS_COUNTS = with_fx("fx_imbalanced", """
+SELECT quality, (SELECT max(n) FROM (SELECT count(*) AS n FROM fx GROUP BY quality)) AS n,
+       'smotenc' AS method_applied
+FROM (SELECT DISTINCT quality FROM fx)""")
+
 ORACLE_SQL = {
     "normalize_strings": NORMALIZE_STRINGS,
     "coerce_numeric": COERCE_NUMERIC,
@@ -482,4 +489,5 @@ ORACLE_SQL = {
     "run_log": RUN_LOG,
     "stage_validation": STAGE_VALIDATION,
     "stream_score_equals_batch": SCORE_LINEAR,
+    "smotenc_class_counts": SMOTENC_CLASS_COUNTS,
 }
