@@ -54,6 +54,11 @@ def prepare(df: DataFrame, target: str, keys: Sequence[str] = (), manual_drops:
     df = integrate(df)
     if target not in df.columns:
         raise DataError(f"Target '{target}' not in columns {df.columns}.")
+    # the fits below scan the normalised table ~15 times; keep it (spilling to
+    # disk when it does not fit) until the prepared table is checkpointed
+    from pyspark import StorageLevel
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    src = df
 
     def step(name, params, before, after_df):
         n_after = after_df.count() if count_steps else None
@@ -96,6 +101,7 @@ def prepare(df: DataFrame, target: str, keys: Sequence[str] = (), manual_drops:
     final, schema, feats = finalize(selected, target, keys, einfo, log)
     if checkpoint:
         final = cut_lineage(final)
+        src.unpersist()
     info["features"] = feats
     return PrepResult(final, schema, target, keys, feats, info, log)
 
