@@ -1,7 +1,8 @@
 """Deploy signals, verdicts and the deploy branch.
 
-Signals are a one-row DataFrame built from metric DataFrames (no collect);
-the suggested verdict is the threshold rule over it.  Recording a verdict or
+Signals are a one-row DataFrame: the two one-row metric inputs (train and
+test weighted F1) are read as literals, the test class balance is an
+aggregation; the suggested verdict is the threshold rule over it.  Recording a verdict or
 a failure validates the free-text inputs like the rest of the run log.
 """
 
