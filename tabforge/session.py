@@ -1,18 +1,22 @@
 """SparkSession helpers.
 
 On a cluster the session comes from the platform; ``get_session`` only fills in
-settings that are unset.  ``checkpoint_dir`` reads ``spark.checkpoint.dir`` from
-the session and only invents a folder when none is configured (local tests).
+settings that the running session or the launcher has left unset.
+``checkpoint_dir`` reads ``spark.checkpoint.dir`` from the session.  Where it is
+unset, a local session (tests, bench) gets a fresh folder and any other master
+raises: executors on other machines could not read a machine-local folder.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DEFAULTS = {
+_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -20,41 +24,62 @@ _LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.driver.memory": os.environ.get("TABFORGE_DRIVER_MEMORY", "16g"),
 }
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "tabforge") -> SparkSession:
+    """The active session, or a new one; settings already made are kept."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
+    given = SparkConf()
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for k, v in _LOCAL_DEFAULTS.items():
-        builder = builder.config(k, v)
-    if shuffle_partitions:
+    for key, value in _DEFAULTS.items():
+        if not given.contains(key):
+            builder = builder.config(key, value)
+    if shuffle_partitions and not given.contains("spark.sql.shuffle.partitions"):
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("TABFORGE_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts: the cluster's ``spark.checkpoint.dir``.
+def is_local(spark: SparkSession) -> bool:
+    """True when driver and executors are one process (``local``, ``local[n]``)."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
 
-    Only when the setting is absent (local runs, tests) a fresh folder under
-    the system temp dir is created and registered.
-    """
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for lineage cuts and intermediate tables."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        spark.sparkContext.setCheckpointDir(conf)
-        return conf
-    path = tempfile.mkdtemp(prefix="tabforge-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    if not conf:
+        if not is_local(spark):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+        conf = tempfile.mkdtemp(prefix="tabforge-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", conf)
+    spark.sparkContext.setCheckpointDir(conf)
+    return conf
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate table in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tabforge-{uuid.uuid4().hex}/{name}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: every
+    later pass sees the same rows, whatever executors are lost meanwhile."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
