@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tabforge.llm.packing import pack_documents
+from tabforge.llm.secrets import scan_secrets
+from tabforge.llm.sharding import hilbert_shards
 from tabforge.llm.tokenfile import read_token_files, write_token_files
 from tabforge.session import work_path
 
@@ -27,7 +29,17 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in 8 shards along the Hilbert curve."""
+    return hilbert_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_token_files)
+    f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op6_secret_scan, op7_hilbert_shards)
 }
 ORACLE_SQL: dict[str, str] = {}
