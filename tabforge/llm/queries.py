@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tabforge.llm.decontaminate import decontaminate
+from tabforge.llm.linededup import dedup_lines
 from tabforge.llm.packing import pack_documents
 from tabforge.llm.secrets import scan_secrets
 from tabforge.llm.sharding import hilbert_shards
@@ -39,7 +42,55 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op8_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words in every document, whole texts against all items."""
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeated windows cover."""
+    return dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), "text")
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+bi AS (SELECT item_id, w, least(len(w), 13) AS n FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM bi)),
+dw AS (SELECT r, p, n, array_to_string(w[p:p + n - 1], ' ') AS g
+       FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM bi))),
+hits AS (SELECT r, p, n, item_id FROM dw JOIN bw USING (n, g)),
+nh AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hits) GROUP BY r),
+ni AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+       FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN nh USING (r) LEFT JOIN ni USING (r)
+"""
+
+OP10_SQL = r"""
+WITH l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+k AS (SELECT doc_id, text, lines, list_filter(range(1, len(lines) + 1), lambda i: regexp_matches(lines[i], '[^\x20\x09-\x0D]')) AS kept FROM l),
+n AS (SELECT *, list_transform(kept, lambda i: lines[i]) AS body, CAST(len(kept) AS BIGINT) AS n_lines FROM k),
+w AS (SELECT doc_id, n_lines, p, least(n_lines - p, 3) AS size, array_to_string(body[p + 1:p + 3], chr(10)) AS g
+      FROM (SELECT *, unnest(range(0, greatest(n_lines - 2, least(n_lines, 1)))) AS p FROM n)),
+o AS (SELECT *, row_number() OVER (PARTITION BY size, g ORDER BY doc_id, p) AS nth FROM w),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + size)) AS i FROM o WHERE nth > 1),
+gone AS (SELECT doc_id, list(i ORDER BY i) AS removed FROM c GROUP BY doc_id)
+SELECT doc_id, n_lines, CAST(coalesce(len(removed), 0) AS BIGINT) AS n_removed, coalesce(array_to_string(removed, ','), '') AS removed,
+       CASE WHEN removed IS NULL THEN text WHEN len(removed) = n_lines THEN ''
+            ELSE array_to_string(list_transform(list_filter(range(1, len(lines) + 1),
+                 lambda j: NOT list_contains(list_transform(removed, lambda i: kept[i + 1]), j)), lambda j: lines[j]), chr(10)) END AS text
+FROM n LEFT JOIN gone USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op6_secret_scan, op7_hilbert_shards)
+    f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op6_secret_scan, op7_hilbert_shards,
+                              op8_winnowing_decontamination, op10_line_dedup)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_winnowing_decontamination": OP8_SQL, "op10_line_dedup": OP10_SQL}
