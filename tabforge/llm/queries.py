@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.llm.decontaminate import decontaminate
+from tabforge.llm.langid import held_out, identify, train
 from tabforge.llm.linededup import dedup_lines
 from tabforge.llm.packing import pack_documents
 from tabforge.llm.secrets import scan_secrets
@@ -47,6 +48,13 @@ def op8_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by trees trained on the other three quarters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
+    model = train(docs.where(~F.col("held_out")))
+    return identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeated windows cover."""
     return dedup_lines(table(spark, sf_dir, "documents")).select(
@@ -91,6 +99,6 @@ FROM n LEFT JOIN gone USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op6_secret_scan, op7_hilbert_shards,
-                              op8_winnowing_decontamination, op10_line_dedup)
+                              op8_winnowing_decontamination, op9_language_id, op10_line_dedup)
 }
 ORACLE_SQL: dict[str, str] = {"op8_winnowing_decontamination": OP8_SQL, "op10_line_dedup": OP10_SQL}
