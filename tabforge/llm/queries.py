@@ -13,6 +13,7 @@ from tabforge.llm.linededup import dedup_lines
 from tabforge.llm.packing import pack_documents
 from tabforge.llm.secrets import scan_secrets
 from tabforge.llm.sharding import hilbert_shards
+from tabforge.llm.sigtree import jaccard_components
 from tabforge.llm.tokenfile import read_token_files, write_token_files
 from tabforge.session import work_path
 
@@ -33,6 +34,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op5_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate component: 5-word shingles, similarity 0.8 or more."""
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
     return scan_secrets(table(spark, sf_dir, "documents"))
@@ -61,6 +67,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), "text")
 
 
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[p:p + 4], ' ') AS g
+      FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS p FROM d)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.r < b.r GROUP BY a.r, b.r),
+e AS (SELECT x, y FROM c JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e2 AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach(x, y) AS (SELECT r, r FROM d UNION SELECT reach.x, e2.y FROM reach JOIN e2 ON e2.x = reach.y),
+m AS (SELECT reach.x AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.y GROUP BY reach.x)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
+"""
+
 OP8_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -98,7 +119,7 @@ FROM n LEFT JOIN gone USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op6_secret_scan, op7_hilbert_shards,
+    f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op5_signature_tree_join, op6_secret_scan, op7_hilbert_shards,
                               op8_winnowing_decontamination, op9_language_id, op10_line_dedup)
 }
-ORACLE_SQL: dict[str, str] = {"op8_winnowing_decontamination": OP8_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_signature_tree_join": OP5_SQL, "op8_winnowing_decontamination": OP8_SQL, "op10_line_dedup": OP10_SQL}
