@@ -41,6 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.llm.components import components
+from tabforge.llm.words import window_hashes, words_of
 from tabforge.session import written
 
 WORDS = 5
@@ -51,41 +52,15 @@ BLOCK = 400
 GROUP_ROWS = 400            # rows of small tiles that one Python call takes
 BITS = 2048                 # of a signature
 FANOUT = 8
-_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 # ---------------------------------------------------------------- sets
 
-class _Codes(dict):
-    """A 64-bit code for each word seen by this worker."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
-        return code
-
-
-_codes = _Codes()
-
-
-def _finish(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(_MIX[1])
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(_MIX[2])
-    return h ^ (h >> np.uint64(31))
-
-
 def shingle_set(text: str | None, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word n-grams."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
-    width = min(n, len(words))
-    h = np.full(len(codes) - width + 1, width, np.uint64)
-    for j in range(width):
-        h = h * np.uint64(_MIX[0]) + codes[j:len(codes) - width + 1 + j]
-    return np.unique(_finish(h))
+    """Sorted distinct 64-bit hashes of the text's word n-grams (of all its
+    words if it has fewer)."""
+    words = words_of(text, lower=True)
+    return np.unique(window_hashes(words, min(n, len(words))))
 
 
 def overlap_needed(a: int, b: int) -> int:
