@@ -12,6 +12,7 @@ from tabforge.llm.langid import held_out, identify, train
 from tabforge.llm.linededup import dedup_lines
 from tabforge.llm.outliers import judge_quality
 from tabforge.llm.packing import pack_documents
+from tabforge.llm.resampling import importance_sample
 from tabforge.llm.secrets import scan_secrets
 from tabforge.llm.sharding import hilbert_shards
 from tabforge.llm.sigtree import jaccard_components
@@ -35,6 +36,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of every document, and whether the sample of good text has it."""
+    return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
+
+
 def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and robust-distance verdict of every document."""
     return judge_quality(table(spark, sf_dir, "documents")).drop("distance", "n_upper")
@@ -125,7 +131,7 @@ FROM n LEFT JOIN gone USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op4_robust_outliers, op5_signature_tree_join, op6_secret_scan, op7_hilbert_shards,
+    f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op3_importance_resampling, op4_robust_outliers, op5_signature_tree_join, op6_secret_scan, op7_hilbert_shards,
                               op8_winnowing_decontamination, op9_language_id, op10_line_dedup)
 }
 ORACLE_SQL: dict[str, str] = {"op5_signature_tree_join": OP5_SQL, "op8_winnowing_decontamination": OP8_SQL, "op10_line_dedup": OP10_SQL}
