@@ -3,7 +3,8 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``.  All but the
 last return the columns of ``documents``; the last returns the pieces of the
-packed sequences.
+packed sequences.  ``docs`` needs ``doc_id``, ``text`` and ``lang``; other
+columns pass through.
 """
 
 from __future__ import annotations
@@ -11,21 +12,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tabforge.llm.decontaminate import drop_contaminated
+from tabforge.llm.langid import UNDETERMINED, identify, train
+from tabforge.llm.linededup import dedup_lines
 from tabforge.llm.packing import pack_documents
+from tabforge.llm.sigtree import keep_one
 from tabforge.session import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language identification trained on the rows that have a language.
+    Documents without one (NULL, empty or without a letter) go; a NULL ``lang``
+    is filled with the prediction."""
+    found = identify(docs, train(docs)).where(F.col("lang_pred") != UNDETERMINED)
+    return found.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of repeated three-line windows are cut out.  Documents
+    of which nothing is left go; ``n_chars`` follows the new text."""
+    cut = dedup_lines(docs).where("n_removed < n_lines OR n_lines = 0")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return cut.select(*[n_chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by ``benchmark`` go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All remaining documents in sequences of 2048 tokens."""
     return pack_documents(docs, capacity=2048, end_id=0)
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", packing)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language), ("lines", lines), ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination), ("packing", packing),
+]
 
-#: No SQL engine has the tokenizer; the tests hold the stages against brute force.
+#: No SQL engine has the models and the tokenizer; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

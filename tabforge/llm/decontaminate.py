@@ -174,3 +174,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
         F.col("row_key.id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"), F.col("row_key.h").alias("text_hash"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM) -> DataFrame:
+    """The documents that are not contaminated, all columns."""
+    bad = decontaminate(docs, benchmark, window, k).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
+    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (mark == F.col("bad_hash")), "left_anti")

@@ -48,7 +48,7 @@ def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate component: 5-word shingles, similarity 0.8 or more."""
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("text_hash")
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("text_hash", "component")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,8 +252,9 @@ def _text_key(c: Column) -> Column:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` (least id of the component) and
-    ``text_hash`` for every row."""
+    """``doc_id, n_shingles, component_id`` (least id of the component),
+    ``text_hash`` and ``component`` (a key of the component; NULL for an empty
+    set) for every row."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), _text_key(text).alias("mark"), text.alias("text"))
     sets = written(read_sets(rows), "sets")
@@ -268,10 +269,24 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     linked = components(links).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
     of_class = classes.join(linked, "cls", "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp"))
     least = of_class.groupBy("comp").agg(F.min("least").alias("component_id"))
-    found = written(of_class.join(least, "comp").select("cls", "component_id"), "components")
+    found = written(of_class.join(least, "comp").select("cls", "comp", "component_id"), "components")
     return sets.select("id", "mark", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(found, "cls", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.col("mark").alias("text_hash"))
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.col("mark").alias("text_hash"), F.col("comp").alias("component"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents without all but one of each component: the one with the
+    least ``doc_id``, then text hash.  Documents without words all stay."""
+    found = written(jaccard_components(docs), "near_duplicates")
+    firsts = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(
+        F.col("k.doc_id").alias("k_id"), F.col("k.text_hash").alias("k_mark"), F.lit(True).alias("k_words"))
+    empty = found.where("n_shingles = 0").select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_mark"), F.lit(False).alias("k_words")).distinct()
+    rows = docs.select("*", _text_key(F.col("text").cast("string")).alias("k_text"))
+    joined = rows.join(firsts.union(empty), F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.col("k_text") == F.col("k_mark")))
+    # of rows equal in id and text one stays; those without words are told apart
+    told = joined.withColumn("k_row", F.when(F.col("k_words"), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id()))
+    return told.dropDuplicates(["k_id", "k_mark", "k_row"]).select(*docs.columns)
 
 
 def _low_long(cls: Column) -> Column:
