@@ -283,4 +283,4 @@ def sequences(packed: DataFrame) -> DataFrame:
     grouped = packed.groupBy("sequence_id").agg(
         F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "ids"))).alias("p"), F.sum("length").alias("length"))
     return grouped.select("sequence_id", "length", F.col("p.doc_id").alias("doc_ids"), F.col("p.offset").alias("offsets"),
-                          F.aggregate(F.col("p.ids"), F.lit(b""), F.concat).alias("ids"))
+                          F.aggregate(F.col("p.ids"), F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids"))

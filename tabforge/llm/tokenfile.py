@@ -57,7 +57,7 @@ def _to_planes(ids: np.ndarray, bits: bool) -> np.ndarray:
 def _from_planes(planes: np.ndarray, n: int, bits: bool) -> np.ndarray:
     if bits:
         rows = np.unpackbits(planes, axis=1, count=n, bitorder="little").T
-        return np.packbits(rows, axis=1, bitorder="little").view("<u4").ravel()
+        return np.ascontiguousarray(np.packbits(rows, axis=1, bitorder="little")).view("<u4").ravel()
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
