@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.constants import ENCODINGS, MAX_CATEGORIES
+from tabforge.constants import ENCODINGS
 from tabforge.errors import DataError, ParamError
 from tabforge.functions.exprs import col, is_numeric_type, parse_number, trim_all
 from tabforge.operators import stats
@@ -24,8 +24,9 @@ SCHEMA_DDL = ("name string, type string, categories array<string>, drop_first bo
 
 
 def fit_one_hot(df: DataFrame, target: str, strategy: str = "one_hot_drop_first",
-                keys: Sequence[str] = (), max_categories: int = MAX_CATEGORIES) -> dict:
-    """Sorted categories and dummy names per categorical feature."""
+                keys: Sequence[str] = (), max_categories: int | None = None) -> dict:
+    """Sorted categories and dummy names per categorical feature.  A column with
+    more than ``max_categories`` values raises; None sets no limit."""
     if strategy not in ENCODINGS:
         raise ParamError(f"Unknown encoding strategy: {strategy}")
     cats = [c for c in df.columns if c != target and c not in keys
@@ -60,13 +61,14 @@ def apply_one_hot(df: DataFrame, target: str, groups: dict, keys: Sequence[str]
 
 
 def one_hot(df: DataFrame, target: str, strategy: str = "one_hot_drop_first",
-            keys: Sequence[str] = ()) -> tuple[DataFrame, dict]:
-    groups = fit_one_hot(df, target, strategy, keys)
+            keys: Sequence[str] = (), max_categories: int | None = None) -> tuple[DataFrame, dict]:
+    groups = fit_one_hot(df, target, strategy, keys, max_categories)
     return apply_one_hot(df, target, groups, keys), groups
 
 
 def encode_features(df: DataFrame, strategy: str, target: str, keys: Sequence[str] = (),
-                    manual_drops: Sequence[str] = (), allow_nulls: bool = False) -> tuple[DataFrame, dict]:
+                    manual_drops: Sequence[str] = (), allow_nulls: bool = False,
+                    max_categories: int | None = None) -> tuple[DataFrame, dict]:
     """null guard, lenient numeric coercion, id/manual exclusion, one-hot.
 
     Returns the encoded table and ``{"groups", "excluded", "pre_encode"}``;
@@ -83,34 +85,30 @@ def encode_features(df: DataFrame, strategy: str, target: str, keys: Sequence[st
     df, converted = coerce_numeric(df, target, keys)
     exclude = excluded_columns(df.drop(*keys) if keys else df, target, manual_drops)
     pre = df.drop(*[c for c in exclude if c in df.columns])
-    groups = fit_one_hot(pre, target, strategy, keys)
+    groups = fit_one_hot(pre, target, strategy, keys, max_categories)
     encoded = apply_one_hot(pre, target, groups, keys)
     return encoded, {"groups": groups, "excluded": exclude, "pre_encode": pre,
                      "converted": converted, "strategy": strategy}
 
 
 # ------------------------------------------------------------ feature schema
+def _field(name: str, kind: str, **more) -> dict:
+    return {"name": name, "type": kind, "categories": None, "drop_first": None, "dummy_columns": None} | more
+
+
 def build_input_schema(pre_encode: DataFrame, groups: dict, features: Sequence[str],
                        excluded: Sequence[str] = (), keys: Sequence[str] = ()) -> list[dict]:
-    """Categorical entries whose dummies survive, then surviving numeric columns."""
-    final = set(features)
-    ex = set(excluded)
-    schema = []
-    for c, g in groups.items():
-        dummies = [d for d, _ in g["dummies"] if d in final]
-        if not dummies:
-            continue
-        schema.append({"name": c, "type": "categorical", "categories": list(g["categories"]),
-                       "drop_first": bool(g["drop_first"]), "dummy_columns": dummies})
-    for f in pre_encode.schema.fields:
-        if f.name in groups or f.name in ex or f.name in keys:
-            continue
-        if f.name in final and is_numeric_type(f.dataType):
-            schema.append({"name": f.name, "type": "numeric", "categories": None,
-                           "drop_first": None, "dummy_columns": None})
-    if not schema:
+    """What a raw table must hold for the model's features (F4): the one-hot
+    groups of which a dummy column is a feature, then the numeric features."""
+    columns_of = {c: [d for d, _ in g["dummies"] if d in features] for c, g in groups.items()}
+    encoded = [_field(c, "categorical", categories=list(groups[c]["categories"]),
+                      drop_first=bool(groups[c]["drop_first"]), dummy_columns=found) for c, found in columns_of.items() if found]
+    other = {*groups, *excluded, *keys}
+    plain = [_field(c, "numeric") for c in pre_encode.columns
+             if c in features and c not in other and is_numeric_type(pre_encode.schema[c].dataType)]
+    if not encoded + plain:
         raise DataError("Feature schema is empty.")
-    return schema
+    return encoded + plain
 
 
 def schema_frame(spark, schema: list[dict]) -> DataFrame:

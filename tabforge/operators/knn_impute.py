@@ -48,7 +48,7 @@ def knn_impute(df: DataFrame, target: str, columns: Sequence[str] | None = None,
     if not kcols:
         return df, {"strategy": "knn", "knn_columns": []}
     spark = df.sparkSession
-    base = cut_lineage(df.withColumn("__rid", F.monotonically_increasing_id()))
+    base = cut_lineage(df.withColumn("__ord", sampling.row_order(df, keys, seed)[0]).withColumn("__rid", F.monotonically_increasing_id()))
     n_rows = base.count()
     k = min(n_neighbors, max(1, n_rows - 1))
     K = len(kcols)
@@ -57,11 +57,11 @@ def knn_impute(df: DataFrame, target: str, columns: Sequence[str] | None = None,
         others = [o for o in kcols if o != c]
         rec = base.where(col(c).isNull()).select("__rid", *[col(o).cast("double").alias(o) for o in others],
                                                  _pattern(others).alias("__pat"))
-        don = base.where(col(c).isNotNull()).select("__rid", col(c).cast("double").alias("__val"),
+        don = base.where(col(c).isNotNull()).select("__rid", "__ord", col(c).cast("double").alias("__val"),
                                                     *[col(o).cast("double").alias(o) for o in others],
                                                     _pattern(others).alias("__pat"))
-        rpats = [r[0] for r in rec.select("__pat").distinct().collect()]
-        dpats = [r[0] for r in don.select("__pat").distinct().collect()]
+        rpats = sorted(r[0] for r in rec.select("__pat").distinct().collect())
+        dpats = sorted(r[0] for r in don.select("__pat").distinct().collect())
         mean_c = base.agg(F.avg(col(c).cast("double"))).collect()[0][0]
         cands = []
         for pr in rpats:
@@ -80,7 +80,7 @@ def knn_impute(df: DataFrame, target: str, columns: Sequence[str] | None = None,
                 # donors grouped by their S-coordinates; keep the first k of each group (hash order)
                 grp = dg.groupBy(*S).agg(F.count("*").alias("__n"))
                 grp = cut_lineage(sampling.hash_rank(grp, S, seed, rank_col="__gid"))
-                slots = sampling.hash_rank(dg.join(grp.select(*S, "__gid"), S), ["__rid"], seed, by="__gid",
+                slots = sampling.hash_rank(dg.join(grp.select(*S, "__gid"), S), ["__ord"], seed, by="__gid",
                                            rank_col="__slot").where(F.col("__slot") < k)
                 dims = [f"__s{i}" for i in range(len(S))]
                 q = rgroups.select(F.col("__qid").alias("qid"),

@@ -2,8 +2,9 @@
 
 Everything derives from one ``groupBy(actual, predicted).count()`` (the
 confusion table, k x k rows) or, for ROC/AUC, one ``groupBy(score)``.  ROC
-cumulative sums are bucketed by score range so no window holds all distinct
-scores in one task.
+cumulative sums are bucketed by quantiles of the distinct scores, so no window
+holds many of them in one task however they pile up.  Rows without a score
+(NULL or NaN) are in no ROC point and no AUC.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tabforge.functions.exprs import col
 
-ROC_BUCKETS = 4096
+ROC_BUCKETS = 128
 
 
 def confusion(df: DataFrame, label: str, pred: str, classes: Sequence[str] | None = None) -> DataFrame:
@@ -82,18 +83,17 @@ def classification_report(df: DataFrame, label: str, pred: str,
 
 def _score_counts(df: DataFrame, label: str, score: str, positive: str) -> DataFrame:
     is_pos = (col(label).cast("string") == F.lit(positive)).cast("bigint")
-    return df.groupBy(col(score).cast("double").alias("s")).agg(
+    scored = df.where(col(score).isNotNull() & ~F.isnan(col(score).cast("double")))
+    return scored.groupBy(col(score).cast("double").alias("s")).agg(
         F.sum(is_pos).alias("pos"), F.sum(1 - is_pos).alias("neg"))
 
 
 def _cumulative_desc(sc: DataFrame) -> DataFrame:
     """Add pos_gt / neg_gt (counts with a strictly higher score) without a global window."""
-    lo_hi = sc.agg(F.min("s").alias("lo"), F.max("s").alias("hi")).collect()[0]
-    lo, hi = lo_hi["lo"], lo_hi["hi"]
-    span = (hi - lo) if hi is not None and hi > lo else 1.0
-    b = F.least(F.floor((F.lit(hi) - F.col("s")) / F.lit(span) * ROC_BUCKETS).cast("int"), F.lit(ROC_BUCKETS - 1)) \
-        if hi is not None else F.lit(0)
-    sb = sc.withColumn("b", b)   # bucket 0 holds the highest scores
+    bounds = sorted(set(sc.approxQuantile("s", [i / ROC_BUCKETS for i in range(1, ROC_BUCKETS)], 0.2 / ROC_BUCKETS)))
+    # bucket 0 holds the highest scores; a bound is the least score of its bucket
+    below = F.array(*[F.lit(float(x)) for x in bounds]) if bounds else F.array().cast("array<double>")
+    sb = sc.withColumn("b", F.lit(len(bounds)) - F.size(F.filter(below, lambda x: x <= F.col("s"))))
     tot = sb.groupBy("b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     wb = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("b", F.coalesce(F.sum("bp").over(wb), F.lit(0)).alias("op"),
@@ -122,5 +122,5 @@ def roc_auc(df: DataFrame, label: str, score: str, positive: str) -> DataFrame:
     """Exact AUC (ties count one half): sum over scores of neg * (pos above + pos equal / 2)."""
     sc = _score_counts(df, label, score, positive)
     cum = _cumulative_desc(sc)
-    return cum.agg(F.try_divide(F.sum(F.col("neg") * (F.col("pos_gt") + F.col("pos") / 2.0)),
-                                F.sum("pos") * F.sum("neg")).alias("auc"))
+    return cum.agg(F.try_divide(F.sum(F.col("neg").cast("double") * (F.col("pos_gt") + F.col("pos") / 2.0)),
+                                F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"))

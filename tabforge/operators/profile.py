@@ -82,14 +82,11 @@ def class_balance(df: DataFrame, target: str, include_null: bool = True,
 
 
 def imbalance(df: DataFrame, target: str, ratio: float = IMBALANCE_RATIO) -> dict:
-    """D3 on the driver-visible class table (non-null classes only)."""
-    counts = {r["target_class"]: r["n"] for r in class_counts(df, target, include_null=False).collect()}
-    if len(counts) < 2:
-        return {"class_counts": counts, "imbalanced": False}
-    mx, mn = max(counts.values()), min(counts.values())
-    r = mn / mx if mx else 1.0
-    return {"class_counts": counts, "majority_count": mx, "minority_count": mn,
-            "minority_to_majority_ratio": round(r, 4), "imbalanced": r < ratio, "threshold": ratio}
+    """D3: counts, ratio and flag of ``class_balance`` over the rows that have a class."""
+    table = class_balance(df, target, include_null=False, ratio=ratio).collect()
+    any_row = table[0].asDict() if table else {"ratio": 1.0, "imbalanced": False}
+    return {"class_counts": {r.target_class: r.n for r in table},
+            "ratio": any_row["ratio"], "imbalanced": any_row["imbalanced"], "limit": ratio}
 
 
 def prep_recommendations(df: DataFrame, target: str, keys: Sequence[str] = (),

@@ -1,21 +1,24 @@
 """Exact, deterministic sampling by hash rank.
 
-Rows are ordered by ``md5('seed|key1|key2|...')`` (keys break ties).  A
-dense 0-based rank per group is computed without a one-partition window:
-rows are bucketed by a hash prefix sized so a bucket holds ~250k rows, bucket
-sizes are counted (small table), cumulated, and ``row_number`` runs only
-inside (group, bucket).  Cuts at exact per-class counts then give splits,
-folds and undersamples whose sizes match the allocation rules exactly;
-membership is reproducible in any engine that has md5 (the DuckDB oracle
-uses the same ordering).
+Rows are ordered by ``md5('seed|key1|key2|...')``, then by a hash of the whole
+row.  A row whose keys are all NULL (a synthetic one) is ordered by the md5 of
+its content, so membership never depends on partitions; rows equal in every
+column are interchangeable.
+
+A cut at exact per-class counts (splits, undersampling) needs no shuffle of
+rows: counts per class and hash prefix narrow the place of the cut to one short
+prefix, whose hashes give the last one inside, and every row is compared with
+that literal.  Folds need every row's rank: ``hash_rank`` counts it per hash
+prefix (about 250k rows each) plus the sizes of the prefixes before.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.constants import CV_FOLDS, DEFAULT_SEED, MAX_CLASS_DRIFT
@@ -23,6 +26,18 @@ from tabforge.errors import DataError, ParamError
 from tabforge.functions.exprs import col, row_hash
 
 ROWS_PER_BUCKET = 250_000
+CUT_ROWS = 5_000         # rows of the last prefix whose hashes come to the driver
+PREFIX_STEP = 3          # hex digits by which a prefix grows: 4,096 counts a class
+
+
+def row_order(df: DataFrame, keys: Sequence[str], seed: int) -> tuple[Column, Column]:
+    """The md5 a row is ordered by, and a hash of its content for ties."""
+    content = F.xxhash64(*[col(c) for c in sorted(df.columns)])
+    if not keys:
+        return F.md5(F.concat_ws("|", F.lit(str(seed)), content.cast("string"))), content
+    keyless = functools.reduce(lambda x, y: x & y, [col(k).isNull() for k in keys])
+    by_content = F.md5(F.concat_ws("|", F.lit(str(seed)), content.cast("string")))
+    return F.when(keyless, by_content).otherwise(row_hash(seed, keys)), content
 
 
 def _prefix_len(n_max: int) -> int:
@@ -33,21 +48,77 @@ def _prefix_len(n_max: int) -> int:
 
 def hash_rank(df: DataFrame, keys: Sequence[str], seed: int = DEFAULT_SEED, by: str | None = None,
               n_max: int | None = None, rank_col: str = "__rank") -> DataFrame:
-    """Add a dense 0-based rank in hash order within each ``by`` group."""
-    h = row_hash(seed, keys)
-    grp = col(by).cast("string") if by else F.lit("")
+    """Add a dense 0-based rank in hash order within each ``by`` group (NULL is one)."""
+    h, content = row_order(df, keys, seed)
+    grp = F.struct(col(by).cast("string") if by else F.lit(""))
     if n_max is None:
         n_max = df.count()
     plen = _prefix_len(n_max)
-    base = df.select("*", h.alias("__h"), grp.alias("__g")).withColumn("__b", F.substring("__h", 1, plen))
+    base = df.select("*", h.alias("__h"), content.alias("__x"), grp.alias("__g")).withColumn("__b", F.substring("__h", 1, plen))
     sizes = base.groupBy("__g", "__b").agg(F.count("*").alias("__n"))
     # cumulative bucket offsets: a window over the bucket table (<= 16^plen rows per group)
     w = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__g", "__b", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
     ranked = base.join(offsets, ["__g", "__b"])
-    wr = Window.partitionBy("__g", "__b").orderBy("__h", *[col(k) for k in keys])
+    wr = Window.partitionBy("__g", "__b").orderBy("__h", "__x")
     return (ranked.withColumn(rank_col, F.col("__off") + F.row_number().over(wr) - 1)
-            .drop("__h", "__g", "__b", "__off"))
+            .drop("__h", "__x", "__g", "__b", "__off"))
+
+
+def first_rows(df: DataFrame, keys: Sequence[str], seed: int, first: Mapping[str | None, int],
+               by: str | None = None) -> Column | None:
+    """Condition: the row is among the first ``first[class]`` rows of its class
+    in hash order.  None if a cut falls between rows equal in every column."""
+    h, content = row_order(df, keys, seed)
+    g = col(by).cast("string") if by else F.lit(None).cast("string")
+    base = df.select(g.alias("g"), h.alias("h"), content.alias("x"))
+    sizes = {r.g: r.n for r in base.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ends: dict[str | None, tuple | None] = {c: None for c in sizes if first.get(c, 0) <= 0}
+    ends |= {c: ("g", 0) for c, n in sizes.items() if first.get(c, 0) >= n and n}
+    open_ = {c: {"prefix": "", "rest": first[c], "n": n} for c, n in sizes.items() if c not in ends}
+
+    def inside() -> Column:
+        parts = [F.col("g").eqNullSafe(F.lit(c)) & F.col("h").startswith(o["prefix"]) for c, o in open_.items()]
+        return functools.reduce(lambda x, y: x | y, parts)
+
+    while any(o["n"] > CUT_ROWS and len(o["prefix"]) < 32 for o in open_.values()):
+        size = max(len(o["prefix"]) for o in open_.values()) + PREFIX_STEP
+        counts: dict = {}
+        for r in base.where(inside()).groupBy("g", F.substring("h", 1, size).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect():
+            counts.setdefault(r.g, []).append((r.p, r.n))
+        for c, o in open_.items():
+            for prefix, n in sorted(counts[c]):
+                if n >= o["rest"]:
+                    o.update(prefix=prefix, n=n)
+                    break
+                o["rest"] -= n
+    if open_:
+        rows: dict = {}
+        for r in base.where(inside()).collect():
+            rows.setdefault(r.g, []).append((r.h, r.x))
+        for c, o in open_.items():
+            line = sorted(rows[c])
+            last = line[o["rest"] - 1]
+            if o["rest"] < len(line) and line[o["rest"]] == last:
+                return None
+            ends[c] = last
+    out = F.lit(False)
+    for c, end in ends.items():
+        if end is not None:
+            out = out | (g.eqNullSafe(F.lit(c)) & ((h < end[0]) | ((h == end[0]) & (content <= end[1]))))
+    return out
+
+
+def _mark_first(df: DataFrame, keys: Sequence[str], seed: int, first: Mapping[str | None, int], by: str | None, name: str) -> DataFrame:
+    """Add boolean ``name``: among the first rows of the class."""
+    inside = first_rows(df, keys, seed, first, by)
+    if inside is not None:
+        return df.withColumn(name, inside)
+    ranked = hash_rank(df, keys, seed, by=by)
+    cut = F.lit(0)
+    for c, n in first.items():
+        cut = F.when((col(by).cast("string") if by else F.lit(None).cast("string")).eqNullSafe(F.lit(c)), F.lit(n)).otherwise(cut)
+    return ranked.withColumn(name, F.col("__rank") < cut).drop("__rank")
 
 
 def class_counts(df: DataFrame, target: str) -> dict[str, int]:
@@ -89,26 +160,21 @@ def split(df: DataFrame, target: str, keys: Sequence[str], test_size: float = 0.
         smallest = min(counts.values())
         if smallest < 2:
             raise DataError(f"Cannot stratify: class with only {smallest} sample(s). Distribution: {counts}")
-        alloc = stratified_allocation(counts, n_train)
-        ranked = hash_rank(df, keys, seed, by=target, n_max=max(counts.values()))
-        cut = F.create_map(*[x for c, v in alloc.items() for x in (F.lit(c), F.lit(v))])[col(target).cast("string")]
+        marked = _mark_first(df, keys, seed, stratified_allocation(counts, n_train), target, "__first")
     else:
-        ranked = hash_rank(df, keys, seed, by=None, n_max=n)
-        cut = F.lit(n_train)
-    return ranked.withColumn(split_col, F.when(F.col("__rank") < cut, "train").otherwise("test")).drop("__rank")
+        marked = _mark_first(df, keys, seed, {None: n_train}, None, "__first")
+    return marked.withColumn(split_col, F.when(F.col("__first"), "train").otherwise("test")).drop("__first")
 
 
 def kfold(df: DataFrame, target: str, keys: Sequence[str], k: int = CV_FOLDS, seed: int = DEFAULT_SEED,
           fold_col: str = "fold") -> DataFrame:
     """Stratified k-fold id: per-class fold sizes equal those of the usual
     sorted-label round-robin allocation (class c's rows continue the cycle
-    where the previous classes stopped)."""
+    where the previous classes stopped).  A class with fewer rows than folds
+    is missing in some folds."""
     counts = class_counts(df, target)
     if None in counts:
         raise DataError("Cannot assign folds on a target with nulls.")
-    if min(counts.values()) < k:
-        # the folds are still assigned, but some class misses some folds
-        pass
     offsets, acc = {}, 0
     for c in sorted(counts):
         offsets[c] = acc
@@ -119,12 +185,13 @@ def kfold(df: DataFrame, target: str, keys: Sequence[str], k: int = CV_FOLDS, se
 
 
 def undersample(df: DataFrame, target: str, keys: Sequence[str], seed: int = DEFAULT_SEED) -> DataFrame:
-    """Every class cut to the minority count, without replacement (H1)."""
-    counts = class_counts(df, target)
-    counts = {c: v for c, v in counts.items() if c is not None}
-    m = min(counts.values())
-    ranked = hash_rank(df, keys, seed, by=target, n_max=max(counts.values()))
-    return ranked.where(F.col("__rank") < m).drop("__rank")
+    """Every class cut to the minority count, without replacement (H1).  Rows
+    without a class are in no class and are left out."""
+    counts = {c: v for c, v in class_counts(df, target).items() if c is not None}
+    if not counts:
+        return df.limit(0)
+    least = min(counts.values())
+    return _mark_first(df, keys, seed, {c: least for c in counts}, target, "__first").where("__first").drop("__first")
 
 
 def class_drift(df: DataFrame, target: str, split_col: str = "split",

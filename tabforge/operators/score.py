@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tabforge.constants import LOW_CONFIDENCE
 from tabforge.errors import ParamError
+from tabforge.operators import checks
 from tabforge.operators.encode import label_inverse, raw_feature_exprs
 
 
@@ -61,6 +62,7 @@ def score(raw: DataFrame, bundle: dict, threshold: float = LOW_CONFIDENCE, fill:
     threshold = _check_threshold(threshold)
     feats = list(bundle["features"])
     schema = bundle.get("input_schema") or [{"name": f, "type": "numeric"} for f in feats]
+    checks.require_columns(raw, [f["name"] for f in schema])
     clf = bundle["model"].stages[-1]
     if hasattr(clf, "coefficients") and hasattr(clf, "intercept") and clf.numClasses == 2:
         return score_linear(raw, schema, feats, clf.coefficients.toArray().tolist(), clf.intercept,
@@ -82,7 +84,7 @@ def low_confidence_count(scored: DataFrame) -> DataFrame:
 
 def class_probabilities(scored: DataFrame, keys: Sequence[str], classes: Sequence[str]) -> DataFrame:
     """K4: (keys..., class, probability) per row, highest first within a row."""
-    probs = F.array(1 - F.col("p_positive"), F.col("p_positive"))
-    return (scored.select(*[F.col(k) for k in keys], F.posexplode(probs).alias("idx", "probability"))
-            .withColumn("class", label_inverse(F.col("idx"), classes)).drop("idx")
-            .select(*keys, "class", "probability"))
+    both = F.array(*[F.struct((-p).alias("down"), F.lit(i).alias("idx"), p.alias("probability"))
+                     for i, p in enumerate((1 - F.col("p_positive"), F.col("p_positive")))])
+    return (scored.select(*[F.col(k) for k in keys], F.explode(F.array_sort(both)).alias("c"))
+            .select(*keys, label_inverse(F.col("c.idx"), classes).alias("class"), F.col("c.probability").alias("probability")))

@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabforge.errors import DataError
 from tabforge.functions.exprs import col, is_numeric_type
 
 MAX_BRACKET_VALUES = 50_000   # distinct values pulled to the driver per bracket
@@ -41,7 +42,16 @@ def tall_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- quantiles
 def _interp(lo: float, hi: float, d: float) -> float:
-    return lo + (hi - lo) * d
+    return lo if d == 0.0 or lo == hi else lo + (hi - lo) * d
+
+
+def _finite(v, linear: bool):
+    """An ascending finite scale over all doubles: signed logarithm (heavy tails
+    narrow quickly), or the value itself within half the range of doubles."""
+    if linear:
+        return F.greatest(F.least(v, F.lit(8e307)), F.lit(-8e307))
+    scaled = F.signum(v) * F.log1p(F.abs(v))
+    return F.greatest(F.least(scaled, F.lit(1e4)), F.lit(-1e4))
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
@@ -83,7 +93,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         plan[c] = entries
 
     spark = df.sparkSession
-    for _ in range(8):
+    linear = False        # bins on a log scale, then on a linear one where that does not narrow a bracket
+    while True:
         open_t = {k: t for k, t in targets.items() if t["value"] is None}
         if not open_t:
             break
@@ -124,25 +135,29 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                         t["value"] = v
                         break
         if large:
-            width = (F.col("bhi") - F.col("blo"))
-            b = F.least(F.floor((F.col("v") - F.col("blo")) / width * HISTOGRAM_BINS).cast("int"),
-                        F.lit(HISTOGRAM_BINS - 1))
+            lo, hi, v = (_finite(F.col(c), linear) for c in ("blo", "bhi", "v"))
+            share = F.coalesce(F.try_divide(v - lo, hi - lo), F.lit(0.0))
+            b = F.least(F.floor(share * HISTOGRAM_BINS).cast("int"), F.lit(HISTOGRAM_BINS - 1))
             hist = (joined.where(~F.col("final")).groupBy("tid", b.alias("bin"))
                     .agg(F.count("*").alias("cnt"), F.min("v").alias("mn"), F.max("v").alias("mx"))
                     .collect())
-            by_tid = {}
+            by_tid, stuck = {}, False
             for r in hist:
                 by_tid.setdefault(r["tid"], []).append((r["bin"], r["cnt"], r["mn"], r["mx"]))
             for j, (k, t) in enumerate(keyed):
                 if k not in large:
                     continue
                 pos = k[1] - t["below"]
-                acc = 0
+                acc, before = 0, t["count"]
                 for _bin, cnt, mn, mx in sorted(by_tid.get(tid_of[j], [])):
                     if acc + cnt > pos:
                         t.update(lo=mn, hi=mx, below=t["below"] + acc, count=cnt)
                         break
                     acc += cnt
+                stuck |= t["count"] == before and t["lo"] != t["hi"]
+            if stuck and linear:
+                raise DataError("A quantile's bracket cannot be narrowed.")
+            linear = stuck
 
     out: dict[str, list[float | None]] = {}
     for c in columns:
@@ -228,7 +243,6 @@ def sorted_categories(df: DataFrame, columns: Sequence[str], max_categories: int
     if max_categories is not None:
         too_many = (vc.groupBy("name").count().where(F.col("count") > max_categories).collect())
         if too_many:
-            from tabforge.errors import DataError
             raise DataError("Too many categories to one-hot encode: " + ", ".join(
                 f"{r['name']} ({r['count']})" for r in too_many))
     got: dict[str, list[str]] = {c: [] for c in columns}
