@@ -344,8 +344,8 @@ def save_bundle(c: Candidate, path: str, schema: list[dict] | None = None, extra
 
 def load_bundle(spark, path: str) -> dict:
     meta = json.loads(spark.read.text(f"{path}/meta").collect()[0][0])
-    for k in ("classes", "features", "target"):
-        if k not in meta:
-            raise DataError(f"Model bundle missing '{k}'.")
+    absent = [k for k in ("classes", "features", "target", "input_schema") if k not in meta]
+    if absent:
+        raise DataError(f"{path}: the bundle lacks {absent}.")
     meta["model"] = PipelineModel.load(f"{path}/model")
     return meta

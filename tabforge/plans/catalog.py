@@ -400,7 +400,90 @@ def q_prep_flow_balanced(spark, d):
     return r6(res.table)
 
 
+# ------------------------------------------------------- tables between stages
+def _out(spark, name):
+    from tabforge.session import work_path
+    return work_path(spark, name)
+
+
+def q_csv_load(spark, d):
+    """fx_nulls written as CSV with a missing token, read back and typed."""
+    from tabforge.sources.tables import load_table
+    path = _out(spark, "fx_nulls.csv")
+    fx.fx_nulls(spark, d).write.option("header", True).option("nullValue", "NA").csv(path)
+    return r6(load_table(spark, path))
+
+
+def q_stage_roundtrip(spark, d):
+    from tabforge.sources.tables import read_stage, write_stage
+    path = _out(spark, "fx_high")
+    write_stage(fx.fx_high(spark, d), path, partition_by=["is_high"])
+    return r6(read_stage(spark, path, "is_high", LK))
+
+
+def q_schema_roundtrip(spark, d):
+    from tabforge.sources.tables import read_schema, write_schema
+    enc, info = encode_features(_redundant(spark, d), "one_hot_drop_first", "is_big", keys=LK)
+    feats = [c for c in enc.columns if c != "is_big" and c not in LK]
+    path = _out(spark, "schema")
+    write_schema(spark, build_input_schema(info["pre_encode"], info["groups"], feats, info["excluded"], LK), path)
+    rows = [(i, s["name"], s["type"], ",".join(s["categories"]) if s["categories"] else None,
+             s["drop_first"], ",".join(s["dummy_columns"]) if s["dummy_columns"] else None)
+            for i, s in enumerate(read_schema(spark, path))]
+    return spark.createDataFrame(rows, "pos int, name string, type string, categories string, "
+                                       "drop_first boolean, dummy_columns string")
+
+
+def q_bundle_score(spark, d):
+    """A promoted bundle, loaded and used, scores every row like the model in memory."""
+    from tabforge.plans.stages import promote, score_promoted, score_stage
+    res, sp = _prepared_split(spark, d)
+    c = models.train_baseline(sp.train, "is_high", "logistic_regression", {"C": 1.0, "max_iter": 50}, keys=LK)
+    path = _out(spark, "bundle")
+    promote(c, path, res.schema)
+    raw = fx.fx_high(spark, d).drop("is_high")
+    now = score_stage(raw, c, res.schema).select(*LK, F.col("p_positive").alias("p"), F.col("prediction").alias("y"))
+    both = score_promoted(raw, path).join(now, LK)
+    same = (F.abs(F.col("p_positive") - F.col("p")) < 1e-12) & (F.col("prediction") == F.col("y"))
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~same).alias("different"))
+
+
+def q_roc_auc_skewed(spark, d):
+    """AUC over scores that pile up near 0 and 1."""
+    s = F.col("score")
+    piled = _rule(spark, d).withColumn("score", F.when(s < 0.5, s * 1e-9).otherwise(1 - s * 1e-9))
+    return r6(metrics.roc_auc(piled, "l_linestatus", "score", positive="O"))
+
+
+def q_iqr_fences_extreme(spark, d):
+    """Quartiles of a column with infinities and of one over many magnitudes."""
+    from tabforge.operators.stats import exact_quantiles
+    price, key = F.col("l_extendedprice"), F.col("l_orderkey")
+    df = fx.fx_high(spark, d).select(
+        F.when(key % 50 == 0, F.lit(float("inf"))).when(key % 77 == 0, F.lit(float("-inf"))).otherwise(price).alias("with_inf"),
+        F.when(key % 3 == 0, price * 1e6).when(key % 3 == 1, price).otherwise(F.col("l_quantity") / 1024).alias("wide"))
+    got = exact_quantiles(df, ["with_inf", "wide"], [0.25, 0.5, 0.75])
+    return r6(spark.createDataFrame([(c, *q) for c, q in got.items()], "column_name string, q1 double, median double, q3 double"))
+
+
+def q_split_balanced(spark, d):
+    """Rows per side and class after balancing and a stratified split."""
+    from tabforge.operators.resample import balance_classes
+    from tabforge.plans.prep import prepare
+    table = prepare(fx.fx_high(spark, d), "is_high", keys=LK, balance="none").table
+    balanced, _ = balance_classes(table, "smote", "is_high", keys=LK)
+    side = sampling.split(balanced, "is_high", LK, test_size=0.2, stratify=True)
+    return side.groupBy("split", F.col("is_high").cast("int").alias("is_high")).agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
+    "csv_load": q_csv_load,
+    "stage_roundtrip": q_stage_roundtrip,
+    "schema_roundtrip": q_schema_roundtrip,
+    "bundle_score": q_bundle_score,
+    "roc_auc_skewed": q_roc_auc_skewed,
+    "iqr_fences_extreme": q_iqr_fences_extreme,
+    "split_balanced": q_split_balanced,
     "normalize_strings": q_normalize_strings,
     "coerce_numeric": q_coerce_numeric,
     "null_report": q_null_report,

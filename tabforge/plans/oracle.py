@@ -444,7 +444,42 @@ SELECT quality, (SELECT max(n) FROM (SELECT count(*) AS n FROM fx GROUP BY quali
        'smotenc' AS method_applied
 FROM (SELECT DISTINCT quality FROM fx)""")
 
+# ------------------------------------------------------- tables between stages
+CSV_LOAD = with_fx("fx_nulls", f"""
+SELECT {K}, round(l_quantity, 6) AS l_quantity, round(l_extendedprice, 6) AS l_extendedprice, round(l_discount, 6) AS l_discount,
+       round(l_tax, 6) AS l_tax, l_returnflag, l_linestatus FROM fx""")
+
+STAGE_ROUNDTRIP = with_fx("fx_high", f"""
+SELECT {K}, round(l_quantity, 6) AS l_quantity, round(l_extendedprice, 6) AS l_extendedprice, round(l_discount, 6) AS l_discount,
+       round(l_tax, 6) AS l_tax, l_returnflag, round(l_charge, 6) AS l_charge, is_high FROM fx""")
+
+BUNDLE_SCORE = with_fx("fx_high", "SELECT count(*) AS rows, 0 AS different FROM fx")
+
+ROC_AUC_SKEWED = with_fx("fx_rule_scores", """
+SELECT round(sum(neg * (pos_gt + pos / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc FROM cum""",
+                         _SCORES.replace("SELECT score AS s", "SELECT CASE WHEN score < 0.5 THEN score * 1e-9 ELSE 1 - score * 1e-9 END AS s"))
+
+IQR_FENCES_EXTREME = with_fx("fx_high", """
+SELECT column_name, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3
+FROM (SELECT 'with_inf' AS column_name, CASE WHEN l_orderkey % 50 = 0 THEN CAST('inf' AS DOUBLE) WHEN l_orderkey % 77 = 0 THEN CAST('-inf' AS DOUBLE)
+             ELSE l_extendedprice END AS v FROM fx
+      UNION ALL SELECT 'wide', CASE WHEN l_orderkey % 3 = 0 THEN l_extendedprice * 1e6 WHEN l_orderkey % 3 = 1 THEN l_extendedprice
+             ELSE l_quantity / 1024 END FROM fx) GROUP BY column_name""")
+
+SPLIT_BALANCED = with_fx("fx_high", """
+SELECT split, is_high, CAST(CASE WHEN split = 'train' THEN n_train // 2 + CASE WHEN is_high = 0 THEN n_train % 2 ELSE 0 END
+       ELSE m - (n_train // 2 + CASE WHEN is_high = 0 THEN n_train % 2 ELSE 0 END) END AS BIGINT) AS n
+FROM (SELECT m, 2 * m - CAST(ceil(0.2 * (2 * m)) AS BIGINT) AS n_train FROM (SELECT max(n) AS m FROM (SELECT count(*) AS n FROM fx GROUP BY is_high))),
+     (VALUES ('train'), ('test')) s(split), (VALUES (0), (1)) h(is_high)""")
+
 ORACLE_SQL = {
+    "csv_load": CSV_LOAD,
+    "stage_roundtrip": STAGE_ROUNDTRIP,
+    "schema_roundtrip": INPUT_SCHEMA,
+    "bundle_score": BUNDLE_SCORE,
+    "roc_auc_skewed": ROC_AUC_SKEWED,
+    "iqr_fences_extreme": IQR_FENCES_EXTREME,
+    "split_balanced": SPLIT_BALANCED,
     "normalize_strings": NORMALIZE_STRINGS,
     "coerce_numeric": COERCE_NUMERIC,
     "null_report": NULL_REPORT,

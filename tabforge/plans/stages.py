@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.constants import DEFAULT_SEED, MAX_CLASS_DRIFT, MIN_ROWS, VERDICTS
-from tabforge.errors import DataError
 from tabforge.operators import checks, gate, metrics, models, profile, sampling
 from tabforge.operators.score import score
 from tabforge.session import cut_lineage
 from tabforge.sources.runlog import RunLog
+from tabforge.sources.tables import write_stage
 
 
 # ------------------------------------------------------------------ M2 split
@@ -50,22 +50,15 @@ def split_stage(df: DataFrame, target: str, keys: Sequence[str] = (), test_size:
     log.step("validate_split", {"max_class_drift": max_drift}, rec["rows"], rec["rows"], f"max drift {mx:.4f}")
     train = sp.where(F.col("split") == "train").drop("split")
     test = sp.where(F.col("split") == "test").drop("split")
-    return SplitResult(train, test, drift, {"test_size": ts, "stratify": st, "max_drift": mx}, log)
+    return SplitResult(train, test, drift, {"test_size": ts, "stratify": st, "max_drift": mx, "rows": rec["rows"]}, log)
 
 
-def write_stage(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
-    """A3/A4: write Parquet, read back, compare row counts (observed while writing)."""
-    from pyspark.sql import Observation
-    obs = Observation("rows")
-    w = df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    written = obs.get["n"]
-    back = df.sparkSession.read.parquet(path).count()
-    if back != written:
-        raise DataError(f"Row count mismatch after write: wrote {written}, read back {back}.")
-    return back
+def save_split(sp: SplitResult, path: str) -> dict[str, int]:
+    """A4/M2: train and test tables below ``path``; their row counts must add up
+    to what the split step logged (C5)."""
+    counts = {name: write_stage(part, f"{path}/{name}") for name, part in (("train", sp.train), ("test", sp.test))}
+    checks.require_row_count(sum(counts.values()), sp.info.get("rows"), "split")
+    return counts
 
 
 # ------------------------------------------------------------------ M3 train
@@ -165,10 +158,20 @@ def bundle_of(c: models.Candidate, schema: list[dict]) -> dict:
             "input_schema": schema, "algorithm": c.algorithm}
 
 
+def promote(c: models.Candidate, path: str, schema: list[dict]) -> None:
+    """Write the chosen candidate's model, classes, features and schema."""
+    models.save_bundle(c, path, schema)
+
+
+def score_promoted(raw: DataFrame, path: str) -> DataFrame:
+    """M5: score a raw table with a bundle that ``promote`` wrote."""
+    return score(raw, models.load_bundle(raw.sparkSession, path))
+
+
 def score_stage(raw: DataFrame, c: models.Candidate, schema: list[dict]) -> DataFrame:
     """M5: score a raw table with the chosen candidate."""
     return score(raw, bundle_of(c, schema))
 
 
-__all__ = ["split_stage", "train_stage", "evaluate_stage", "deploy_stage", "score_stage", "write_stage",
+__all__ = ["split_stage", "train_stage", "evaluate_stage", "deploy_stage", "score_stage", "score_promoted", "promote", "save_split", "write_stage",
            "VERDICTS"]

@@ -56,14 +56,13 @@ def is_local(spark: SparkSession) -> bool:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and intermediate tables."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        if not is_local(spark):
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if not folder and not is_local(spark):
             raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
-        conf = tempfile.mkdtemp(prefix="tabforge-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    spark.sparkContext.setCheckpointDir(conf)
-    return conf
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tabforge-ckpt-"))
+    return folder or context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
