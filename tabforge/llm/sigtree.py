@@ -5,11 +5,14 @@ similarity is ``THRESHOLD`` or more are linked; the result is the connected
 components of the links.
 
 1. Documents with the same set form one class (a 128-bit digest of the set).
-2. Under any one order of all shingles, two sets that reach the threshold share
-   one of their first ``n - ceil(0.8 n) + 1`` shingles.  The order is: by hash,
-   but shingles found frequent come last (a bounded list, a matter of speed
-   alone).  Classes that share such a shingle and have fitting sizes are joined
-   into candidate groups by star edges, never by pairs.
+2. Two sets that reach the threshold share ``c`` of their first
+   ``n - ceil(0.8 n) + c`` shingles in hash order, for any ``c``.  ``c`` is half
+   of the prefix that one common shingle needs.  So a class stays a candidate
+   only while at least as many of its first shingles as its smallest possible
+   partner must share stand in another candidate's too; a passage that many
+   documents share makes no candidates of documents that are mostly their own.
+   Candidates that share such a shingle and have fitting sizes are joined into
+   groups by star edges, never by pairs.
 3. The texts of a candidate group meet in one tile, where a signature tree
    joins them: a leaf is a class with a bitmap of its shingles, a node the OR
    of its children's bitmaps, their range of sizes and their most shingles
@@ -45,12 +48,11 @@ from tabforge.llm.words import window_hashes, words_of
 from tabforge.session import written
 
 WORDS = 5
-FREQUENT_FROM = 8           # shingles in so many prefixes are put last ...
-FREQUENT_MOST = 500_000     # ... the most frequent of them, at most so many
+ROUNDS = 6                  # of leaving out classes that lost their partners; fewer or more change no link
 TILE = 800                  # classes of a group that are joined in one tile
 BLOCK = 400
 GROUP_ROWS = 400            # rows of small tiles that one Python call takes
-BITS = 2048                 # of a signature
+BITS = 4096                 # of a signature
 FANOUT = 8
 
 
@@ -68,8 +70,14 @@ def overlap_needed(a: int, b: int) -> int:
     return -(-4 * (a + b) // 9)
 
 
+def common_needed(n: int) -> int:
+    """``c`` for a set of n shingles."""
+    return max(1, (n - (4 * n + 4) // 5 + 1) // 2)
+
+
 def prefix_length(n: int) -> int:
-    return n - (4 * n + 4) // 5 + 1
+    """The first so many shingles of linked sets hold ``c`` common ones."""
+    return n - (4 * n + 4) // 5 + common_needed(n)
 
 
 # ---------------------------------------------------------------- the tree
@@ -165,31 +173,21 @@ def tree_join(sets: list[np.ndarray], given: list[int] | None = None) -> list[tu
 # ---------------------------------------------------------------- the Spark job
 
 def read_sets(rows: DataFrame) -> DataFrame:
-    """``id, mark, cls, n, prefix``: the class and set size of every document;
-    the prefix by hash order for the first of each class in a task."""
+    """``id, mark, cls, n``: the class and set size of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         for batch in batches:
-            cls, n, prefix = [], [], []
-            for text in batch.column(2).to_pylist():
-                s = shingle_set(text)
-                digest = xxhash.xxh3_128_digest(s.tobytes())
-                cls.append(digest)
-                n.append(len(s))
-                prefix.append(None if not len(s) or digest in seen else s[:prefix_length(len(s))].view(np.int64))
-                seen.add(digest)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls, pa.binary()), pa.array(n, pa.int64()),
-                                              pa.array(prefix, pa.list_(pa.int64()))], ["id", "mark", "cls", "n", "prefix"])
+            sets = [shingle_set(text) for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                 pa.array([len(s) for s in sets], pa.int64())], ["id", "mark", "cls", "n"])
 
-    return rows.mapInArrow(run, "id long, mark long, cls binary, n long, prefix array<long>")
+    return rows.mapInArrow(run, "id long, mark long, cls binary, n long")
 
 
-def prefix_entries(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``token, node, n``: the prefix of each class, frequent shingles last."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.sort(frequent))
-
+def prefix_entries(rows: DataFrame) -> DataFrame:
+    """``token, node, n``: the first shingles of each class, once per task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen = shared.value, set()
+        seen: set[bytes] = set()
         for batch in batches:
             tokens, nodes, sizes = [], [], []
             for text in batch.column(2).to_pylist():
@@ -198,15 +196,10 @@ def prefix_entries(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
                 if not len(s) or digest in seen:
                     continue
                 seen.add(digest)
-                if len(last):
-                    late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                    first = s[~late][:prefix_length(len(s))]
-                    s_prefix = np.concatenate([first, s[late][:prefix_length(len(s)) - len(first)]])
-                else:
-                    s_prefix = s[:prefix_length(len(s))]
-                tokens.append(s_prefix)
-                nodes.append(np.full(len(s_prefix), int.from_bytes(digest[:8], "little", signed=True)))
-                sizes.append(np.full(len(s_prefix), len(s)))
+                first = s[:prefix_length(len(s))]
+                tokens.append(first)
+                nodes.append(np.full(len(first), int.from_bytes(digest[:8], "little", signed=True)))
+                sizes.append(np.full(len(first), len(s)))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)),
                                                   pa.array(np.concatenate(sizes))], ["token", "node", "n"])
@@ -214,6 +207,29 @@ def prefix_entries(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "token long, node long, n long")
 
 
+def _in_two(entries: DataFrame) -> DataFrame:
+    """Entries whose shingle stands in two classes or more."""
+    w = Window.partitionBy("token")
+    both = entries.select("*", F.min("node").over(w).alias("low"), F.max("node").over(w).alias("high"))
+    return both.where("low != high").select("token", "node", "n")
+
+
+def core(entries: DataFrame) -> DataFrame:
+    """Entries of the classes that still have enough shingles in common with
+    other candidates."""
+    smallest = F.expr("(4 * n + 4) div 5")                  # size of the smallest possible partner
+    needed = F.greatest(F.lit(1), F.expr("(smallest - (4 * smallest + 4) div 5 + 1) div 2"))
+    now = written(_in_two(entries).distinct(), "entries")
+    left = now.count()
+    for _ in range(ROUNDS):
+        keep = now.groupBy("node", "n").agg(F.count(F.lit(1)).alias("k")).withColumn("smallest", smallest).where(F.col("k") >= needed)
+        now = written(_in_two(now.join(keep.select("node"), "node", "left_semi")), "entries")
+        before, left = left, now.count()
+        if left > 0.98 * before:
+            break
+    return now
+
+
 def _band(n: Column) -> Column:
     """Sizes of one band, and only of neighbouring bands, can be linked."""
     return F.floor(F.log(n.cast("double")) / math.log(1.25) + 1e-9).cast("int")
@@ -258,11 +274,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), _text_key(text).alias("mark"), text.alias("text"))
     sets = written(read_sets(rows), "sets")
-    counts = sets.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") >= FREQUENT_FROM)
-    frequent = counts.orderBy(F.desc("count"), "token").limit(FREQUENT_MOST).select("token").toArrow()
-    tokens = frequent.column(0).to_numpy().astype(np.int64).view(np.uint64)
-    groups = components(candidate_edges(prefix_entries(rows, tokens)))
-
+    groups = components(candidate_edges(core(prefix_entries(rows))))
     classes = written(sets.where("n > 0").groupBy("cls", "n").agg(F.min(F.struct("id", "mark")).alias("first"), F.min("id").alias("least")), "classes")
     members = written(classes.withColumn("node", _low_long(F.col("cls"))).join(groups, "node").select("cls", "n", "first", "root"), "members")
     links = tile_links(rows, members)

@@ -35,6 +35,7 @@ from tabforge.constants import (CV_FOLDS, DEFAULT_SEED, MAX_CANDIDATES, MAX_GRID
 from tabforge.errors import DataError, ParamError
 from tabforge.operators import checks, sampling
 from tabforge.operators.encode import label_classes, label_index
+from tabforge.session import cut_lineage
 
 ALGORITHMS = tuple(TUNABLE_PARAMS)
 IGNORED = {"solver", "n_jobs", "verbose", "warm_start"}
@@ -190,7 +191,8 @@ def validation_split(df: DataFrame, target: str, keys: Sequence[str], seed: int
     counts = sampling.class_counts(df, target)
     if len([c for c in counts if c is not None]) < 2:
         raise DataError("Training data must contain at least two classes.")
-    sp = sampling.split(df, target, keys, test_size=size, stratify=True, seed=seed, split_col="__part").cache()
+    sp = sampling.split(df, target, keys, test_size=size, stratify=True, seed=seed, split_col="__part")
+    sp = cut_lineage(sp)
     return sp.where("__part = 'train'").drop("__part"), sp.where("__part = 'test'").drop("__part")
 
 
@@ -252,7 +254,7 @@ def tune(df: DataFrame, target: str, algorithm: str, grid, fixed=None, keys: Seq
     hk = hash_keys(df, keys)
     tr, va = validation_split(df, target, hk, seed)
     tr = sampling.kfold(tr, target, hk, k=folds, seed=seed, fold_col="__fold")
-    tr, va = _prepared(tr, target, feats, classes).cache(), _prepared(va, target, feats, classes)
+    tr, va = cut_lineage(_prepared(tr, target, feats, classes)), _prepared(va, target, feats, classes)
     n_tr = tr.count()
     n_fit = int(round(n_tr * (folds - 1) / folds))
     points = grid_points(grid)

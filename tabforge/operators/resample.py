@@ -55,9 +55,12 @@ def smote(df: DataFrame, target: str, keys: Sequence[str], features: Sequence[st
     cats = [c for c in features if c in set(categorical)]
     conts = [c for c in features if c not in set(cats)]
     mino = df.where(col(target).cast("string") == F.lit(minority_label))
-    n_min = mino.count()
+    row = mino.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(col(c).isNull()).alias(f"z{i}") for i, c in enumerate(features)]).first()
+    n_min, empty = row.n, [c for i, c in enumerate(features) if row[f"z{i}"]]
     if n_min < 2:
         raise DataError(f"SMOTE needs at least 2 minority rows, found {n_min}.")
+    if empty:
+        raise DataError(f"SMOTE: minority rows have nulls in {empty}; impute before balancing.")
     scale = {c: 1.0 for c in conts}
     if cats:
         sds = mino.agg(*[F.stddev_pop(col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(conts)]) \

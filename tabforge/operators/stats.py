@@ -274,41 +274,47 @@ def null_flags(df: DataFrame, columns: Sequence[str]) -> dict[str, bool]:
     return {c: bool(row[f"n{i}"]) for i, c in enumerate(columns)}
 
 
+def _full_corr(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float | None]:
+    """|r| of all pairs of columns without nulls: one matrix, whose work per row
+    is spread over the tasks, so the number of scans doesn't follow the columns."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    if len(columns) < 2:
+        return {}
+    names = [f"c{i}" for i in range(len(columns))]
+    wide = df.select(*[col(c).cast("double").alias(n) for c, n in zip(columns, names)])
+    if wide.isEmpty():
+        return {(a, b): None for i, a in enumerate(columns) for b in columns[i + 1:]}
+    vectors = VectorAssembler(inputCols=names, outputCol="v", handleInvalid="keep").transform(wide).select("v")
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    return {(a, b): None if math.isnan(matrix[i, j]) else abs(float(matrix[i, j]))
+            for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j}
+
+
 def corr_pairs(df: DataFrame, columns: Sequence[str], nulls: dict[str, bool] | None = None
                ) -> dict[tuple[str, str], float | None]:
     """Pairwise-complete |r| for every pair i<j.
 
-    Columns without nulls share one ``stddev_pop`` each and every pair adds one
-    ``covar_pop``; pairs touching a column with nulls are masked to the rows
-    where both are present.  Aggregates run in codegen-sized chunks.
+    Columns without nulls share one correlation matrix; pairs touching a column
+    with nulls are masked to the rows where both are present, in chunks of
+    aggregates that fit whole-stage codegen.
     """
     cols = list(columns)
     if len(cols) < 2:
         return {}
     nulls = nulls if nulls is not None else null_flags(df, cols)
-    named: list[tuple[str, object]] = []
-    for c in cols:
-        if not nulls[c]:
-            named.append((f"sd|{c}", F.stddev_pop(col(c).cast("double"))))
+    full = _full_corr(df, [c for c in cols if not nulls[c]])
     pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    named: list[tuple[str, object]] = []
     for a, b in pairs:
         if nulls[a] or nulls[b]:
             both = col(a).isNotNull() & col(b).isNotNull()
             x, y = F.when(both, col(a).cast("double")), F.when(both, col(b).cast("double"))
             named += [(f"cv|{a}|{b}", F.covar_pop(x, y)), (f"sa|{a}|{b}", F.stddev_pop(x)),
                       (f"sb|{a}|{b}", F.stddev_pop(y))]
-        else:
-            named.append((f"cv|{a}|{b}", F.covar_pop(col(a).cast("double"), col(b).cast("double"))))
     got = _run_chunked(df, named)
-    out: dict[tuple[str, str], float | None] = {}
-    for a, b in pairs:
-        cv = got[f"cv|{a}|{b}"]
-        if nulls[a] or nulls[b]:
-            sa, sb = got[f"sa|{a}|{b}"], got[f"sb|{a}|{b}"]
-        else:
-            sa, sb = got[f"sd|{a}"], got[f"sd|{b}"]
-        out[(a, b)] = _abs_r(cv, sa, sb)
-    return out
+    return {(a, b): full[(a, b)] if (a, b) in full else _abs_r(got[f"cv|{a}|{b}"], got[f"sa|{a}|{b}"], got[f"sb|{a}|{b}"])
+            for a, b in pairs}
 
 
 def _abs_r(cv, sa, sb):

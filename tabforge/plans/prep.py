@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from tabforge.constants import IMBALANCE_RATIO, MIN_ROWS
@@ -50,15 +51,23 @@ def prepare(df: DataFrame, target: str, keys: Sequence[str] = (), manual_drops:
     """
     log = log or RunLog("prep")
     keys = list(keys)
-    info: dict = {}
     df = integrate(df)
     if target not in df.columns:
         raise DataError(f"Target '{target}' not in columns {df.columns}.")
-    # the fits below scan the normalised table ~15 times; keep it (spilling to
-    # disk when it does not fit) until the prepared table is checkpointed
-    from pyspark import StorageLevel
+    # the fits scan the normalised table ~15 times; it is kept (spilling to disk
+    # where it does not fit) until the prepared table is checkpointed
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    src = df
+    try:
+        return _steps(df, target, keys, manual_drops, outliers, imputation, encoding, correlation, balance, ratio, seed,
+                      log, count_steps, checkpoint)
+    finally:
+        df.unpersist()
+
+
+def _steps(df: DataFrame, target: str, keys: list[str], manual_drops: Sequence[str], outliers: str, imputation: str,
+           encoding: str, correlation: str, balance: str, ratio: float, seed: int, log: RunLog, count_steps: bool,
+           checkpoint: bool) -> PrepResult:
+    info: dict = {}
 
     def step(name, params, before, after_df):
         n_after = after_df.count() if count_steps else None
@@ -101,7 +110,6 @@ def prepare(df: DataFrame, target: str, keys: Sequence[str] = (), manual_drops:
     final, schema, feats = finalize(selected, target, keys, einfo, log)
     if checkpoint:
         final = cut_lineage(final)
-        src.unpersist()
     info["features"] = feats
     return PrepResult(final, schema, target, keys, feats, info, log)
 

@@ -123,7 +123,7 @@ def evaluate_stage(c: models.Candidate, train: DataFrame, test: DataFrame, verdi
                    rationale: str | None = None, log: RunLog | None = None) -> EvalResult:
     """metrics x {train, test} -> confusion + ROC on test -> signals -> verdict."""
     log = log or RunLog("evaluate")
-    ptr, pte = predictions(c, train), predictions(c, test).cache()
+    ptr, pte = predictions(c, train), cut_lineage(predictions(c, test))
     m_tr = metrics.weighted_metrics(ptr, "actual", "predicted", c.classes)
     m_te = metrics.weighted_metrics(pte, "actual", "predicted", c.classes)
     mt = m_tr.withColumn("split", F.lit("train")).unionByName(m_te.withColumn("split", F.lit("test")))
