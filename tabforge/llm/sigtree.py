@@ -6,13 +6,14 @@ components of the links.
 
 1. Documents with the same set form one class (a 128-bit digest of the set).
 2. Two sets that reach the threshold share ``c`` of their first
-   ``n - ceil(0.8 n) + c`` shingles in hash order, for any ``c``.  ``c`` is half
-   of the prefix that one common shingle needs.  So a class stays a candidate
+   ``n - ceil(0.8 n) + c`` shingles in hash order, for any ``c``; here ``c`` is
+   the length of the prefix that must hold one.  So a class stays a candidate
    only while at least as many of its first shingles as its smallest possible
-   partner must share stand in another candidate's too; a passage that many
-   documents share makes no candidates of documents that are mostly their own.
-   Candidates that share such a shingle and have fitting sizes are joined into
-   groups by star edges, never by pairs.
+   partner must share stand in another candidate's too.  Of the k shingles that
+   are left of a class, of which it needs c, the k - c + 1 rarest hold one that
+   it has in common with any partner: candidates that share one of these and
+   have fitting sizes are joined into groups by star edges, never by pairs.  A
+   line or passage that many documents share so makes no group of its own.
 3. The texts of a candidate group meet in one tile, where a signature tree
    joins them: a leaf is a class with a bitmap of its shingles, a node the OR
    of its children's bitmaps, their range of sizes and their most shingles
@@ -72,7 +73,7 @@ def overlap_needed(a: int, b: int) -> int:
 
 def common_needed(n: int) -> int:
     """``c`` for a set of n shingles."""
-    return max(1, (n - (4 * n + 4) // 5 + 1) // 2)
+    return n - (4 * n + 4) // 5 + 1
 
 
 def prefix_length(n: int) -> int:
@@ -80,6 +81,11 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + common_needed(n)
 
 
+def _needed(n: str = "n") -> Column:
+    """``c`` of the smallest set that one of n shingles can be linked with."""
+    return F.expr(f"(4 * {n} + 4) div 5 - (4 * ((4 * {n} + 4) div 5) + 4) div 5 + 1")
+
+
 # ---------------------------------------------------------------- the tree
 
 def signatures(sets: list[np.ndarray], bits: int = BITS) -> np.ndarray:
@@ -217,12 +223,10 @@ def _in_two(entries: DataFrame) -> DataFrame:
 def core(entries: DataFrame) -> DataFrame:
     """Entries of the classes that still have enough shingles in common with
     other candidates."""
-    smallest = F.expr("(4 * n + 4) div 5")                  # size of the smallest possible partner
-    needed = F.greatest(F.lit(1), F.expr("(smallest - (4 * smallest + 4) div 5 + 1) div 2"))
     now = written(_in_two(entries).distinct(), "entries")
     left = now.count()
     for _ in range(ROUNDS):
-        keep = now.groupBy("node", "n").agg(F.count(F.lit(1)).alias("k")).withColumn("smallest", smallest).where(F.col("k") >= needed)
+        keep = now.groupBy("node", "n").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= _needed())
         now = written(_in_two(now.join(keep.select("node"), "node", "left_semi")), "entries")
         before, left = left, now.count()
         if left > 0.98 * before:
@@ -236,8 +240,13 @@ def _band(n: Column) -> Column:
 
 
 def candidate_edges(entries: DataFrame) -> DataFrame:
-    """Star edges within a shingle's size band, and one to the band before."""
-    banded = entries.withColumn("band", _band(F.col("n")))
+    """Of each class' shingles the rarest that must hold a common one; star edges
+    within a shingle's size band, and one to the band before."""
+    counted = entries.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token")))
+    own = Window.partitionBy("node", "n")
+    ranked = counted.withColumn("rank", F.row_number().over(own.orderBy("df", "token"))).withColumn("k", F.count(F.lit(1)).over(own))
+    rare = ranked.where(F.col("rank") <= F.col("k") - _needed() + 1).select("token", "node", "n")
+    banded = rare.withColumn("band", _band(F.col("n")))
     line = Window.partitionBy("token").orderBy("band", "n", "node")
     star = Window.partitionBy("token", "band").orderBy("n", "node")
     told = banded.select("node", "n", F.lag("node").over(line).alias("before"), F.lag("n").over(line).alias("n_before"), F.first("node").over(star).alias("hub"))

@@ -71,9 +71,9 @@ def test_tree_join_finds_all_links():
         assert [find(i) for i in range(len(texts))] == want and sizes == [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("tile,block,frequent", [(800, 400, 8), (10, 5, 2), (30, 7, 1000)])
-def test_components_match_brute_force(spark, monkeypatch, tile, block, frequent):
-    for name, v in (("TILE", tile), ("BLOCK", block), ("FREQUENT_FROM", frequent), ("GROUP_ROWS", 20)):
+@pytest.mark.parametrize("tile,block,rounds", [(800, 400, 6), (10, 5, 0), (30, 7, 1)])
+def test_components_match_brute_force(spark, monkeypatch, tile, block, rounds):
+    for name, v in (("TILE", tile), ("BLOCK", block), ("ROUNDS", rounds), ("GROUP_ROWS", 20)):
         monkeypatch.setattr(J, name, v)
     texts = near_texts(random.Random(tile), 150)
     docs = spark.createDataFrame([(i, t, b"x", 1) for i, t in enumerate(texts)], "doc_id long, text string, cls binary, n int").repartition(4)
