@@ -11,9 +11,12 @@ order 0 all 256 bytes are alike.  A text's language is the one whose tree gives
 it the shortest code.
 
 Training takes up to ``docs_per_language`` labelled documents for each
-language (those with the least hash of the id), whole texts, counted by Spark;
-at most ``MAX_LANGUAGES`` languages, the most frequent.  The model that goes to
-the tasks is therefore bounded.  Scoring reads whole texts.
+language (those with the least hash of the id), whole texts, counted by Spark.
+Every language is learned.  A model that goes to the tasks has at most
+``MODEL_CELLS`` code lengths (or one language); where all languages together
+have more, they are cut into groups with a model each, made one at a time.
+Each group scores all texts, and an aggregation by the text's digest takes the
+least code length over the groups.  Scoring reads whole texts.
 
 Defined cases: a NULL text, or one without a letter, is ``und`` with score 0;
 without any training text every document is ``und``; equal code lengths go to
@@ -28,13 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabforge.session import written
+
 ORDER = 3
 DOCS_PER_LANGUAGE = 1000
-MAX_LANGUAGES = 64
-CHUNK = 1 << 20          # bytes scored at once
+MODEL_CELLS = 1 << 24    # different grams times languages of one model
+BROADCAST_ROWS = 64_000  # ids of training documents that are broadcast whatever their size
+CHUNK = 1 << 20          # bytes scored at once; fewer with more than 8 languages
 UNDETERMINED = "und"
 
 
@@ -75,6 +82,7 @@ class Model:
     def __init__(self, languages: list[str], grams: dict[str, list[tuple[np.ndarray, np.ndarray]]], order: int):
         self.languages, self.order = languages, order
         n_lang = len(languages)
+        self.chunk = min(CHUNK, max(1 << 12, CHUNK * 8 // n_lang))
         base = np.full((1, n_lang), 8.0)                       # every byte alike
         low_keys, low_cost = np.zeros(0, np.uint64), np.zeros((0, n_lang))
         self.keys, self.cost, self.contexts, self.escape = [], [], [], []
@@ -121,12 +129,12 @@ class Model:
         return out
 
     def text_bits(self, data: np.ndarray) -> np.ndarray:
-        """Code length of a text, per language; memory follows ``CHUNK``."""
+        """Code length of a text, per language; memory follows ``chunk``."""
         total = np.zeros(len(self.languages))
         for k in range(min(self.order, len(data))):            # the first bytes have shorter contexts
             total += self.lengths(gram_keys(data[:k + 1], k), k).sum(0)
-        for at in range(0, max(0, len(data) - self.order), CHUNK):
-            total += self.lengths(gram_keys(data[at:at + CHUNK + self.order], self.order), self.order).sum(0)
+        for at in range(0, max(0, len(data) - self.order), self.chunk):
+            total += self.lengths(gram_keys(data[at:at + self.chunk + self.order], self.order), self.order).sum(0)
         return total
 
     def batch_bits(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -135,7 +143,7 @@ class Model:
         at = 0
         while at < len(texts):
             size, end = 0, at
-            while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
+            while end < len(texts) and (end == at or size + len(texts[end]) <= self.chunk):
                 size += len(texts[end])
                 end += 1
             part = texts[at:end]
@@ -162,19 +170,39 @@ class Model:
         return known[head]
 
 
-def train(docs: DataFrame, order: int = ORDER, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model | None:
-    """A model from ``doc_id, text, lang`` rows; None if no row has text and language."""
+def language_groups(sizes: dict[str, int], cells: int) -> list[list[str]]:
+    """The languages in order of name, cut where a group's grams times its languages pass ``cells``."""
+    groups: list[list[str]] = []
+    total = 0
+    for name in sorted(sizes):
+        total += sizes[name]
+        if not groups or total * (len(groups[-1]) + 1) > cells:
+            groups.append([])
+            total = sizes[name]
+        groups[-1].append(name)
+    return groups
+
+
+def train(docs: DataFrame, order: int = ORDER, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model | list[Broadcast] | None:
+    """A model of all languages from ``doc_id, text, lang`` rows; a list of broadcast
+    models where one would be too large; None if no row has text and language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return None
-    languages = sorted(r.lang for r in sizes)
     nth = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("lang", "doc_id").where(F.col("lang").isin(languages)).withColumn("nth", F.row_number().over(nth))
-    chosen = chosen.where(F.col("nth") <= docs_per_language).select("lang", "doc_id").distinct()
-    counts = count_grams(labelled.join(F.broadcast(chosen), ["lang", "doc_id"]), order).toArrow()
-    lang, size = np.array(counts.column("lang").to_pylist()), counts.column("size").to_numpy()
-    key, n = counts.column("key").to_numpy().astype(np.uint64), counts.column("n").to_numpy().astype(np.float64)
+    chosen = labelled.select("lang", "doc_id").withColumn("nth", F.row_number().over(nth))
+    chosen = written(chosen.where(F.col("nth") <= docs_per_language).select("lang", "doc_id").distinct(), "chosen")
+    few = chosen.count() <= BROADCAST_ROWS
+    counts = written(count_grams(labelled.join(F.broadcast(chosen) if few else chosen, ["lang", "doc_id"]), order), "grams")
+    groups = language_groups({r.lang: r["count"] for r in counts.groupBy("lang").count().collect()}, MODEL_CELLS)
+    if len(groups) < 2:
+        return _model(counts, groups[0], order) if groups else None
+    context = docs.sparkSession.sparkContext
+    return [context.broadcast(_model(counts.where(F.col("lang").between(g[0], g[-1])), g, order)) for g in groups]
+
+
+def _model(counts: DataFrame, languages: list[str], order: int) -> Model:
+    table = counts.toArrow()
+    lang, size = np.array(table.column("lang").to_pylist()), table.column("size").to_numpy()
+    key, n = table.column("key").to_numpy().astype(np.uint64), table.column("n").to_numpy().astype(np.float64)
     grams = {}
     for name in languages:
         per = []
@@ -188,11 +216,13 @@ def train(docs: DataFrame, order: int = ORDER, docs_per_language: int = DOCS_PER
 
 # ---------------------------------------------------------------- prediction
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | list[Broadcast] | None) -> DataFrame:
     """The rows with ``lang_pred`` and ``score``: the share of the best language
     in the likelihoods of all, so 1 when no other comes near."""
     from pyspark.sql import types as T
 
+    if isinstance(model, list):
+        return _identify_by_groups(docs, model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     tagged = docs.select(F.struct(*[c for c in names if c != "text"]).alias("row") if len(names) > 1 else F.struct(F.lit(0)).alias("row"),
@@ -203,7 +233,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             pred, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            known = [i for i, t in enumerate(texts) if m and t and any(map(str.isalpha, t))]
+            known = [i for i, t in enumerate(texts) if m and has_letter(t)]
             if known:
                 bits = m.batch_bits([np.frombuffer(texts[i].encode("utf-8"), np.uint8) for i in known])
                 best = bits.argmin(1)
@@ -218,6 +248,46 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return tagged.mapInArrow(run, schema).select(*kept, "lang_pred", "score")
 
 
+def _identify_by_groups(docs: DataFrame, models: list[Broadcast]) -> DataFrame:
+    """``identify`` with a model per group of languages.  Equal texts have one
+    result, so a text's digest is its key and only digests and bits are dealt."""
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    texts = docs.select(F.md5(F.col("text").cast("string")).alias("digest"), F.col("text").cast("string").alias("text"))
+
+    def scorer(shared: Broadcast, nth: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            for batch in batches:
+                rows = [(d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if has_letter(t)]
+                if rows:
+                    bits = m.batch_bits([np.frombuffer(t.encode("utf-8"), np.uint8) for _, t in rows])
+                    least = bits.min(1, keepdims=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([d for d, _ in rows]), pa.array([nth] * len(rows), pa.int32()), pa.array(least[:, 0]),
+                         pa.array([m.languages[b] for b in bits.argmin(1)]), pa.array(np.exp2(least - bits).sum(1))],
+                        ["digest", "nth", "bits", "lang", "weight"])
+        return run
+
+    scored = None
+    for nth, shared in enumerate(models):
+        part = texts.mapInArrow(scorer(shared, nth), "digest string, nth int, bits double, lang string, weight double")
+        scored = part if scored is None else scored.unionByName(part)
+    once = scored.groupBy("digest", "nth").agg(F.min(F.struct("bits", "lang", "weight")).alias("b"))
+    # a digest has as many rows as there are groups
+    best = once.groupBy("digest").agg(F.min("b").alias("top"), F.collect_list("b").alias("all")).select(
+        "digest", F.col("top.lang").alias("best"), (1.0 / F.aggregate("all", F.lit(0.0), lambda a, x: a + x["weight"] * F.pow(
+            F.lit(2.0), F.col("top.bits") - x["bits"]))).alias("share"))
+    best = written(best, "best").withColumnsRenamed({"digest": "b_digest", "best": "b_lang", "share": "b_share"})
+    joined = docs.select(F.struct(*names).alias("row"), F.md5(F.col("text").cast("string")).alias("digest")).join(
+        best, F.col("digest") == F.col("b_digest"), "left")
+    kept = [F.col(f"row.`{c}`").cast("string").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names]
+    return joined.select(*kept, F.coalesce("b_lang", F.lit(UNDETERMINED)).alias("lang_pred"), F.coalesce("b_share", F.lit(0.0)).alias("score"))
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def held_out(doc_id: Column) -> Column:
     """A quarter of the documents, by their id's checksum, trains nothing."""
     return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "utf-8")), F.lit(4)) == 2, F.lit(False))

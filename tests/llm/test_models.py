@@ -192,3 +192,23 @@ def test_language_edges(spark):
     assert sorted(r.lang_pred for r in got) == ["und"] * 3 + ["x"] * 3 and {r.score for r in got} == {0.0, 1.0}
     assert {r.lang_pred for r in L.identify(docs, L.train(docs.where("lang IS NULL"))).collect()} == {"und"}
     assert L.identify(docs.limit(0), None).collect() == []
+
+
+def test_language_learns_every_label(spark, monkeypatch):
+    rng = random.Random(8)
+    names = [f"l{i:02}" for i in range(70)]
+    word = lambda i: "".join(chr(0x4E00 + 40 * i + rng.randrange(40)) for _ in range(4))
+    # the rarer a language, the later its name; the last has a single document
+    rows = [(100 * i + j, " ".join(word(i) for _ in range(6)), names[i]) for i in range(70) for j in range(1 + (69 - i) // 20)]
+    docs = spark.createDataFrame([*rows, (9000, rows[-1][1], None), (9001, None, None), (9002, "12 !", names[0])], "doc_id long, text string, lang string").repartition(4)
+    whole = L.train(docs)
+    assert isinstance(whole, L.Model) and whole.languages == names
+    one = {r.doc_id: r for r in L.identify(docs, whole).collect()}
+    assert all(one[i].lang_pred == name for i, _, name in rows) and one[9000].lang_pred == names[-1]
+    monkeypatch.setattr(L, "MODEL_CELLS", 50_000)
+    cut = L.train(docs)
+    assert len(cut) > 2 and [x for b in cut for x in b.value.languages] == names
+    many = {r.doc_id: r for r in L.identify(docs, cut).collect()}
+    assert set(many) == set(one) and {i: r.lang_pred for i, r in many.items()} == {i: r.lang_pred for i, r in one.items()}
+    assert all(abs(many[i].score - one[i].score) < 1e-6 and many[i].text == one[i].text for i in one)
+    assert many[9001].lang_pred == many[9002].lang_pred == "und"
