@@ -13,9 +13,11 @@ below the chi-squared cutoff.
 All estimates are aggregations of sums that combine before the shuffle, over
 all documents; a hot group is one row per task.  Medians and the size of the
 nearest share are counted on fine fixed grids, so results don't depend on
-partitions.  Covariances get ``FLOOR``, the spread that a statistic has in clean
-text at the least, added, so a statistic that is constant in a group gives no
-infinite distance.
+partitions.  ``FLOOR`` is the spread that a statistic has in clean text at the
+least.  The C-steps, which only look for the nearest documents, add it to their
+covariances.  The reweighting and the verdict don't: there it is a lower limit
+of the covariance's eigenvalues (in units of ``FLOOR``), so a spread above it
+counts as it is and a constant statistic gives no infinite distance.
 
 Small groups: a (language, source) of fewer than ``GROUP_MIN`` passing documents
 joins the rest of its language, a rest that small the rest of all; the base
@@ -51,7 +53,7 @@ SHARE = 0.75
 STEPS = 8
 GROUP_MIN = 60
 REWEIGHT = 0.975
-CUTOFF = 1 - 1e-6
+CUTOFF = 0.999
 GRID = 256                  # grid points in a unit of a statistic
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper")
 
@@ -193,8 +195,27 @@ def _median_start(vectors: DataFrame) -> DataFrame:
     return wide.select("g", F.lit(0).alias("start"), F.lit(0.0).alias("log_det"), F.lit(0).cast("long").alias("n"), F.col("d.mid").alias("mu"), inv.alias("inv"))
 
 
-def fit(vectors: DataFrame) -> DataFrame:
-    """``g, mu, inv``: the reweighted estimate of each group of ``g, x0, ...``."""
+def floor_as_limit(cov: np.ndarray) -> np.ndarray:
+    """The covariance with its eigenvalues, in units of ``FLOOR``, at least 1."""
+    unit = np.outer(FLOOR, FLOOR)
+    values, axes = np.linalg.eigh(cov / unit)
+    return (axes * np.maximum(values, 1.0)) @ axes.T * unit
+
+
+def _limited(estimates: DataFrame) -> DataFrame:
+    """``g, mu, inv`` with the added floor taken off again and the floor as lower limit."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            k = len(X)
+            inv = [np.linalg.inv(floor_as_limit(np.linalg.inv(np.array(v).reshape(k, k)) - np.diag(FLOOR ** 2))) for v in f["inv"]]
+            yield f.assign(inv=[v.ravel().tolist() for v in inv])
+
+    return estimates.select("g", "mu", "inv").mapInPandas(run, "g string, mu array<double>, inv array<double>")
+
+
+def fit(vectors: DataFrame, limited: bool = False) -> DataFrame:
+    """``g, mu, inv``: the reweighted estimate of each group of ``g, x0, ...``.
+    ``limited`` reweights and ends with the floor as a lower limit instead of added."""
     sizes = vectors.groupBy("g").agg(F.ceil(F.count(F.lit(1)) * SHARE).alias("h"))
     sizes = written(sizes, "sizes")
     plain = _estimate(vectors.withColumn("start", F.lit(1)).groupBy("g", "start").agg(*_moments()), 1.0)
@@ -213,9 +234,11 @@ def fit(vectors: DataFrame) -> DataFrame:
             break
         known = state
     best = now.groupBy("g").agg(F.min(F.struct("log_det", "start", "mu", "inv")).alias("b")).select("g", F.col("b.mu").alias("mu"), F.col("b.inv").alias("inv"))
+    if limited:
+        best = _limited(best)
     inside = vectors.join(best, "g").where(_distance() <= chi2_quantile(REWEIGHT, len(X))).withColumn("start", F.lit(0))
     again = _estimate(inside.groupBy("g", "start").agg(*_moments()), consistency(REWEIGHT, len(X)))
-    return again.select("g", "mu", "inv")
+    return _limited(again) if limited else again.select("g", "mu", "inv")
 
 
 def _group_names(passing: DataFrame) -> DataFrame:
@@ -236,7 +259,7 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     passing = counted.where(~F.col("base_failed"))
     groups = written(_group_names(passing), "groups")
     named = passing.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")))
-    fitted = written(fit(written(named.select("g", *[F.expr(sql).alias(x) for x, (sql, _) in STATISTICS.items()]), "vectors")), "fit")
+    fitted = written(fit(written(named.select("g", *[F.expr(sql).alias(x) for x, (sql, _) in STATISTICS.items()]), "vectors"), limited=True), "fit")
     of_pair = groups.join(fitted, "g")
     scored = counted.join(of_pair, ~F.col("base_failed") & F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     with_x = scored.select("*", *[F.expr(sql).alias(x) for x, (sql, _) in STATISTICS.items()])

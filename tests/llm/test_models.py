@@ -136,6 +136,26 @@ def test_judge_quality(spark):
     assert not any(got[i].kept for i in [*range(300, 320), 400, 401, 402, 403])
 
 
+def test_judge_moderate_outliers(spark):
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    clean = lambda n=0: [rng.choice(vocab) for _ in range(n or rng.randint(30, 300))]
+    rows = [(i, " ".join(clean()), "en") for i in range(300)]
+    rows += [(400 + i, " ".join(w + "#" * (j % 20 in (3, 9, 15)) for j, w in enumerate(clean(100))), "en") for i in range(10)]     # 15 symbols
+    rows += [(500 + i, " ".join(w + w[:1] * round(len(w) * 1.3) for w in clean(100)), "en") for i in range(10)]                    # 2.3 times as long
+    rows += [(600 + i, "".join(c.upper() if j % 14 == 0 and c != " " else c for j, c in enumerate(" ".join(clean(200)))), "en") for i in range(10)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, lang string, source string").repartition(3)
+    got = {r.doc_id: r for r in O.judge_quality(docs).collect()}
+    assert sum(got[i].kept for i in range(300)) >= 297
+    assert not any(got[i].kept or got[i].base_failed for i in got if i >= 400)
+    assert max(got[i].distance for i in range(400, 410)) < 38       # below the quantile of 1 - 1e-6
+
+
+def test_floor_is_a_limit():
+    wide, none = np.diag((2 * O.FLOOR) ** 2), np.zeros((len(O.X), len(O.X)))
+    assert np.allclose(O.floor_as_limit(wide), wide) and np.allclose(O.floor_as_limit(none), np.diag(O.FLOOR ** 2))
+
+
 def test_judge_edges(spark):
     docs = spark.createDataFrame([(None, "one two three four five six seven eight nine ten", None, None)] * 2, "doc_id long, text string, lang string, source string")
     assert [(r.kept, r.distance) for r in O.judge_quality(docs).collect()] == [(True, None)] * 2
