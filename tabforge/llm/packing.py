@@ -9,9 +9,13 @@ most ``capacity`` rows whatever the corpus holds.  ``plan_bins`` works on that
 histogram by bin completion: it takes the largest remaining length, lists
 undominated fillings of the space beside it, and searches depth first,
 pruning by the waste a better solution may still have.  Best-fit decreasing
-gives the incumbent at each node.  The search ends at the lower bound, or
-after ``node_limit`` nodes with the best solution so far; every piece is
-placed in either case.  Spark then gives each piece its rank among the pieces
+gives the incumbent.  A pattern is first applied as often as its pieces allow,
+once only as the alternative, and a node with a single child costs nothing, so
+the search acts alike at every size of corpus.  The fillings of a node are made
+as backtracking asks for them, all of them in the end.  The search ends at the
+lower bound, when all is searched, or after ``node_limit`` choices (or
+``STEPS`` times as many nodes) with the best solution so far; every piece is
+placed in any case.  Spark then gives each piece its rank among the pieces
 of its length and looks up the rank's place in the plan.
 
 Defined cases: a NULL text is an empty one; an empty text is one piece with
@@ -34,10 +38,10 @@ from tabforge.llm.tokens import default_tokenizer, encoder
 from tabforge.session import written
 
 CAPACITY = 2048
-NODE_LIMIT = 3000        # nodes of the search beyond the first incumbent
-FILLINGS = 6            # undominated fillings tried at a node, least waste first
-FILLINGS_SEEN = 200     # fillings looked at for these; the first seen is kept if all are dominated
-FILLING_LENGTHS = 192   # different lengths that the fillings of a node choose from
+NODE_LIMIT = 3000        # choices of the search beyond the first incumbent
+STEPS = 2               # nodes, forced ones included, for each of these
+DOMINATED = 200         # dominated fillings in a row that are left out; the next is taken as it is
+FILLING_LENGTHS = 192   # different lengths that the first fillings of a node choose from
 _RANK_BITS = 44         # ranks within one length stay below 2**44
 
 Pattern = tuple[tuple[int, int], ...]          # ((length, copies), ...), longest first
@@ -97,9 +101,9 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return done + [g for groups in open_bins.values() for g in groups]
 
 
-def fillings(counts: dict[int, int], room: int, limit: int) -> list[Pattern]:
+def fillings(counts: dict[int, int], room: int) -> Iterator[Pattern]:
     """Undominated fillings of ``room`` from the lengths in ``counts``, least
-    waste first, at most ``limit``.
+    waste first: those of some lengths, then, when asked for, the others.
 
     Reachable sums are kept as bit sets per suffix of the lengths, so the walk
     enters no branch that misses its target sum.  A filling is dominated when
@@ -107,9 +111,17 @@ def fillings(counts: dict[int, int], room: int, limit: int) -> list[Pattern]:
     longer remaining piece within the room it leaves.
     """
     lengths = [x for x in sorted(counts, reverse=True) if x <= room and counts[x] > 0]
-    if len(lengths) > FILLING_LENGTHS:      # the longest, and others evenly spread
-        half = FILLING_LENGTHS // 2
-        lengths = lengths[:half] + lengths[half::-(-(len(lengths) - half) // half)]
+    if len(lengths) <= FILLING_LENGTHS:
+        yield from _fillings(counts, room, lengths)
+        return
+    half = FILLING_LENGTHS // 2             # the longest, and others evenly spread
+    some = lengths[:half] + lengths[half::-(-(len(lengths) - half) // half)]
+    yield from _fillings(counts, room, some)
+    among = set(some)
+    yield from (f for f in _fillings(counts, room, lengths) if not all(x in among for x, _ in f))
+
+
+def _fillings(counts: dict[int, int], room: int, lengths: list[int]) -> Iterator[Pattern]:
     reach = [1] * (len(lengths) + 1)
     mask = (1 << (room + 1)) - 1
     for i in range(len(lengths) - 1, -1, -1):
@@ -120,8 +132,7 @@ def fillings(counts: dict[int, int], room: int, limit: int) -> list[Pattern]:
             n -= take
             step *= 2
         reach[i] = bits
-    out: list[Pattern] = []
-    seen: list[Pattern] = []
+    skipped = [0]
 
     def dominated(pattern: Pattern, slack: int) -> bool:
         used = dict(pattern)
@@ -136,27 +147,24 @@ def fillings(counts: dict[int, int], room: int, limit: int) -> list[Pattern]:
                     return True
         return False
 
-    def walk(i: int, left: int, have: Pattern, slack: int) -> None:
+    def walk(i: int, left: int, have: Pattern, slack: int) -> Iterator[Pattern]:
         if left == 0:
-            seen.append(have)
-            if not dominated(have, slack):
-                out.append(have)
+            skipped[0] = skipped[0] + 1 if skipped[0] < DOMINATED and dominated(have, slack) else 0
+            if not skipped[0]:
+                yield have
             return
-        while i < len(lengths) and len(out) < limit and len(seen) < FILLINGS_SEEN:
+        while i < len(lengths):
             x = lengths[i]
             for k in range(min(left // x, counts[x]), 0, -1):
                 if reach[i + 1] >> (left - k * x) & 1:
-                    walk(i + 1, left - k * x, have + ((x, k),), slack)
+                    yield from walk(i + 1, left - k * x, have + ((x, k),), slack)
             i += 1
             if not reach[i] >> left & 1:
                 return
 
     for total in range(room, -1, -1):
-        if len(out) >= limit or len(seen) >= FILLINGS_SEEN:
-            break
         if reach[0] >> total & 1:
-            walk(0, total, (), room - total)
-    return out or seen[:1]
+            yield from walk(0, total, (), room - total)
 
 
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, node_limit: int = NODE_LIMIT) -> list[tuple[Pattern, int]]:
@@ -168,34 +176,51 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, node_limit: int
     best = best_fit(counts, capacity)
     size = sum(n for _, n in best)
     total = sum(x * n for x, n in counts.items())
-    nodes = 0
-    # a node: the counts above it, the pattern applied to them how often, the plan up to it as a chain, its bins, its waste
-    stack: list[tuple] = [(counts, {}, 0, None, 0, 0)]
-    while stack and size > bound and nodes < node_limit:
-        left, inside, times, chain, used, waste = stack.pop()
-        if waste > (size - 1) * capacity - total:
-            continue
-        nodes += 1
-        left = {x: m for x, n in left.items() if (m := n - times * inside.get(x, 0))}
-        if not left or nodes % 64 == 1:
-            rest = best_fit(left, capacity)
-            if used + sum(n for _, n in rest) < size:
-                size, best, at = used + sum(n for _, n in rest), rest, chain
-                while at:
-                    best, at = [*best, at[0]], at[1]
-        if not left:
-            continue
+    choices = nodes = 0
+
+    def children(left: dict[int, int]) -> Iterator[tuple[dict[int, int], Pattern, int, int]]:
+        """Pattern (as counts too), how often, and its waste."""
         largest = max(left)
         others = left | {largest: left[largest] - 1}
-        children = []
-        for filling in fillings(others, capacity - largest, FILLINGS):
+        for filling in fillings(others, capacity - largest):
             inside = dict(filling)
             inside[largest] = inside.get(largest, 0) + 1
             pattern = tuple(sorted(inside.items(), reverse=True))
             gap = capacity - sum(x * k for x, k in pattern)
-            for m in {min(left[x] // k for x, k in pattern), 1}:
-                children.append((left, inside, m, ((pattern, m), chain), used + m, waste + m * gap))
-        stack += sorted(children, key=lambda c: (-c[5], c[2]))     # least waste, then most bins, on top
+            most = min(left[x] // k for x, k in pattern)
+            yield inside, pattern, most, gap
+            if most > 1:
+                yield inside, pattern, 1, gap
+
+    def opened(left: dict[int, int], chain: tuple | None, used: int, waste: int) -> list:
+        return [left, chain, used, waste, children(left), 0]
+
+    # a node: its counts, the plan up to it as a chain, its bins, its waste, its further children, children so far
+    stack = [opened(counts, None, 0, 0)]
+    while stack and size > bound and choices < node_limit and nodes < STEPS * node_limit:
+        node = stack[-1]
+        left, chain, used, waste, further, n_tried = node
+        child = next(further, None) if waste <= (size - 1) * capacity - total else None
+        # a pattern that fills beside the largest piece nothing can be put to is the only one
+        if child is None or n_tried and not any(x <= capacity - max(left) for x in left):
+            stack.pop()
+            continue
+        node[5] += 1
+        choices += n_tried > 0 or len(left) > 1 and min(left) <= capacity - max(left)
+        nodes += 1
+        inside, pattern, m, gap = child
+        if waste + m * gap > (size - 1) * capacity - total:
+            continue
+        after = {x: k for x, n in left.items() if (k := n - m * inside.get(x, 0))}
+        link, used = ((pattern, m), chain), used + m
+        if not after or nodes % 64 == 1:
+            rest = best_fit(after, capacity)
+            if used + sum(n for _, n in rest) < size:
+                size, best, at = used + sum(n for _, n in rest), rest, link
+                while at:
+                    best, at = [*best, at[0]], at[1]
+        if after:
+            stack.append(opened(after, link, used, waste + m * gap))
     return best
 
 

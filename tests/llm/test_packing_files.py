@@ -79,6 +79,29 @@ def test_plan_beats_best_fit():
     assert P.plan_bins({}, 512) == []
 
 
+def test_plan_searches_beyond_forced_bins():
+    # more single bins than NODE_LIMIT come first; best-fit decreasing needs a bin more for the rest
+    small = {6: 1, 5: 1, 4: 2, 3: 1, 2: 1}
+    rest = {x * 80: n for x, n in small.items()}
+    capacity = 960
+    assert sum(n for _, n in P.best_fit(rest, capacity)) == 3 > P.lower_bound(rest, capacity)  == 2
+    for n in (1, 5000, 5_000_000):
+        plan = P.plan_bins(rest | {959: n, 957: n, 950: n}, capacity)
+        assert sum(k for _, k in plan) == 3 * n + 2
+        held = {}
+        for pattern, k in plan:
+            for x, c in pattern:
+                held[x] = held.get(x, 0) + k * c
+        assert held == rest | {959: n, 957: n, 950: n}
+
+
+def test_fillings_are_all_there():
+    counts = {x: 1 for x in range(100, 400)}          # more lengths than FILLING_LENGTHS
+    got = list(P.fillings(counts, 450))
+    assert len(got) == len(set(got))
+    assert {f for f in got if sum(x * k for x, k in f) == 450} >= {((450 - x, 1), (x, 1)) for x in range(100, 225)}
+
+
 def test_pack_round_trip(spark):
     docs = frame(spark, TEXTS + ["lorem ipsum " * k for k in range(1, 200)]).repartition(5)
     out = P.pack_documents(docs, capacity=256, with_ids=True)
