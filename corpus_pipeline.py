@@ -26,10 +26,12 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language identification trained on the rows that have a language.
-    Documents without one (NULL, empty or without a letter) go; a NULL ``lang``
-    is filled with the prediction."""
-    found = identify(docs, train(docs)).where(F.col("lang_pred") != UNDETERMINED)
-    return found.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    Documents whose text is NULL, empty or without a letter go; ``lang`` becomes
+    the prediction, and stays as it is where no row has one to learn from."""
+    texts = docs.where(F.col("text").rlike(r"\p{L}"))
+    found = identify(texts, train(docs))
+    lang = F.coalesce(F.nullif("lang_pred", F.lit(UNDETERMINED)), "lang")
+    return found.select(*[lang.alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

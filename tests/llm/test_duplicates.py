@@ -177,3 +177,13 @@ def test_queries_registered():
     names = list(E.queries())
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert set(E.oracle_sql()) <= set(names)
+
+
+def test_language_stage_without_and_with_wrong_labels(spark, sf):
+    docs = spark.createDataFrame([(1, "abc", None), (2, "12 !", None), (3, None, None), (4, "", None)], "doc_id long, text string, lang string")
+    assert [tuple(r) for r in C.language(spark, docs, sf).collect()] == [(1, "abc", None)]
+    rows = [(i, "the cat sat on the mat and the dog ran off " * 5, "en") for i in range(20)]
+    rows += [(100 + i, "это было давно и никто не помнит о том дне " * 5, "ru") for i in range(20)]
+    rows += [(200, rows[0][1], "ru"), (201, rows[20][1], "en"), (202, rows[20][1], None)]
+    got = {r.doc_id: r.lang for r in C.language(spark, spark.createDataFrame(rows, docs.schema), sf).collect()}
+    assert got == {i: "en" if i < 100 or i == 200 else "ru" for i, _, _ in rows}
