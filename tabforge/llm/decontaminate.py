@@ -19,7 +19,8 @@ hashes only (equal words stay equal); words are compared with ASCII lower case.
 Defined cases: a NULL or empty text has no words; documents with the same
 ``doc_id`` are each judged, by a hash of the text; a NULL ``doc_id`` is a
 value like any other; items without words never occur, items without
-``item_id`` are left out; empty tables give no rows or no hits; other columns
+``item_id`` are left out by ``decontaminate``, as its SQL does, but not by
+``drop_contaminated``; empty tables give no rows or no hits; other columns
 are not read.
 """
 
@@ -177,7 +178,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM) -> DataFrame:
-    """The documents that are not contaminated, all columns."""
-    bad = decontaminate(docs, benchmark, window, k).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
+    """The documents that are not contaminated, all columns.  Items without
+    ``item_id`` count too: here an item's key is its text."""
+    items = benchmark.select(F.md5(F.col("text").cast("string")).alias("item_id"), "text").distinct()
+    bad = decontaminate(docs, items, window, k).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (mark == F.col("bad_hash")), "left_anti")

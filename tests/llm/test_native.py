@@ -164,3 +164,10 @@ def test_decontaminate_edges(spark):
     assert [r.text for r in D.drop_contaminated(docs, bench).collect()] == ["clean"]
     assert not any(r.contaminated for r in D.decontaminate(docs, bench.limit(0)).collect())
     assert D.decontaminate(docs.limit(0), bench).collect() == []
+
+
+def test_drop_contaminated_counts_items_without_id(spark):
+    item = " ".join(f"v{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, item), (2, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (None, None), (7, "other")], "item_id long, text string")
+    assert [r.doc_id for r in D.drop_contaminated(docs, bench).collect()] == [2]
