@@ -13,8 +13,8 @@ documents that share one, every position of such a hash gives a diagonal
 word over the item, so all and only true occurrences count.  Items shorter than
 ``window`` words are looked up by the hash of the whole item at every position.
 
-All of it is DataFrame expressions.  Full Unicode lower case is used for the
-hashes only (equal words stay equal); words are compared with ASCII lower case.
+All of it is DataFrame expressions.  Words are hashed and compared with ASCII
+lower case: full Unicode lower case depends on what stands around a word.
 
 Defined cases: a NULL or empty text has no words; documents with the same
 ``doc_id`` are each judged, by a hash of the text; a NULL ``doc_id`` is a
@@ -88,12 +88,11 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int =
     # item lengths below the window: at most window - 1 values
     short = sorted(r[0] for r in items.where(F.size("item") < window).select(F.size("item")).distinct().collect())
     rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("h")).alias("row_key"), text.alias("text"))
-    marked = rows.select("row_key", _words(F.lower("text")).alias("w")).select(
+    marked = rows.select("row_key", _words(F.translate("text", _UPPER, _LOWER)).alias("w")).select(
         "row_key", F.size("w").cast("long").alias("n_words"), fingerprints(F.col("w"), window, k, short).alias("marks"))
     marked = written(marked, "marks")
 
-    lowered = F.transform("item", lambda w: F.lower(w))
-    item_marks = items.select("item_id", F.size("item").alias("n"), lowered.alias("lowered")).select(
+    item_marks = items.select("item_id", F.size("item").alias("n"), F.col("item").alias("lowered")).select(
         "item_id", F.when(F.col("n") >= window, winnowed(grams(F.col("lowered"), k), window - k + 1)).otherwise(
             _pick(short, F.col("n"), F.col("lowered"))).alias("marks"))
     # written, so that Spark knows its size and broadcasts it only below its threshold; so with the suspects
@@ -104,7 +103,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int =
     # the suspects' texts, and where their shared hashes stand in them
     keyed = rows.join(suspects, "row_key").dropDuplicates(["row_key"])
     placed = keyed.select("row_key", "marks", _words(F.translate("text", _UPPER, _LOWER)).alias("words"))
-    hashed = placed.select("row_key", "words", "marks", F.transform("words", lambda w: F.lower(w)).alias("lowered"))
+    hashed = placed.select("row_key", "words", "marks", F.col("words").alias("lowered"))
     sizes = [k, *[n for n in short if n != k]]
     at = F.concat(*[_positions(F.col("lowered"), n, F.col("marks")) for n in sizes])
     spots = written(hashed.select("row_key", "words", at.alias("at")), "spots")
@@ -138,8 +137,7 @@ def _positions(words: Column, n: int, marks: Column) -> Column:
 
 def _spots(n: int, window: int, k: int) -> Column:
     """``(mark, p)`` of an item's n-grams: all k-grams of full items, the whole of an item of n words."""
-    words = F.transform("item", lambda w: F.lower(w))
-    here = F.transform(grams(words, n), lambda g, i: F.struct(g.alias("mark"), i.alias("p")))
+    here = F.transform(grams(F.col("item"), n), lambda g, i: F.struct(g.alias("mark"), i.alias("p")))
     length = F.size("item")
     fits = ((length >= window) if n == k else F.lit(False)) | ((length == n) if n < window else F.lit(False))
     return F.when(fits, here).otherwise(F.array().cast("array<struct<mark:bigint,p:int>>"))

@@ -171,3 +171,10 @@ def test_drop_contaminated_counts_items_without_id(spark):
     docs = spark.createDataFrame([(1, item), (2, "clean")], "doc_id long, text string")
     bench = spark.createDataFrame([(None, item), (None, None), (7, "other")], "item_id long, text string")
     assert [r.doc_id for r in D.drop_contaminated(docs, bench).collect()] == [2]
+
+
+def test_decontaminate_greek_capitals(spark):
+    heads = "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞ"
+    docs = spark.createDataFrame([(1, "'".join(c + "Σ" for c in heads))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(c + "Σ" for c in heads))], "item_id long, text string")
+    assert [(r.n_words, r.n_hit) for r in D.decontaminate(docs, bench).collect()] == [(14, 14)]
