@@ -6,9 +6,9 @@ or more base64 or URL-safe characters) a window moves one character at a time;
 its character counts are updated by the character that enters and the one that
 leaves, and the sum over c * log2(c) with them, so each step gives the
 window's entropy without counting anew.  Window and threshold depend on the
-candidate's character class.  The span runs from the first to the last window
+candidate's character class; 20 to 23 hexadecimal digits are one window.  The span runs from the first to the last window
 at or above the threshold.  Candidates on the allow list (UUIDs, words, paths,
-numbers, placeholders) and spans that overlap a base span are suppressed.
+numbers, fields that are all placeholders or words) and spans that overlap a base span are suppressed.
 
 All of it is DataFrame expressions on one row at a time: no shuffle.  Positions
 are code points, ends exclusive.
@@ -35,6 +35,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: class: (pattern of the whole candidate, window, least entropy in bits); the first that matches holds
 CLASSES = {
+    **{f"hex{n}": (r"^[0-9A-Fa-f]{%d}$" % n, n, 2.8) for n in range(20, 24)},
     "hex": (r"^[0-9A-Fa-f]+$", 24, 2.8),
     "alnum": (r"^[A-Za-z0-9]+$", 20, 3.7),
     "base64": (r"^.+$", 20, 3.8),
@@ -44,7 +45,8 @@ ALLOW = (
     r"^[0-9+/_=-]+$",                                                                       # numbers, rules
     r"^(?:[A-Z]?[a-z]{2,}+)+$",                                                             # words, also run together
     r"^(?:(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4}+)[+/_=-]++)*+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})?$",  # paths, slugs
-    r"(?i:example|placeholder|your[_-]?|changeme|xxxx|0123456789|abcdefgh)",
+    # fields that are words, short numbers or placeholders, all of them
+    r"^(?>(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}|(?i:(?:my|your|example|placeholder|changeme|x{4,})[a-z]{0,12}[0-9]{0,4}|(?:0123456789|abcdefgh)(?:0123456789|abcdef(?:gh(?:ijkl)?)?|ijklmnop(?:qrstuvwxyz)?)*))(?:[+/_=-]+|$))++$",
 )
 
 SPAN = "struct<s:int,k:int,e:int,v:string>"

@@ -178,3 +178,11 @@ def test_decontaminate_greek_capitals(spark):
     docs = spark.createDataFrame([(1, "'".join(c + "Σ" for c in heads))], "doc_id long, text string")
     bench = spark.createDataFrame([(1, " ".join(c + "Σ" for c in heads))], "item_id long, text string")
     assert [(r.n_words, r.n_hit) for r in D.decontaminate(docs, bench).collect()] == [(14, 14)]
+
+
+def test_secrets_beside_placeholder_words(spark):
+    key = "kJ8fQz2LmN0pRsT4uVwXyZ1aBcD3eFgH5iJ6kL7m"
+    found = ["YOUR_CREDENTIAL=" + key, "example/" + key, key[:20] + "xxxx" + key[20:], "example/" * 3000 + key, "0A1b2c3D4e5F60718293"]
+    docs = spark.createDataFrame(list(enumerate([*found, "your-placeholder-key/EXAMPLE_key", "YOUR_KEY_0123456789abcdef"])), "doc_id long, text string")
+    got = {r.doc_id: r.n_entropy for r in S.scan_secrets(docs).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0}
