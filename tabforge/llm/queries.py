@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabforge.llm.collocations import collocations
 from tabforge.llm.decontaminate import decontaminate
 from tabforge.llm.langid import held_out, identify, train
 from tabforge.llm.linededup import dedup_lines
 from tabforge.llm.outliers import judge_quality
 from tabforge.llm.packing import pack_documents
 from tabforge.llm.resampling import importance_sample
+from tabforge.llm.runs import Words, find_runs, run_digests
 from tabforge.llm.secrets import scan_secrets
 from tabforge.llm.sharding import hilbert_shards
 from tabforge.llm.sigtree import jaccard_components
@@ -79,6 +82,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), "text")
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 strongest phrases of two or three words."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def echo_tail(doc_id: int | None, words: Words) -> Words:
+    """A tenth of the documents, by the checksum of the id, get a periodic tail."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number, strongest and digests of every document's periodic runs of words."""
+    return run_digests(find_runs(table(spark, sf_dir, "documents"), echo_tail))
+
+
 OP5_SQL = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -130,8 +154,28 @@ SELECT doc_id, n_lines, CAST(coalesce(len(removed), 0) AS BIGINT) AS n_removed,
 FROM n LEFT JOIN gone USING (doc_id)
 """
 
+OP12_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM t),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, s, array_to_string(w[i:i + s - 1], ' ') AS phrase FROM (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS s))),
+c AS (SELECT lang, s, phrase, count(*) AS f FROM g GROUP BY lang, s, phrase HAVING count(*) >= 10),
+k AS (SELECT lang, s, phrase, f AS a, unnest(range(1, s)) AS k, string_split(phrase, ' ') AS w FROM c WHERE s > 1),
+x AS (SELECT k.lang, k.s, k.phrase, a, k, h.f AS l, t.f AS r, (CAST(1000000 AS HUGEINT) * a * a) // (CAST(h.f AS HUGEINT) * t.f) AS score
+      FROM k JOIN c h ON h.lang = k.lang AND h.phrase = array_to_string(w[1:k], ' ') JOIN c t ON t.lang = k.lang AND t.phrase = array_to_string(w[k + 1:], ' ')),
+m AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, phrase, max(f) AS longer FROM (
+      SELECT lang, array_to_string(w[1:2], ' ') AS phrase, f FROM (SELECT lang, string_split(phrase, ' ') AS w, f FROM c WHERE s = 3)
+      UNION ALL SELECT lang, array_to_string(w[2:3], ' '), f FROM (SELECT lang, string_split(phrase, ' ') AS w, f FROM c WHERE s = 3)) GROUP BY lang, phrase),
+z AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, encode(m.phrase)) AS rank
+      FROM m LEFT JOIN o ON o.lang = m.lang AND o.phrase = m.phrase WHERE o.longer IS NULL OR 100 * o.longer < 50 * a)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM z JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op3_importance_resampling, op4_robust_outliers, op5_signature_tree_join, op6_secret_scan, op7_hilbert_shards,
-                              op8_winnowing_decontamination, op9_language_id, op10_line_dedup)
+                              op8_winnowing_decontamination, op9_language_id, op10_line_dedup, op12_phrase_collocations, op13_periodic_runs)
 }
-ORACLE_SQL: dict[str, str] = {"op5_signature_tree_join": OP5_SQL, "op8_winnowing_decontamination": OP8_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_signature_tree_join": OP5_SQL, "op8_winnowing_decontamination": OP8_SQL, "op10_line_dedup": OP10_SQL, "op12_phrase_collocations": OP12_SQL}
