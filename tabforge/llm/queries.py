@@ -12,6 +12,7 @@ from tabforge.llm.collocations import collocations
 from tabforge.llm.decontaminate import decontaminate
 from tabforge.llm.langid import held_out, identify, train
 from tabforge.llm.linededup import dedup_lines
+from tabforge.llm.mtree import top_products
 from tabforge.llm.outliers import judge_quality
 from tabforge.llm.packing import pack_documents
 from tabforge.llm.resampling import importance_sample
@@ -82,6 +83,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), "text")
 
 
+def op11_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest other vectors, by integer inner product, of every twentieth id."""
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's 2,000 strongest phrases of two or three words."""
     return collocations(table(spark, sf_dir, "documents"))
@@ -154,6 +160,15 @@ SELECT doc_id, n_lines, CAST(coalesce(len(removed), 0) AS BIGINT) AS n_removed,
 FROM n LEFT JOIN gone USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.r <> c.r AND len(q.e) = len(c.e))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p
+QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 20
+"""
+
 OP12_SQL = r"""
 WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
@@ -176,6 +191,6 @@ FROM z JOIN n USING (lang) WHERE rank <= 2000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_best_fit_packing, op2_token_files, op3_importance_resampling, op4_robust_outliers, op5_signature_tree_join, op6_secret_scan, op7_hilbert_shards,
-                              op8_winnowing_decontamination, op9_language_id, op10_line_dedup, op12_phrase_collocations, op13_periodic_runs)
+                              op8_winnowing_decontamination, op9_language_id, op10_line_dedup, op11_mtree_search, op12_phrase_collocations, op13_periodic_runs)
 }
-ORACLE_SQL: dict[str, str] = {"op5_signature_tree_join": OP5_SQL, "op8_winnowing_decontamination": OP8_SQL, "op10_line_dedup": OP10_SQL, "op12_phrase_collocations": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_signature_tree_join": OP5_SQL, "op8_winnowing_decontamination": OP8_SQL, "op10_line_dedup": OP10_SQL, "op11_mtree_search": OP11_SQL, "op12_phrase_collocations": OP12_SQL}
