@@ -8,7 +8,8 @@ leaves, and the sum over c * log2(c) with them, so each step gives the
 window's entropy without counting anew.  Window and threshold depend on the
 candidate's character class; 20 to 23 hexadecimal digits are one window.  The span runs from the first to the last window
 at or above the threshold.  Candidates on the allow list (UUIDs, words, paths,
-numbers, fields that are all placeholders or words) and spans that overlap a base span are suppressed.
+numbers, fields that are all placeholders or words) are suppressed.  Base spans
+are cut out of a candidate, and the pieces that are left are candidates of their own.
 
 All of it is DataFrame expressions on one row at a time: no shuffle.  Positions
 are code points, ends exclusive.
@@ -31,7 +32,8 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "entropy")
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+SHORTEST = 20
+CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: class: (pattern of the whole candidate, window, least entropy in bits); the first that matches holds
 CLASSES = {
@@ -40,13 +42,14 @@ CLASSES = {
     "alnum": (r"^[A-Za-z0-9]+$", 20, 3.7),
     "base64": (r"^.+$", 20, 3.8),
 }
+# Loops over groups are possessive: the others recurse once for each repetition, and a long string would end the stack.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",     # UUID
     r"^[0-9+/_=-]+$",                                                                       # numbers, rules
-    r"^(?:[A-Z]?[a-z]{2,}+)+$",                                                             # words, also run together
+    r"^(?:[A-Z]?[a-z]{2,}+)++$",                                                            # words, also run together
     r"^(?:(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4}+)[+/_=-]++)*+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})?$",  # paths, slugs
     # fields that are words, short numbers or placeholders, all of them
-    r"^(?>(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}|(?i:(?:my|your|example|placeholder|changeme|x{4,})[a-z]{0,12}[0-9]{0,4}|(?:0123456789|abcdefgh)(?:0123456789|abcdef(?:gh(?:ijkl)?)?|ijklmnop(?:qrstuvwxyz)?)*))(?:[+/_=-]+|$))++$",
+    r"^(?>(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}|(?i:(?:my|your|example|placeholder|changeme|x{4,})[a-z]{0,12}[0-9]{0,4}|(?:0123456789|abcdefgh)(?:0123456789|abcdef(?:gh(?:ijkl(?!mnop))?)?|ijklmnop(?:qrstuvwxyz)?)*+))(?:[+/_=-]+|$))++$",
 )
 
 SPAN = "struct<s:int,k:int,e:int,v:string>"
@@ -103,8 +106,23 @@ def high_windows(string: Column, window: int, least: float) -> Column:
     return F.transform(F.array(codes), scan)[0]       # the codes are made once
 
 
+def uncovered(c: Column, base: Column) -> Column:
+    """What the base spans (by start) leave of a candidate, in pieces that are long enough."""
+    def piece(s: Column, e: Column) -> Column:
+        return F.when(e - s >= SHORTEST, F.array(F.struct(s.alias("s"), c["k"].alias("k"), e.alias("e"), c["v"].substr(s - c["s"] + 1, e - s).alias("v")).cast(
+            SPAN))).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["e"]).alias("at"), F.concat(acc["out"], piece(acc["at"], b["s"])).alias("out"))
+
+    inside = F.filter(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
+    zero = F.struct(c["s"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    cut = F.aggregate(inside, zero, step, lambda acc: F.concat(acc["out"], piece(acc["at"], c["e"])))
+    return F.when(F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])), cut).otherwise(F.array(c))
+
+
 def entropy_spans(candidates: Column, base: Column, rank: int) -> Column:
-    """High-entropy spans of the candidates that no allow rule or base span covers."""
+    """High-entropy spans of what no allow rule or base span covers of the candidates."""
     def one(c: Column) -> Column:
         got = F.lit(None).cast("struct<lo:int,hi:int>")
         for pattern, window, least in reversed(CLASSES.values()):
@@ -113,7 +131,8 @@ def entropy_spans(candidates: Column, base: Column, rank: int) -> Column:
             (c["s"] + w["lo"]).alias("s"), F.lit(rank).alias("k"), (c["s"] + w["hi"]).alias("e"),
             F.when(w["lo"] >= 0, c["v"]).alias("v")).cast(SPAN))[0]
 
-    allowed = F.filter(candidates, lambda c: ~_any([c["v"].rlike(p) for p in ALLOW]) & ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+    pieces = F.flatten(F.transform(candidates, lambda c: uncovered(c, base)))
+    allowed = F.filter(pieces, lambda c: ~_any([c["v"].rlike(p) for p in ALLOW]))
     return F.filter(F.transform(allowed, one), lambda x: x["v"].isNotNull())
 
 
