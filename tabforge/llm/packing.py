@@ -26,6 +26,7 @@ not read.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -40,6 +41,7 @@ from tabforge.session import written
 CAPACITY = 2048
 NODE_LIMIT = 3000        # choices of the search beyond the first incumbent
 STEPS = 2               # nodes, forced ones included, for each of these
+LIVE = 16               # nodes of the search whose further children are held
 DOMINATED = 200         # dominated fillings in a row that are left out; the next is taken as it is
 FILLING_LENGTHS = 192   # different lengths that the first fillings of a node choose from
 _RANK_BITS = 44         # ranks within one length stay below 2**44
@@ -192,35 +194,53 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, node_limit: int
             if most > 1:
                 yield inside, pattern, 1, gap
 
-    def opened(left: dict[int, int], chain: tuple | None, used: int, waste: int) -> list:
-        return [left, chain, used, waste, children(left), 0]
+    # What is left at the top of the stack; going back puts a pattern's pieces back.
+    left = dict(counts)
+    # A node: the plan up to it as a chain, its bins, its waste, its further children, children so far.
+    # Only the last LIVE nodes hold their further children: another makes them anew, past those it has had.
+    stack: list[list] = [[None, 0, 0, None, 0]]
+
+    def back() -> None:
+        chain = stack.pop()[0]
+        if chain:
+            for x, k in chain[0][0]:
+                left[x] = left.get(x, 0) + k * chain[0][1]
 
-    # a node: its counts, the plan up to it as a chain, its bins, its waste, its further children, children so far
-    stack = [opened(counts, None, 0, 0)]
     while stack and size > bound and choices < node_limit and nodes < STEPS * node_limit:
         node = stack[-1]
-        left, chain, used, waste, further, n_tried = node
-        child = next(further, None) if waste <= (size - 1) * capacity - total else None
-        # a pattern that fills beside the largest piece nothing can be put to is the only one
-        if child is None or n_tried and not any(x <= capacity - max(left) for x in left):
-            stack.pop()
+        chain, used, waste, further, n_tried = node
+        most = max(left)
+        if waste > (size - 1) * capacity - total or n_tried and not any(x <= capacity - most for x in left):
+            back()      # no better solution is below, or the pattern it had is the only one: nothing fits beside the largest piece
+            continue
+        if further is None:
+            further = node[3] = itertools.islice(children(dict(left)), n_tried, None)
+            if len(stack) > LIVE:
+                stack[-LIVE - 1][3] = None
+        child = next(further, None)
+        if child is None:
+            back()
             continue
-        node[5] += 1
-        choices += n_tried > 0 or len(left) > 1 and min(left) <= capacity - max(left)
+        node[4] += 1
+        choices += n_tried > 0 or len(left) > 1 and min(left) <= capacity - most
         nodes += 1
         inside, pattern, m, gap = child
         if waste + m * gap > (size - 1) * capacity - total:
             continue
-        after = {x: k for x, n in left.items() if (k := n - m * inside.get(x, 0))}
+        for x, k in pattern:
+            left[x] -= m * k
+            if not left[x]:
+                del left[x]
         link, used = ((pattern, m), chain), used + m
-        if not after or nodes % 64 == 1:
-            rest = best_fit(after, capacity)
+        stack.append([link, used, waste + m * gap, None, 0])
+        if not left or nodes % 64 == 1:
+            rest = best_fit(left, capacity)
             if used + sum(n for _, n in rest) < size:
                 size, best, at = used + sum(n for _, n in rest), rest, link
                 while at:
                     best, at = [*best, at[0]], at[1]
-        if after:
-            stack.append(opened(after, link, used, waste + m * gap))
+        if not left:
+            back()
     return best
 
 
