@@ -4,13 +4,15 @@ Texts are split into pieces and pieces into words; a gram is 1 to ``MOST`` words
 in a row within a piece, counted per language.
 
 1. Each task sums its grams' 64-bit hashes and sends them as sorted blocks to
-   hash buckets.  A bucket merges its blocks one after another as a Misra-Gries
+   hash buckets.  A bucket merges its blocks, some at once, as a Misra-Gries
    summary: beyond ``capacity`` counters the one after the ``capacity`` largest
    is taken off all of them, and what is not above zero goes.  The capacity is
    the bucket's mass divided by the threshold, rounded down, plus one: a gram
    loses at most mass / (capacity + 1), less than the threshold, so each gram
-   that reaches the threshold survives with a counter above zero.  Equal hashes
-   of different grams only add counts: they can't lose a gram either.
+   that reaches the threshold survives with a counter above zero.  What was
+   taken off bounds each counter's error, so those that can't reach the
+   threshold even with it go.  Equal hashes of different grams only add counts:
+   they can't lose a gram either.
 2. The survivors mark a bit table, each bucket its own slice, and a second pass
    over the texts counts, exactly and by the grams' own words, those whose bit
    is set.  A bit set for another hash costs a count, never a result.
@@ -27,6 +29,7 @@ columns other than ``text`` and ``lang`` are not read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +49,8 @@ PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 SPACES = b" \t"
 
 BUCKET_BYTES = 16_000_000       # of text for each hash bucket
-CHUNK_WORDS = 1_000_000         # words whose grams a task sums at once
+MERGED = 1_000_000              # counters of blocks that are merged at once
+CHUNK_WORDS = 2_000_000         # words whose grams a task sums at once
 MOST_BITS = 28                  # bit table of at most 2^28 bits, 32 MB
 SALTS = 32                      # parts of a language that are ranked apart first
 
@@ -116,17 +120,32 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
         yield chunk
 
 
-def merge_summaries(blocks: Iterator[tuple[np.ndarray, np.ndarray]], capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Misra-Gries merge of (sorted distinct hashes, counts): at most ``capacity`` counters."""
+def merge_summaries(blocks: Iterator[tuple[np.ndarray, np.ndarray]], capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Misra-Gries merge of (distinct hashes, counts): at most ``capacity`` counters,
+    and how much was taken off: a hash's true count is its counter's at least,
+    and at most that much more.  As many blocks are merged at once as have the counters held so far, and
+    ``MERGED`` at least, so the work does not follow the number of blocks."""
     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for more_keys, more_counts in blocks:
-        both, inverse = np.unique(np.concatenate([keys, more_keys]), return_inverse=True)
-        sums = np.zeros(len(both), np.int64)
-        np.add.at(sums, inverse, np.concatenate([counts, more_counts]))
-        if len(both) > capacity:
-            sums -= np.partition(sums, len(sums) - capacity - 1)[len(sums) - capacity - 1]
-        keys, counts = both[sums > 0], sums[sums > 0]
-    return keys, counts
+    waiting, size, taken = [], 0, 0
+    for block in itertools.chain(blocks, [None]):
+        if block:
+            waiting.append(block)
+            size += len(block[0])
+            if size < max(MERGED, len(keys)):
+                continue
+        if not waiting:
+            continue
+        all_keys = np.concatenate([keys, *(b[0] for b in waiting)])
+        order = np.argsort(all_keys, kind="stable")
+        all_keys = all_keys[order]
+        heads = np.flatnonzero(np.concatenate([[True], all_keys[1:] != all_keys[:-1]])[:len(all_keys)])
+        sums = np.add.reduceat(np.concatenate([counts, *(b[1] for b in waiting)])[order], heads) if len(heads) else counts
+        keys, waiting, size = all_keys[heads], [], 0
+        if len(keys) > capacity:
+            off = int(np.partition(sums, len(sums) - capacity - 1)[len(sums) - capacity - 1])
+            sums, taken = sums - off, taken + off
+        keys, counts = keys[sums > 0], sums[sums > 0]
+    return keys, counts, taken
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -151,7 +170,8 @@ def summaries(docs: DataFrame, buckets: int, threshold: int = THRESHOLD) -> Data
         # counts of a chunk fit 32 bits; their sum is the bucket's mass
         mass = sum(int(np.frombuffer(c.as_buffer(), "<u4").sum(dtype=np.int64)) for c in group["counts"])
         blocks = ((np.frombuffer(k.as_buffer(), "<u8"), np.frombuffer(c.as_buffer(), "<u4").astype(np.int64)) for k, c in zip(group["keys"], group["counts"]))
-        keys, _ = merge_summaries(blocks, mass // threshold + 1)
+        keys, counts, taken = merge_summaries(blocks, mass // threshold + 1)
+        keys = keys[counts + taken >= threshold]        # the others can't have occurred so often
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()),
                          "n": pa.array([len(keys)], pa.int64()), "mass": pa.array([mass], pa.int64())})
 
