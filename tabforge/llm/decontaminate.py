@@ -6,22 +6,25 @@ fewer words is one window.  A document word inside any occurrence of a window
 is hit.
 
 Winnowing keeps the least k-gram hash of every ``width`` successive k-grams;
-with ``k + width - 1 == window`` two texts that share ``window`` words in a row
-share a kept hash.  Kept hashes of documents and items are joined; for the
-documents that share one, every position of such a hash gives a diagonal
-(document position minus item position), and each diagonal is extended word by
-word over the item, so all and only true occurrences count.  Items shorter than
-``window`` words are looked up by the hash of the whole item at every position.
+with ``k + width - 1 == window`` each window has one kept hash, the same in a
+document and in an item, so two texts that share a window share a kept hash.
+Kept hashes of documents and items are joined.  In the documents that share one,
+each hit is extended to the windows that it is the kept hash of, and these are
+compared whole with the items' windows by two 64-bit hashes of their words, so
+all and only true occurrences count.  Items shorter than ``window`` words are
+one window, looked up at every position.  The work is a few rows for each word
+of a document that shares a hash, however often a word, a hash or a window
+stands in it or in the items.
 
 All of it is DataFrame expressions.  Words are hashed and compared with ASCII
 lower case: full Unicode lower case depends on what stands around a word.
 
 Defined cases: a NULL or empty text has no words; documents with the same
 ``doc_id`` are each judged, by a hash of the text; a NULL ``doc_id`` is a
-value like any other; items without words never occur, items without
-``item_id`` are left out by ``decontaminate``, as its SQL does, but not by
-``drop_contaminated``; empty tables give no rows or no hits; other columns
-are not read.
+value like any other; items without words never occur; the windows of items
+without ``item_id`` count as hits, but such items have no id that could be
+listed or counted in ``n_items``; empty tables give no rows or no hits; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -69,8 +72,7 @@ def winnowed(hashes: Column, width: int) -> Column:
 def read_benchmark(benchmark: DataFrame) -> DataFrame:
     """``item_id, item`` (its words, ASCII lower case) of the items that have words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    items = benchmark.select("item_id", _words(F.translate(text, _UPPER, _LOWER)).alias("item"))
-    return items.where(F.col("item_id").isNotNull() & (F.size("item") > 0))
+    return benchmark.select("item_id", _words(F.translate(text, _UPPER, _LOWER)).alias("item")).where(F.size("item") > 0)
 
 
 def fingerprints(words: Column, window: int, k: int, short: list[int]) -> Column:
@@ -81,6 +83,23 @@ def fingerprints(words: Column, window: int, k: int, short: list[int]) -> Column
     return kept
 
 
+def windows(words: Column, window: int, k: int, lengths: list[int]) -> Column:
+    """``(n, s, mark, w1, w2)`` of the windows of each length in ``lengths``: where
+    they start, their kept hash and two hashes of their words."""
+    def of(n: int) -> Column:
+        size = k if n >= window else n
+        least = lambda g, i: F.least(*[F.get(g, i + j) for j in range(n - size + 1)]) if n > size else F.get(g, i)
+        both = lambda h, i: [F.xxhash64(*salt, *[F.get(h, i + j) for j in range(n)]) for salt in ((), (F.lit(n),))]
+
+        def built(h: Column, g: Column) -> Column:
+            return F.transform(_upto(F.size(h) - (n - 1)), lambda i: F.struct(
+                F.lit(n).alias("n"), i.alias("s"), least(g, i).alias("mark"), both(h, i)[0].alias("w1"), both(h, i)[1].alias("w2")))
+
+        return _once(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _once(grams(words, size), lambda g: built(h, g)))
+
+    return F.concat(*[of(n) for n in lengths])
+
+
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """``(words, hits)``: ``row_key, doc_id, n_words`` of every document, and per
     document with an occurrence ``row_key, n_hit, n_items, items``."""
@@ -92,75 +111,33 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int =
         "row_key", F.size("w").cast("long").alias("n_words"), fingerprints(F.col("w"), window, k, short).alias("marks"))
     marked = written(marked, "marks")
 
-    item_marks = items.select("item_id", F.size("item").alias("n"), F.col("item").alias("lowered")).select(
-        "item_id", F.when(F.col("n") >= window, winnowed(grams(F.col("lowered"), k), window - k + 1)).otherwise(
-            _pick(short, F.col("n"), F.col("lowered"))).alias("marks"))
-    # written, so that Spark knows its size and broadcasts it only below its threshold; so with the suspects
-    wanted = written(item_marks.select(F.explode("marks").alias("mark")).distinct(), "item_marks")
-    found = marked.select("row_key", F.explode("marks").alias("mark")).join(wanted, "mark").select("row_key", "mark")
-    suspects = written(found.groupBy("row_key").agg(F.collect_set("mark").alias("marks")), "suspects")
-
-    # the suspects' texts, and where their shared hashes stand in them
-    keyed = rows.join(suspects, "row_key").dropDuplicates(["row_key"])
-    placed = keyed.select("row_key", "marks", _words(F.translate("text", _UPPER, _LOWER)).alias("words"))
-    hashed = placed.select("row_key", "words", "marks", F.col("words").alias("lowered"))
-    sizes = [k, *[n for n in short if n != k]]
-    at = F.concat(*[_positions(F.col("lowered"), n, F.col("marks")) for n in sizes])
-    spots = written(hashed.select("row_key", "words", at.alias("at")), "spots")
-    item_spots = items.select("item_id", "item", F.explode(F.concat(*[_spots(n, window, k) for n in sizes])).alias("s")).select(
-        "item_id", "item", F.col("s.mark").alias("mark"), F.col("s.p").alias("ip"))
-    pairs = spots.select("row_key", F.explode("at").alias("s")).select("row_key", F.col("s.mark").alias("mark"), F.col("s.p").alias("dp"))
-    lines = pairs.join(item_spots.select("item_id", "mark", "ip"), "mark").select(
-        "row_key", "item_id", (F.col("dp") - F.col("ip")).alias("shift")).distinct()
-    per_doc = lines.groupBy("row_key", "item_id").agg(F.collect_list("shift").alias("shifts"))
-    extended = per_doc.join(items, "item_id").join(spots.select("row_key", "words"), "row_key").select(
-        "row_key", "item_id", F.flatten(F.transform("shifts", lambda d: _extend(F.col("words"), F.col("item"), d, window))).alias("hit"))
-    hits = extended.where(F.size("hit") > 0).groupBy("row_key").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"),
-        F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    return marked.select("row_key", "n_words"), hits.select(
-        "row_key", "n_hit", F.size("items").cast("long").alias("n_items"), F.array_sort("items").alias("items"))
-
-
-def _pick(short: list[int], n: Column, words: Column) -> Column:
-    out = F.array().cast("array<bigint>")
-    for size in short:
-        out = F.when(n == size, grams(words, size)).otherwise(out)
-    return out
-
-
-def _positions(words: Column, n: int, marks: Column) -> Column:
-    """``(mark, p)`` of the n-grams whose hash is among ``marks``."""
-    numbered = F.transform(grams(words, n), lambda g, i: F.struct(g.alias("mark"), i.alias("p")))
-    return F.filter(numbered, lambda x: F.array_contains(marks, x["mark"]))
-
-
-def _spots(n: int, window: int, k: int) -> Column:
-    """``(mark, p)`` of an item's n-grams: all k-grams of full items, the whole of an item of n words."""
-    here = F.transform(grams(F.col("item"), n), lambda g, i: F.struct(g.alias("mark"), i.alias("p")))
-    length = F.size("item")
-    fits = ((length >= window) if n == k else F.lit(False)) | ((length == n) if n < window else F.lit(False))
-    return F.when(fits, here).otherwise(F.array().cast("array<struct<mark:bigint,p:int>>"))
-
-
-def _extend(words: Column, item: Column, shift: Column, window: int) -> Column:
-    """Document positions inside windows of the item that lie whole on the diagonal."""
-    def runs(same: Column) -> Column:
-        # length of the run of equal words that ends at each item position
-        tally = F.aggregate(same, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(
-            F.when(x, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + 1).otherwise(F.lit(0)))))
-        need = F.least(F.size(item), F.lit(window))
-        return _once(tally, lambda t: F.filter(F.transform(item, lambda _, i: F.when(
-            _covered(t, i, need), i + shift)), lambda p: p.isNotNull()))
-
-    same = F.transform(item, lambda w, i: F.coalesce(F.when(i + shift >= 0, F.get(words, F.greatest(i + shift, F.lit(0))) == w), F.lit(False)))
-    return _once(same, runs)
-
-
-def _covered(tally: Column, i: Column, need: Column) -> Column:
-    """Is position i in a run of ``need`` equal words?  Then one of the next
-    ``need`` tallies counts that many, and counts back to i at least."""
-    return F.exists(F.transform(F.slice(tally, i + 1, need), lambda v, j: (v >= need) & (v >= j + 1)), lambda hit: hit)
+    lengths = [*short, window]
+    of_item = F.filter(windows(F.col("item"), window, k, lengths), lambda x: x["n"] == F.least(F.size("item"), F.lit(window)))
+    # written, so that Spark knows its size and broadcasts it only below its threshold; so with the other small tables
+    item_windows = written(items.select("item_id", F.explode(of_item).alias("x")).select("item_id", "x.n", "x.mark", "x.w1", "x.w2").distinct(), "item_windows")
+    marks = written(item_windows.select("mark").distinct(), "item_marks")
+    shapes = written(item_windows.select("n", "w1", "w2").distinct(), "item_shapes")
+    suspects = written(marked.select("row_key", F.explode("marks").alias("mark")).join(marks, "mark").select("row_key").distinct(), "suspects")
+
+    # the suspects' windows around the shared hashes, compared whole
+    keyed = rows.join(suspects, "row_key").dropDuplicates(["row_key"]).select("row_key", _words(F.translate("text", _UPPER, _LOWER)).alias("w"))
+    near = keyed.select("row_key", F.explode(windows(F.col("w"), window, k, lengths)).alias("x")).select("row_key", "x.*").join(marks, "mark", "left_semi")
+    found = written(near.join(shapes, ["n", "w1", "w2"], "left_semi").select("row_key", "n", "s", "w1", "w2"), "found")
+    n_hit = found.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("s", "n"))).alias("spans")).select("row_key", _covered("spans").alias("n_hit"))
+    named = found.select("row_key", "n", "w1", "w2").distinct().join(item_windows.where("item_id is not null").drop("mark"), ["n", "w1", "w2"])
+    listed = named.select("row_key", F.col("item_id").cast("string").alias("item")).distinct().groupBy("row_key").agg(
+        F.array_sort(F.collect_list("item")).alias("items"))
+    return marked.select("row_key", "n_words"), n_hit.join(listed, "row_key", "left").select(
+        "row_key", "n_hit", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), "items")
+
+
+def _covered(spans: str) -> Column:
+    """How many positions the spans cover, which come by start."""
+    def step(acc: Column, x: Column) -> Column:
+        end = x["s"] + x["n"]
+        return F.struct(F.greatest(acc["at"], end).alias("at"), (acc["n"] + F.greatest(end - F.greatest(acc["at"], x["s"]), F.lit(0))).alias("n"))
+
+    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")), step, lambda acc: acc["n"].cast("long"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM) -> DataFrame:
@@ -176,9 +153,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM) -> DataFrame:
-    """The documents that are not contaminated, all columns.  Items without
-    ``item_id`` count too: here an item's key is its text."""
-    items = benchmark.select(F.md5(F.col("text").cast("string")).alias("item_id"), "text").distinct()
-    bad = decontaminate(docs, items, window, k).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
-    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (mark == F.col("bad_hash")), "left_anti")
+    """The documents that are not contaminated, all columns."""
+    bad = decontaminate(docs, benchmark, window, k).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
+    # the document is one column here, so none of its own can have the name of another
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("mark"))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("mark") == F.col("bad_hash")), "left_anti").select("row.*")

@@ -144,14 +144,15 @@ def brute(text, items, window):
     w, hit, found = words(text), set(), set()
     for item, t in items:
         b = words(t)
-        if not b or item is None:
+        if not b:
             continue
         n = min(window, len(b))
         grams = {tuple(b[i:i + n]) for i in range(len(b) - n + 1)}
         for i in range(len(w) - n + 1):
             if tuple(w[i:i + n]) in grams:
                 hit.update(range(i, i + n))
-                found.add(str(item))
+                if item is not None:
+                    found.add(str(item))
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
@@ -195,6 +196,18 @@ def test_drop_contaminated_counts_items_without_id(spark):
     assert [r.doc_id for r in D.drop_contaminated(docs, bench).collect()] == [2]
 
 
+def test_decontaminate_repeated_words(spark):
+    bench = spark.createDataFrame([(1, "a " * 20000), (2, "a " * 13), (None, "b c " * 3000)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a " * 20000), (2, "x " + "A " * 12), (3, "b c " * 9000 + "x " * 5), (4, "c b " * 7)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in D.decontaminate(docs, bench).collect()}
+    assert got == {1: (20000, 20000, 2), 2: (13, 0, 0), 3: (18005, 18000, 0), 4: (14, 14, 0)}
+
+
+def test_drop_contaminated_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "clean", "b", 7, "m")], "doc_id long, text string, bad_id string, bad_hash int, id string")
+    assert [tuple(r) for r in D.drop_contaminated(docs, docs.select(F.col("doc_id").alias("item_id"), F.lit("other").alias("text"))).collect()] == [(1, "clean", "b", 7, "m")]
+
+
 def test_decontaminate_greek_capitals(spark):
     heads = "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞ"
     docs = spark.createDataFrame([(1, "'".join(c + "Σ" for c in heads))], "doc_id long, text string")
