@@ -5,9 +5,10 @@ Counts of each text give base rules and a vector of transformed statistics
 determinant is estimated over the documents that pass the base rules: from two
 deterministic starts (medians with median absolute deviations; means with
 covariances) C-steps alternate between the ``SHARE`` of documents with the
-least Mahalanobis distance and their mean and covariance, until no group's set
-changes or ``STEPS`` are done; the start with the lesser determinant counts,
-followed by one reweighted estimate.  A document is kept if its squared distance is
+least Mahalanobis distance and their mean and covariance, each start of each
+group until it comes back to a set it has had, so the number of steps has no
+limit but the finite number of sets (12 at most were seen); the start with the
+lesser determinant counts, followed by one reweighted estimate.  A document is kept if its squared distance is
 below the chi-squared cutoff.
 
 All estimates are aggregations of sums that combine before the shuffle, over
@@ -50,7 +51,6 @@ LEAST_WORDS = 10
 MOST_REPEATED = 20          # per cent of words
 
 SHARE = 0.75
-STEPS = 8
 GROUP_MIN = 60
 REWEIGHT = 0.975
 CUTOFF = 0.999
@@ -220,19 +220,25 @@ def fit(vectors: DataFrame, limited: bool = False) -> DataFrame:
     sizes = written(sizes, "sizes")
     plain = _estimate(vectors.withColumn("start", F.lit(1)).groupBy("g", "start").agg(*_moments()), 1.0)
     now = written(_median_start(vectors).unionByName(plain), "estimate")
-    factor, known = consistency(SHARE, len(X)), None
-    for _ in range(STEPS):
-        far = vectors.join(now.select("g", "start", "mu", "inv"), "g").select(
+    factor = consistency(SHARE, len(X))
+    had, ended, active = None, None, now
+    while not active.isEmpty():
+        far = vectors.join(active.select("g", "start", "mu", "inv"), "g").select(
             "g", "start", *X, F.floor(F.log2(_distance() + 1e-6) * 64).cast("int").alias("bin"))
         bins = far.groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("k"), *_moments())
         upto = F.sum("k").over(Window.partitionBy("g", "start").orderBy("bin"))
         near = bins.withColumn("before", upto - F.col("k")).join(sizes, "g").where(F.col("before") < F.col("h"))
         sums = [F.sum(c).alias(c) for c in ["n", *[f"s_{x}" for x in X], *[f"p_{i}_{j}" for i, j in _PAIRS]]]
         now = written(_estimate(near.groupBy("g", "start").agg(*sums), factor), "estimate")
-        state = now.agg(F.sum(F.col("n")), F.round(F.sum("log_det"), 6)).first()
-        if state == known:
-            break
-        known = state
+        # a set is known by its size and the determinant of its covariance
+        key = now.select("g", "start", "n", F.round("log_det", 6).alias("d"))
+        again = now.limit(0).select("g", "start") if had is None else key.join(had, ["g", "start", "n", "d"], "left_semi").select("g", "start")
+        again = written(again, "again")
+        done = now.join(again, ["g", "start"], "left_semi")
+        ended = done if ended is None else ended.unionByName(done)
+        had = key if had is None else had.unionByName(key)
+        active = now.join(again, ["g", "start"], "left_anti")
+    now = now if ended is None else ended
     best = now.groupBy("g").agg(F.min(F.struct("log_det", "start", "mu", "inv")).alias("b")).select("g", F.col("b.mu").alias("mu"), F.col("b.inv").alias("inv"))
     if limited:
         best = _limited(best)

@@ -88,7 +88,7 @@ def mcd_by_numpy(x):
     h, floor = math.ceil(n * O.SHARE), np.diag(O.FLOOR ** 2)
 
     def steps(mu, cov):
-        for _ in range(O.STEPS):
+        for _ in range(60):
             d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
             bins = np.floor(np.log2(np.maximum(d, 0) + 1e-6) * 64)
             near = x[bins <= np.sort(bins)[h - 1]]
