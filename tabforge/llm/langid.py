@@ -187,9 +187,13 @@ def train(docs: DataFrame, order: int = ORDER, docs_per_language: int = DOCS_PER
     """A model of all languages from ``doc_id, text, lang`` rows; a list of broadcast
     models where one would be too large; None if no row has text and language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    # a few times as many as are wanted, by the id's hash, so that no task ranks a whole language
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    cut = F.lit(2.0 ** 64) * F.lit(8.0 * docs_per_language) / F.col("n") - F.lit(2.0 ** 63)
+    some = labelled.select("lang", "doc_id").join(sizes, "lang").where(F.xxhash64("doc_id").cast("double") <= cut).select("lang", "doc_id").distinct()
     nth = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("lang", "doc_id").withColumn("nth", F.row_number().over(nth))
-    chosen = written(chosen.where(F.col("nth") <= docs_per_language).select("lang", "doc_id").distinct(), "chosen")
+    chosen = some.withColumn("nth", F.row_number().over(nth))
+    chosen = written(chosen.where(F.col("nth") <= docs_per_language).select("lang", "doc_id"), "chosen")
     few = chosen.count() <= BROADCAST_ROWS
     counts = written(count_grams(labelled.join(F.broadcast(chosen) if few else chosen, ["lang", "doc_id"]), order), "grams")
     groups = language_groups({r.lang: r["count"] for r in counts.groupBy("lang").count().collect()}, MODEL_CELLS)
@@ -201,13 +205,16 @@ def train(docs: DataFrame, order: int = ORDER, docs_per_language: int = DOCS_PER
 
 def _model(counts: DataFrame, languages: list[str], order: int) -> Model:
     table = counts.toArrow()
-    lang, size = np.array(table.column("lang").to_pylist()), table.column("size").to_numpy()
+    coded = table.column("lang").combine_chunks().dictionary_encode()
+    lang, number = coded.indices.to_numpy(), {v: i for i, v in enumerate(coded.dictionary.to_pylist())}
+    size = table.column("size").to_numpy()
     key, n = table.column("key").to_numpy().astype(np.uint64), table.column("n").to_numpy().astype(np.float64)
+    del table, coded
     grams = {}
     for name in languages:
         per = []
         for k in range(order + 1):
-            sel = np.flatnonzero((lang == name) & (size == k + 1))
+            sel = np.flatnonzero((lang == number.get(name, -1)) & (size == k + 1))
             sel = sel[np.argsort(key[sel])]
             per.append((key[sel], n[sel]))
         grams[name] = per
