@@ -215,9 +215,8 @@ def prefix_entries(rows: DataFrame) -> DataFrame:
 
 def _in_two(entries: DataFrame) -> DataFrame:
     """Entries whose shingle stands in two classes or more."""
-    w = Window.partitionBy("token")
-    both = entries.select("*", F.min("node").over(w).alias("low"), F.max("node").over(w).alias("high"))
-    return both.where("low != high").select("token", "node", "n")
+    shared = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
+    return entries.join(shared.select("token"), "token").select("token", "node", "n")
 
 
 def core(entries: DataFrame) -> DataFrame:
@@ -242,16 +241,17 @@ def _band(n: Column) -> Column:
 def candidate_edges(entries: DataFrame) -> DataFrame:
     """Of each class' shingles the rarest that must hold a common one; star edges
     within a shingle's size band, and one to the band before."""
-    counted = entries.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token")))
+    counted = entries.join(entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
     own = Window.partitionBy("node", "n")
     ranked = counted.withColumn("rank", F.row_number().over(own.orderBy("df", "token"))).withColumn("k", F.count(F.lit(1)).over(own))
     rare = ranked.where(F.col("rank") <= F.col("k") - _needed() + 1).select("token", "node", "n")
-    banded = rare.withColumn("band", _band(F.col("n")))
-    line = Window.partitionBy("token").orderBy("band", "n", "node")
-    star = Window.partitionBy("token", "band").orderBy("n", "node")
-    told = banded.select("node", "n", F.lag("node").over(line).alias("before"), F.lag("n").over(line).alias("n_before"), F.first("node").over(star).alias("hub"))
-    to = F.when(F.col("hub") != F.col("node"), F.col("hub")).when(F.col("n_before") * 5 >= F.col("n") * 4, F.col("before"))
-    return told.select(F.col("node").alias("a"), to.alias("b")).where("b IS NOT NULL AND a != b").distinct()
+    banded = written(rare.withColumn("band", _band(F.col("n"))), "rare")
+    ends = banded.groupBy("token", "band").agg(F.min(F.struct("n", "node")).alias("hub"), F.max(F.struct("n", "node")).alias("last"))
+    # a shingle has a row for each size band here, some sixty at most
+    told = ends.withColumn("before", F.lag("last").over(Window.partitionBy("token").orderBy("band")))
+    stars = banded.join(told.select("token", "band", F.col("hub.node").alias("b")), ["token", "band"]).select(F.col("node").alias("a"), "b")
+    line = told.where(F.col("before.n") * 5 >= F.col("hub.n") * 4).select(F.col("hub.node").alias("a"), F.col("before.node").alias("b"))
+    return stars.union(line).where("a != b").distinct()
 
 
 def join_tiles(work: DataFrame) -> DataFrame:
@@ -303,11 +303,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     firsts = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(
         F.col("k.doc_id").alias("k_id"), F.col("k.text_hash").alias("k_mark"), F.lit(True).alias("k_words"))
     empty = found.where("n_shingles = 0").select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_mark"), F.lit(False).alias("k_words")).distinct()
-    rows = docs.select("*", _text_key(F.col("text").cast("string")).alias("k_text"))
-    joined = rows.join(firsts.union(empty), F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.col("k_text") == F.col("k_mark")))
+    # the document is one column here, so none of its own can have the name of another
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("id"), _text_key(F.col("row.text").cast("string")).alias("mark"))
+    joined = rows.join(firsts.union(empty), F.col("id").eqNullSafe(F.col("k_id")) & (F.col("mark") == F.col("k_mark")))
     # of rows equal in id and text one stays; those without words are told apart
-    told = joined.withColumn("k_row", F.when(F.col("k_words"), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id()))
-    return told.dropDuplicates(["k_id", "k_mark", "k_row"]).select(*docs.columns)
+    told = joined.withColumn("nth", F.when(F.col("k_words"), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id()))
+    return told.dropDuplicates(["k_id", "k_mark", "nth"]).select("row.*")
 
 
 def _low_long(cls: Column) -> Column:
