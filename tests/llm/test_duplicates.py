@@ -187,3 +187,23 @@ def test_language_stage_without_and_with_wrong_labels(spark, sf):
     rows += [(200, rows[0][1], "ru"), (201, rows[20][1], "en"), (202, rows[20][1], None)]
     got = {r.doc_id: r.lang for r in C.language(spark, spark.createDataFrame(rows, docs.schema), sf).collect()}
     assert got == {i: "en" if i < 100 or i == 200 else "ru" for i, _, _ in rows}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rng = random.Random(9)
+    text = lambda: "\n".join(" ".join(rng.choice("abcdefgh") * 3 + str(rng.randint(0, 99)) for _ in range(12)) for _ in range(6))
+    own = ["score", "lang_pred", "n_lines", "n_removed", "removed", "k_id", "k_mark", "k_text", "k_row", "k_words", "bad_id", "bad_hash", "others", "row", "id", "mark"]
+    docs = spark.createDataFrame([(i, text(), "en", *[f"{c}{i}" for c in own]) for i in range(12)], "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in own))
+    once = docs.union(docs.where("doc_id < 4"))
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, once, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert {r.doc_id for r in rows} == set(range(12)) and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in own), name
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").collect() == [], name
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert C.run(spark, str(tmp_path)).collect() == []
