@@ -1,43 +1,49 @@
 """kNN imputation.
 
-For each numeric column c that has nulls ("knn columns" K):
+For each numeric column c that has nulls ("knn columns", K of them):
 
 * receivers are rows with c NULL, donors rows with c present;
 * the distance uses the knn columns present in *both* rows, scaled as
-  sqrt(|K| / |common| * sum of squared differences) (nan-euclidean);
+  sqrt(K / |common| * sum of squared differences) (nan-euclidean);
 * the imputed value is the uniform mean of c over the k nearest donors
   (k = min(5, rows - 1)); a receiver sharing no coordinate with any donor
   gets the column mean.  Every column is imputed from the original values.
 
-Work is done per (receiver presence pattern, donor presence pattern) with
-the exact grid kNN over *distinct* coordinates: donors with equal
-coordinates form one group (its first k donors in hash order are the ones
-that can be used), receivers with equal coordinates share one answer.
-Equal distances are ordered by (donor pattern, group id, hash order), a
-fixed rule; only distances decide otherwise.
+Which columns a row has is data: its pattern is a join key.  The receivers'
+and donors' patterns of a column give the pairs that occur and the columns
+these have in common; a space is a column, a donor pattern and a set of common
+columns, with the other coordinates at 0.  One kNN join answers every receiver
+of every column in all its spaces, so the number of jobs does not follow the
+columns or the patterns.
+
+In a space donors with equal coordinates are one point with its first k donors in
+hash order (the only ones that can count), and receivers with equal coordinates
+share one answer.  Of donors equally near come first those of the point whose
+first donor is first in hash order, and in a point they come in hash order.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.functions.exprs import col, is_numeric_type
 from tabforge.operators import sampling
 from tabforge.operators.impute import columns_with_nulls
-from tabforge.operators.knn import expand_neighbours, grid_knn
-from tabforge.session import cut_lineage
+from tabforge.operators.knn import nearest
+from tabforge.session import cut_lineage, written
+
 
+def _common(a: Column, b: Column, size: int) -> Column:
+    """The pattern of the columns that two patterns have: '1' for each of them."""
+    return F.concat(*[F.when((F.substring(a, i + 1, 1) == "1") & (F.substring(b, i + 1, 1) == "1"), "1").otherwise("0") for i in range(size)])
 
-def _pattern(cols: Sequence[str]):
-    """Bitmask of present columns."""
-    expr = F.lit(0)
-    for i, c in enumerate(cols):
-        expr = expr + F.when(col(c).isNotNull(), F.lit(1 << i)).otherwise(0)
-    return expr
+
+def _masked(x: str, pattern: str, size: int) -> Column:
+    """The coordinates of the pattern's columns; 0 elsewhere."""
+    return F.array(*[F.when(F.substring(pattern, i + 1, 1) == "1", F.col(x)[i]).otherwise(F.lit(0.0)) for i in range(size)])
 
 
 def knn_impute(df: DataFrame, target: str, columns: Sequence[str] | None = None, keys: Sequence[str] = (),
@@ -47,87 +53,37 @@ def knn_impute(df: DataFrame, target: str, columns: Sequence[str] | None = None,
     kcols = columns_with_nulls(df, numeric)
     if not kcols:
         return df, {"strategy": "knn", "knn_columns": []}
-    spark = df.sparkSession
     base = cut_lineage(df.withColumn("__ord", sampling.row_order(df, keys, seed)[0]).withColumn("__rid", F.monotonically_increasing_id()))
-    n_rows = base.count()
-    k = min(n_neighbors, max(1, n_rows - 1))
-    K = len(kcols)
-    filled: dict[str, DataFrame] = {}
-    for c in kcols:
-        others = [o for o in kcols if o != c]
-        rec = base.where(col(c).isNull()).select("__rid", *[col(o).cast("double").alias(o) for o in others],
-                                                 _pattern(others).alias("__pat"))
-        don = base.where(col(c).isNotNull()).select("__rid", "__ord", col(c).cast("double").alias("__val"),
-                                                    *[col(o).cast("double").alias(o) for o in others],
-                                                    _pattern(others).alias("__pat"))
-        rpats = sorted(r[0] for r in rec.select("__pat").distinct().collect())
-        dpats = sorted(r[0] for r in don.select("__pat").distinct().collect())
-        mean_c = base.agg(F.avg(col(c).cast("double"))).collect()[0][0]
-        cands = []
-        for pr in rpats:
-            pr_cols = [o for i, o in enumerate(others) if pr >> i & 1]
-            rg = rec.where(F.col("__pat") == pr)
-            if not pr_cols:
-                continue
-            rgroups = sampling.hash_rank(rg.select(*pr_cols).distinct(), pr_cols, seed, rank_col="__qid")
-            rgroups = cut_lineage(rgroups)
-            for di, pd in enumerate(dpats):
-                S = [o for i, o in enumerate(others) if (pr >> i & 1) and (pd >> i & 1)]
-                if not S:
-                    continue
-                scale = math.sqrt(K / len(S))
-                dg = don.where(F.col("__pat") == pd)
-                # donors grouped by their S-coordinates; keep the first k of each group (hash order)
-                grp = dg.groupBy(*S).agg(F.count("*").alias("__n"))
-                grp = cut_lineage(sampling.hash_rank(grp, S, seed, rank_col="__gid"))
-                slots = sampling.hash_rank(dg.join(grp.select(*S, "__gid"), S), ["__ord"], seed, by="__gid",
-                                           rank_col="__slot").where(F.col("__slot") < k)
-                dims = [f"__s{i}" for i in range(len(S))]
-                q = rgroups.select(F.col("__qid").alias("qid"),
-                                   *[(col(s) * F.lit(scale)).alias(d) for s, d in zip(S, dims)])
-                p = grp.select(F.col("__gid").alias("pid"), *[(col(s) * F.lit(scale)).alias(d)
-                                                             for s, d in zip(S, dims)],
-                               F.least(F.col("__n"), F.lit(k)).alias("m"))
-                nn = expand_neighbours(grid_knn(q, p, dims, k))
-                nn = nn.withColumn("__slot", F.col("nn_idx") - F.min("nn_idx").over(
-                    Window.partitionBy("qid", "pid")))
-                got = nn.join(slots.select(F.col("__gid").alias("pid"), "__slot", "__val"), ["pid", "__slot"])
-                cands.append(got.select(F.lit(pr).alias("__pr"), "qid", "dist", F.lit(di).alias("__di"),
-                                        "pid", "__slot", "__val"))
-        if cands:
-            allc = cands[0]
-            for x in cands[1:]:
-                allc = allc.unionByName(x)
-            w = Window.partitionBy("__pr", "qid").orderBy("dist", "__di", "pid", "__slot")
-            top = allc.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
-            vals = top.groupBy("__pr", "qid").agg(F.avg("__val").alias("__imp"))
-            # map receiver rows to their coordinate group per pattern
-            maps = []
-            for pr in rpats:
-                pr_cols = [o for i, o in enumerate(others) if pr >> i & 1]
-                if not pr_cols:
-                    continue
-                rgroups = sampling.hash_rank(rec.where(F.col("__pat") == pr).select(*pr_cols).distinct(),
-                                             pr_cols, seed, rank_col="qid")
-                rows = rec.where(F.col("__pat") == pr).join(rgroups, pr_cols).select("__rid", F.lit(pr).alias("__pr"),
-                                                                                    "qid")
-                maps.append(rows)
-            m = maps[0]
-            for x in maps[1:]:
-                m = m.unionByName(x)
-            imp = m.join(vals, ["__pr", "qid"]).select("__rid", "__imp")
-        else:
-            imp = spark.createDataFrame([], "__rid bigint, __imp double")
-        filled[c] = cut_lineage(imp.select("__rid", F.col("__imp").alias(f"__imp_{c}")))
-        filled[c + "__mean"] = mean_c
-    out = base
-    for c in kcols:
-        out = out.join(filled[c], "__rid", "left")
-    sel = []
-    for f in df.schema.fields:
-        if f.name in kcols:
-            v = F.coalesce(col(f.name).cast("double"), F.col(f"__imp_{f.name}"), F.lit(filled[f.name + "__mean"]))
-            sel.append(v.alias(f.name))
-        else:
-            sel.append(col(f.name))
-    return out.select(*sel), {"strategy": "knn", "knn_columns": kcols, "k": k}
+    size = len(kcols)
+    values = [col(c).cast("double") for c in kcols]
+    row = base.agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)]).first()
+    k = min(n_neighbors, max(1, row.n - 1))
+    # a row for each column: its value there, and which of the other columns it has
+    here = F.array(*[F.struct(F.lit(i).alias("c"), v.alias("val"), F.concat(*[
+        F.lit("0") if i == j else F.when(o.isNotNull(), "1").otherwise("0") for j, o in enumerate(values)]).alias("pat")) for i, v in enumerate(values)])
+    tall = base.select("__rid", "__ord", F.array(*values).alias("at"), F.explode(here).alias("h")).select(
+        "__rid", "__ord", "h.c", "h.val", "h.pat", _masked("at", "h.pat", size).alias("at"))
+    receivers, donors = tall.where("val IS NULL"), tall.where("val IS NOT NULL")
+    asked = written(receivers.select("c", "pat", "at").distinct().withColumn("qid", F.monotonically_increasing_id()), "receivers")
+    pairs = asked.select("c", F.col("pat").alias("pr")).distinct().join(donors.select("c", F.col("pat").alias("pd")).distinct(), "c")
+    spaces = written(pairs.withColumn("shared", _common(F.col("pr"), F.col("pd"), size)).where(F.col("shared").contains("1")).withColumn(
+        "space", F.concat_ws("_", F.col("c").cast("string"), "pd", "shared")), "spaces")
+
+    sent = donors.join(spaces.select("c", F.col("pd").alias("pat"), "shared", "space").distinct(), ["c", "pat"])
+    first = Window.partitionBy("space", "x").orderBy("__ord")
+    kept = sent.select("space", _masked("at", "shared", size).alias("x"), "__ord", "val").withColumn("slot", F.row_number().over(first)).where(F.col("slot") <= k)
+    points = kept.groupBy("space", "x").agg(F.array_sort(F.collect_list(F.struct("__ord", "val"))).alias("d")).select(
+        "space", F.conv(F.substring(F.col("d")[0]["__ord"], 1, 15), 16, 10).cast("long").alias("pid"), "x", F.size("d").alias("m"), F.col("d.val").alias("load"))
+    queries = asked.withColumnRenamed("pat", "pr").join(spaces, ["c", "pr"]).select(
+        "qid", "space", _masked("at", "shared", size).alias("x"), F.lit(None).cast("long").alias("skip"),
+        F.lit(float(size)).alias("num"), F.length(F.regexp_replace("shared", "0", "")).cast("double").alias("den"))
+    near = nearest(queries, points, size, k)
+    total = F.aggregate(F.slice("load", F.lit(1), F.col("take").cast("int")), F.lit(0.0), lambda a, v: a + v)
+    means = near.groupBy("qid").agg((F.sum(total) / F.sum("take")).alias("value"))
+    given = receivers.select("__rid", "c", "pat", "at").join(asked, ["c", "pat", "at"]).join(means, "qid")
+    wide = given.groupBy("__rid").agg(*[F.max(F.when(F.col("c") == i, F.col("value"))).alias(f"__i{i}") for i in range(size)])
+    out = base.join(wide, "__rid", "left")
+    place = {c: i for i, c in enumerate(kcols)}
+    chosen = [F.coalesce(col(f.name).cast("double"), F.col(f"__i{place[f.name]}"), F.lit(row[f"m{place[f.name]}"])).alias(f.name)
+              if f.name in place else col(f.name) for f in df.schema.fields]
+    return out.select(*chosen), {"strategy": "knn", "knn_columns": kcols, "k": k}

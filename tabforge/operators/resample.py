@@ -4,8 +4,8 @@ SMOTE adds (majority - minority) synthetic minority rows.  Each minority row
 gets a dense hash rank r; synthetic ordinal o = copy * n_minority + r spreads
 the new rows evenly over the minority rows.  For ordinal o the neighbour slot
 (of k) and the gap u in [0, 1) come from md5 of (seed, o), so the output is
-deterministic.  Neighbours come from the exact grid kNN over *distinct*
-minority coordinates (duplicates are one point with a multiplicity).
+deterministic.  Neighbours come from the exact kNN over *distinct* minority
+coordinates (duplicates are one point with a multiplicity).
 
 SMOTE-NC treats 0/1 columns as categories: in the distance a mismatch costs
 median_std^2 / 2 (each 0/1 column is scaled by median_std / sqrt(2), where
@@ -16,17 +16,18 @@ neighbours (ties -> the smaller value).
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.constants import BALANCE_METHODS, DEFAULT_SEED, IMBALANCE_RATIO
 from tabforge.errors import DataError, ParamError
-from tabforge.functions.exprs import col, hash_int, hash_uniform, row_hash
+from tabforge.functions.exprs import col, hash_int, hash_uniform
 from tabforge.operators import sampling
-from tabforge.operators.knn import expand_neighbours, grid_knn
+from tabforge.operators.knn import expand_neighbours, nearest
 from tabforge.operators.profile import imbalance
 from tabforge.session import cut_lineage
 
@@ -48,6 +49,20 @@ def _median(vals):
     return v[n // 2] if n % 2 else (v[n // 2 - 1] + v[n // 2]) / 2
 
 
+def _load(i: int, neighbour: Column) -> Column:
+    return neighbour["load"][i]
+
+
+def _vote(values: Column) -> Column:
+    """The most frequent value of an array; of equally frequent ones the least."""
+    def more(best: Column, v: Column) -> Column:
+        n = F.size(F.filter(values, lambda x: x == v))
+        return F.when(n > best["n"], F.struct(n.alias("n"), v.alias("v"))).otherwise(best)
+
+    zero = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("v"))
+    return F.aggregate(F.array_sort(F.array_distinct(values)), zero, more, lambda best: best["v"])
+
+
 def smote(df: DataFrame, target: str, keys: Sequence[str], features: Sequence[str], minority_label: str,
           need: int, k: int, seed: int = DEFAULT_SEED, categorical: Sequence[str] = ()) -> DataFrame:
     """Synthetic minority rows (same schema as ``df``; keys NULL)."""
@@ -68,49 +83,39 @@ def smote(df: DataFrame, target: str, keys: Sequence[str], features: Sequence[st
         med = _median([sds[f"s{i}"] for i in range(len(conts))]) if conts else 0.0
         for c in cats:
             scale[c] = med / math.sqrt(2.0)
-    dims = [f"__d{i}" for i in range(len(features))]
-    scaled = [(col(c).cast("double") * F.lit(scale[c])).alias(d) for c, d in zip(features, dims)]
-    # distinct coordinate groups with multiplicity and a dense id
-    groups = mino.select(*[col(c).cast("double").alias(c) for c in features]).groupBy(*features).agg(
-        F.count("*").alias("m"))
-    groups = sampling.hash_rank(groups, features, seed, rank_col="gid")
-    groups = cut_lineage(groups.select("gid", "m", *[col(c) for c in features], *scaled))
-    q = groups.select(F.col("gid").alias("qid"), *dims)
-    p = groups.select(F.col("gid").alias("pid"), *dims, "m")
-    nn = expand_neighbours(grid_knn(q, p, dims, k, exclude_self=True))
-    nn = nn.join(groups.select(F.col("gid").alias("pid"), *[col(c).alias(f"__n_{c}") for c in features]), "pid")
+    hk = list(keys) if keys else features
+    order, _ = sampling.row_order(mino, hk, seed)
+    # distinct coordinates with their copies; a place's number comes from its first row in hash order
+    places = mino.select(*[col(c).cast("double").alias(f"__g{i}") for i, c in enumerate(features)], order.alias("__h")).groupBy(
+        *[f"__g{i}" for i in range(len(features))]).agg(F.count(F.lit(1)).alias("m"), F.min("__h").alias("__h"))
+    at = [F.col(f"__g{i}") for i in range(len(features))]
+    groups = cut_lineage(places.select(F.conv(F.substring("__h", 1, 15), 16, 10).cast("long").alias("gid"), "m", *at, F.array(*at).alias("load"),
+                                       F.array(*[a * F.lit(float(scale[c])) for a, c in zip(at, features)]).alias("x")))
+    space = F.lit("minority").alias("space")
+    nn = nearest(groups.select(F.col("gid").alias("qid"), space, "x", F.col("gid").alias("skip")),
+                 groups.select(space, F.col("gid").alias("pid"), "x", "m", "load"), len(features), k)
+    near = expand_neighbours(nn).groupBy(F.col("qid").alias("gid")).agg(F.array_sort(F.collect_list(F.struct("nn_idx", "load"))).alias("__near"))
 
     # base rows: dense hash rank, then copies spread round-robin
-    hk = list(keys) if keys else features
     ranked = sampling.hash_rank(mino, hk, seed, n_max=n_min, rank_col="__r")
-    gcols = groups.select("gid", *[col(c).alias(f"__g_{c}") for c in features])
-    ranked = ranked.join(gcols, [col(c).cast("double") == F.col(f"__g_{c}") for c in features])
+    ranked = ranked.join(groups.select("gid", *at), [col(c).cast("double") == a for c, a in zip(features, at)])
     base, extra = divmod(need, n_min)
     copies = F.lit(base) + F.when(F.col("__r") < extra, 1).otherwise(0)
     syn = (ranked.where(copies > 0)
            .select("*", F.explode(F.sequence(F.lit(0), copies - 1)).alias("__c"))
            .withColumn("__o", F.col("__c") * F.lit(n_min) + F.col("__r")))
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__o").cast("string")))
-    syn = (syn.withColumn("nn_idx", (hash_int(h, 0) % F.lit(k)).cast("bigint"))
-              .withColumn("__u", hash_uniform(h, 8)))
-    syn = syn.join(nn.select(F.col("qid").alias("gid"), "nn_idx", *[f"__n_{c}" for c in features]),
-                   ["gid", "nn_idx"])
-    if cats:
-        votes = None
-        for c in cats:
-            v = (nn.groupBy(F.col("qid").alias("gid"), F.col(f"__n_{c}").alias("__v")).count()
-                 .groupBy("gid").agg(F.min_by("__v", F.struct((-F.col("count")).alias("a"),
-                                                            F.col("__v").alias("b"))).alias(f"__vote_{c}")))
-            votes = v if votes is None else votes.join(v, "gid")
-        syn = syn.join(votes, "gid")
+    syn = syn.withColumn("__u", hash_uniform(h, 8)).withColumn("__s", (hash_int(h, 0) % F.lit(k)).cast("int")).join(near, "gid")
+    there = F.get("__near", F.col("__s"))["load"]
+    place = {c: i for i, c in enumerate(features)}
     out = []
     for f in df.schema.fields:
         c = f.name
         if c in conts:
-            v = col(c).cast("double") + F.col("__u") * (F.col(f"__n_{c}") - col(c).cast("double"))
+            v = col(c).cast("double") + F.col("__u") * (there[place[c]] - col(c).cast("double"))
             out.append(v.cast(f.dataType).alias(c) if f.dataType.typeName() in ("double", "float") else v.alias(c))
         elif c in cats:
-            out.append(F.col(f"__vote_{c}").cast(f.dataType).alias(c))
+            out.append(_vote(F.transform("__near", functools.partial(_load, place[c]))).cast(f.dataType).alias(c))
         elif c == target:
             out.append(col(c))
         else:
