@@ -140,6 +140,8 @@ FX_SQL = {
     "fx_three_class": "SELECT o_orderkey, o_totalprice, o_orderpriority, o_orderstatus FROM orders",
     "fx_rule_scores": (f"SELECT {_K}, l_linestatus, l_quantity / 50.0 AS score, "
                        "CASE WHEN l_quantity > 25 THEN 'O' ELSE 'F' END AS prediction FROM lineitem"),
+    "fx_knn": (f"SELECT {_K}, CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE l_quantity END AS l_quantity, "
+               "CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_discount END AS l_discount, l_tax, l_linestatus FROM lineitem"),
     "fx_raw_new": (f"SELECT {_K}, CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE l_quantity END AS l_quantity, "
                    "l_extendedprice, l_discount, "
                    "CASE WHEN l_orderkey % 11 = 0 THEN ' Z' ELSE l_returnflag END AS l_returnflag FROM lineitem"),

@@ -202,14 +202,10 @@ TARGET_CORR = with_fx("fx_redundant", " UNION ALL ".join(
 SELECT_FEATURES = with_fx("fx_high", f"""
 SELECT {K}, round(l_discount, 6) AS l_discount, round(l_charge, 6) AS l_charge, is_high FROM fx""")
 
+_INSIDE = "NOT EXISTS (SELECT 1 FROM f WHERE q3 - q1 > 0 AND (" + " OR ".join(
+    f"(f.column_name = '{c}' AND (fx.{c} < q1 - 3 * (q3 - q1) OR fx.{c} > q3 + 3 * (q3 - q1)))" for c in _FENCE_COLS) + "))"
 PREP_FLOW = with_fx("fx_high", f"""
-SELECT {K}, round(l_discount, 6) AS l_discount, round(l_charge, 6) AS l_charge, is_high FROM fx
-WHERE NOT EXISTS (SELECT 1 FROM f WHERE q3 - q1 > 0 AND (
-  (f.column_name = 'l_quantity' AND (fx.l_quantity < q1 - 3 * (q3 - q1) OR fx.l_quantity > q3 + 3 * (q3 - q1))) OR
-  (f.column_name = 'l_extendedprice' AND (fx.l_extendedprice < q1 - 3 * (q3 - q1) OR fx.l_extendedprice > q3 + 3 * (q3 - q1))) OR
-  (f.column_name = 'l_discount' AND (fx.l_discount < q1 - 3 * (q3 - q1) OR fx.l_discount > q3 + 3 * (q3 - q1))) OR
-  (f.column_name = 'l_tax' AND (fx.l_tax < q1 - 3 * (q3 - q1) OR fx.l_tax > q3 + 3 * (q3 - q1))) OR
-  (f.column_name = 'l_charge' AND (fx.l_charge < q1 - 3 * (q3 - q1) OR fx.l_charge > q3 + 3 * (q3 - q1)))))""",
+SELECT {K}, round(l_discount, 6) AS l_discount, round(l_charge, 6) AS l_charge, is_high FROM fx WHERE {_INSIDE}""",
                     f", f AS ({_fences(_FENCE_COLS)})")
 
 # ----------------------------------------------------------------- step 5
@@ -472,6 +468,43 @@ SELECT split, is_high, CAST(CASE WHEN split = 'train' THEN n_train // 2 + CASE W
 FROM (SELECT m, 2 * m - CAST(ceil(0.2 * (2 * m)) AS BIGINT) AS n_train FROM (SELECT max(n) AS m FROM (SELECT count(*) AS n FROM fx GROUP BY is_high))),
      (VALUES ('train'), ('test')) s(split), (VALUES (0), (1)) h(is_high)""")
 
+
+# --------------------------------------------------------- nearest neighbours
+# the first 15 hex digits of a place's first row hash order places that are equally near, as in Spark
+SMOTE_ROWS = with_fx("fx_high", f"""
+SELECT CAST(NULL AS BIGINT) AS l_orderkey, CAST(NULL AS INTEGER) AS l_linenumber, CAST(NULL AS BIGINT) AS l_partkey, CAST(NULL AS BIGINT) AS l_suppkey,
+       round(b.l_discount + u * (near.x - b.l_discount), 6) AS l_discount, round(b.l_charge + u * (near.y - b.l_charge), 6) AS l_charge, 1 AS is_high
+FROM syn JOIN base b ON b.r = syn.r JOIN near ON near.qx = b.l_discount AND near.qy = b.l_charge AND syn.slot >= near.before AND syn.slot < near.before + near.m""",
+    f""", f AS ({_fences(_FENCE_COLS)}), prep AS (SELECT * FROM fx WHERE {_INSIDE}),
+base AS (SELECT *, {md5_key(_LK)} AS h, row_number() OVER (ORDER BY {md5_key(_LK)}) - 1 AS r FROM prep WHERE is_high = 1),
+size AS (SELECT count(*) FILTER (is_high = 1) AS n_min, count(*) FILTER (is_high = 0) - count(*) FILTER (is_high = 1) AS need FROM prep),
+place AS (SELECT l_discount AS x, l_charge AS y, count(*) AS m, substr(min(h), 1, 15) AS h FROM base GROUP BY 1, 2),
+few AS (SELECT q.x AS qx, q.y AS qy, unnest(arg_min({{'x': p.x, 'y': p.y, 'm': p.m, 'h': p.h}},
+          {{'d': sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)), 'h': p.h}}, 7)) AS p FROM place q, place p GROUP BY 1, 2),
+own AS (SELECT qx, qy, p.x AS x, p.y AS y, p.h AS h, p.m - CASE WHEN p.x = qx AND p.y = qy THEN 1 ELSE 0 END AS m FROM few),
+near AS (SELECT qx, qy, x, y, m, coalesce(sum(m) OVER (PARTITION BY qx, qy ORDER BY sqrt((qx - x) * (qx - x) + (qy - y) * (qy - y)), h
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM own WHERE m > 0),
+syn AS (SELECT o % n_min AS r, CAST('0x' || substr(md5('42|' || o), 1, 8) AS BIGINT) % 5 AS slot, CAST('0x' || substr(md5('42|' || o), 9, 8) AS BIGINT) / 4294967296.0 AS u
+        FROM (SELECT unnest(range(need)) AS o, n_min FROM size))""")
+
+
+def _knn_fill(c: str, by: str) -> str:
+    return f"""
+{c}_d AS (SELECT {by} AS x, {c} AS v, min(h) OVER (PARTITION BY {by}) AS first, row_number() OVER (PARTITION BY {by} ORDER BY h) AS slot
+          FROM r WHERE {c} IS NOT NULL AND {by} IS NOT NULL QUALIFY slot <= 5),
+{c}_q AS (SELECT DISTINCT {by} AS x FROM r WHERE {c} IS NULL AND {by} IS NOT NULL),
+{c}_n AS (SELECT q.x, d.v FROM {c}_q q, {c}_d d
+          QUALIFY row_number() OVER (PARTITION BY q.x ORDER BY sqrt((q.x - d.x) * (q.x - d.x) * 2.0), substr(d.first, 1, 15), d.slot) <= 5),
+{c}_i AS (SELECT x, avg(v) AS v FROM {c}_n GROUP BY x)"""
+
+
+KNN_IMPUTE = with_fx("fx_knn", f"""
+SELECT {K}, round(coalesce(l_quantity, l_quantity_i.v, (SELECT avg(l_quantity) FROM fx)), 6) AS l_quantity,
+       round(coalesce(l_discount, l_discount_i.v, (SELECT avg(l_discount) FROM fx)), 6) AS l_discount, round(l_tax, 6) AS l_tax, {clean('l_linestatus', 'l_linestatus')}
+FROM r LEFT JOIN l_quantity_i ON l_quantity_i.x = r.l_discount LEFT JOIN l_discount_i ON l_discount_i.x = r.l_quantity WHERE l_linestatus IS NOT NULL""",
+    f", r AS (SELECT *, {md5_key(_LK)} AS h FROM fx)," + _knn_fill("l_quantity", "l_discount") + "," + _knn_fill("l_discount", "l_quantity"))
+
+
 ORACLE_SQL = {
     "csv_load": CSV_LOAD,
     "stage_roundtrip": STAGE_ROUNDTRIP,
@@ -525,4 +558,6 @@ ORACLE_SQL = {
     "stage_validation": STAGE_VALIDATION,
     "stream_score_equals_batch": SCORE_LINEAR,
     "smotenc_class_counts": SMOTENC_CLASS_COUNTS,
+    "smote_rows": SMOTE_ROWS,
+    "knn_impute": KNN_IMPUTE,
 }

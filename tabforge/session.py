@@ -9,9 +9,12 @@ raises: executors on other machines could not read a machine-local folder.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
@@ -81,4 +84,46 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     later pass sees the same rows, whatever executors are lost meanwhile."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if (scope := _scope.get()) is not None:
+        scope.append((out, path))
+    return out
+
+
+_scope: contextvars.ContextVar[list | None] = contextvars.ContextVar("scratch", default=None)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete a table made by ``written`` in the scope of ``scratch_tables`` once
+    all that was made of it is written too; outside of one it stays."""
+    scope = _scope.get() or []
+    for i, (table, path) in enumerate(scope):
+        if table is df:
+            _delete(df.sparkSession, path)
+            del scope[i]
+            return
+
+
+@contextlib.contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are deleted at the end, but for those given to the
+    function this yields: write what is wanted of them before."""
+    token = _scope.set([])
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+        for table, path in _scope.get():
+            if not any(table is k for k in kept):
+                _delete(spark, path)
+    finally:
+        _scope.reset(token)
