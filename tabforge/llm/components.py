@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.session import written
+from tabforge.session import drop_written, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("a != b").select("a", "b").distinct(), "edges")
     state = _state(now)
     while state[0]:
-        now = written(_small_star(_large_star(now)).where("a != b").distinct(), "edges")
+        last, now = now, written(_small_star(_large_star(now)).where("a != b").distinct(), "edges")
+        drop_written(last)
         after = _state(now)
         if after == state:
             break

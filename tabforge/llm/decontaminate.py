@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.session import written
+from tabforge.session import scratch_tables, written
 
 WINDOW = 13
 GRAM = 5
@@ -154,7 +154,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM) -> DataFrame:
     """The documents that are not contaminated, all columns."""
-    bad = decontaminate(docs, benchmark, window, k).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
+    with scratch_tables(docs.sparkSession) as keep:
+        bad = keep(written(decontaminate(docs, benchmark, window, k).where("contaminated").select(
+            F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "contaminated"))
     # the document is one column here, so none of its own can have the name of another
     rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("mark"))
     return rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("mark") == F.col("bad_hash")), "left_anti").select("row.*")

@@ -50,7 +50,7 @@ _numbers = _Numbers()
 
 
 def word_numbers(words: Words) -> np.ndarray:
-    if len(_numbers) > 1_000_000:
+    if len(_numbers) > 300_000:
         _numbers.clear()
     return np.fromiter(map(_numbers.__getitem__, words), np.int64, len(words))
 

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from tabforge.llm.components import components
 from tabforge.llm.words import window_hashes, words_of
-from tabforge.session import written
+from tabforge.session import drop_written, scratch_tables, written
 
 WORDS = 5
 ROUNDS = 6                  # of leaving out classes that lost their partners; fewer or more change no link
@@ -222,11 +222,14 @@ def _in_two(entries: DataFrame) -> DataFrame:
 def core(entries: DataFrame) -> DataFrame:
     """Entries of the classes that still have enough shingles in common with
     other candidates."""
-    now = written(_in_two(entries).distinct(), "entries")
+    first = written(entries, "prefixes")
+    now = written(_in_two(first).distinct(), "entries")
+    drop_written(first)
     left = now.count()
     for _ in range(ROUNDS):
         keep = now.groupBy("node", "n").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= _needed())
-        now = written(_in_two(now.join(keep.select("node"), "node", "left_semi")), "entries")
+        last, now = now, written(_in_two(now.join(keep.select("node"), "node", "left_semi")), "entries")
+        drop_written(last)
         before, left = left, now.count()
         if left > 0.98 * before:
             break
@@ -299,7 +302,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without all but one of each component: the one with the
     least ``doc_id``, then text hash.  Documents without words all stay."""
-    found = written(jaccard_components(docs), "near_duplicates")
+    with scratch_tables(docs.sparkSession) as keep:
+        found = keep(written(jaccard_components(docs), "near_duplicates"))
     firsts = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(
         F.col("k.doc_id").alias("k_id"), F.col("k.text_hash").alias("k_mark"), F.lit(True).alias("k_words"))
     empty = found.where("n_shingles = 0").select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_mark"), F.lit(False).alias("k_words")).distinct()

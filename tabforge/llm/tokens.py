@@ -18,7 +18,7 @@ import re
 
 import numpy as np
 
-MAX_CACHED = 1_000_000       # pre-tokens held per worker; the cache starts anew beyond it
+MAX_CACHED = 300_000         # pre-tokens held per worker; the cache starts anew beyond it
 MAX_CACHED_LENGTH = 64       # longer ones are encoded each time they occur
 
 # FIXED VALUES: the normaliser and split pattern that the fast path stands for.

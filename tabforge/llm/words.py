@@ -12,7 +12,7 @@ class _Codes(dict):
     """A 64-bit code for each word seen by this worker."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:         # some 40 MB
             self.clear()
         code = self[word] = xxhash.xxh3_64_intdigest(word)
         return code
