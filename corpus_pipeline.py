@@ -24,7 +24,7 @@ from tabforge.llm.langid import UNDETERMINED, identify, train
 from tabforge.llm.linededup import dedup_lines
 from tabforge.llm.packing import pack_documents
 from tabforge.llm.sigtree import keep_one
-from tabforge.session import written
+from tabforge.session import scratch_tables, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -92,5 +92,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the whole table ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch_tables(spark) as keep:     # what a stage wrote on its way goes once its result is there
+            docs = keep(written(stage(spark, docs, sf_dir), name))
     return STAGES[-1][1](spark, docs, sf_dir)
