@@ -7,16 +7,18 @@ column are interchangeable.
 
 A cut at exact per-class counts (splits, undersampling) needs no shuffle of
 rows: counts per class and hash prefix narrow the place of the cut to one short
-prefix, whose hashes give the last one inside, and every row is compared with
-that literal.  Folds need every row's rank: ``hash_rank`` counts it per hash
-prefix (about 250k rows each) plus the sizes of the prefixes before.
+prefix, whose counts by hash and content give the last row inside, and every row
+is compared with that literal.  A mass of equal rows is one count throughout.
+Folds need every row's rank: ``hash_rank`` counts it per hash prefix (about 250k
+rows each) plus the sizes of the prefixes before, summed up in two levels.
 """
 
 from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Mapping, Sequence
+import operator
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +48,17 @@ def _prefix_len(n_max: int) -> int:
     return min(8, max(1, math.ceil(math.log(n_max / ROWS_PER_BUCKET, 16)) + 1))
 
 
+def _offsets(sizes: DataFrame, plen: int) -> DataFrame:
+    """Rows before each prefix, in two levels: sums within a leading part of the
+    prefix, and of these parts, so that no task orders all prefixes."""
+    lead = sizes.withColumn("__p", F.substring("__b", 1, max(1, plen // 2)))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    tops = lead.groupBy("__g", "__p").agg(F.sum("__n").alias("__m"))
+    tops = tops.select("__g", "__p", F.coalesce(F.sum("__m").over(before(Window.partitionBy("__g").orderBy("__p"))), F.lit(0)).alias("__top"))
+    inner = F.coalesce(F.sum("__n").over(before(Window.partitionBy("__g", "__p").orderBy("__b"))), F.lit(0))
+    return lead.withColumn("__in", inner).join(tops, ["__g", "__p"]).select("__g", "__b", (F.col("__top") + F.col("__in")).alias("__off"))
+
+
 def hash_rank(df: DataFrame, keys: Sequence[str], seed: int = DEFAULT_SEED, by: str | None = None,
               n_max: int | None = None, rank_col: str = "__rank") -> DataFrame:
     """Add a dense 0-based rank in hash order within each ``by`` group (NULL is one)."""
@@ -56,69 +69,102 @@ def hash_rank(df: DataFrame, keys: Sequence[str], seed: int = DEFAULT_SEED, by:
     plen = _prefix_len(n_max)
     base = df.select("*", h.alias("__h"), content.alias("__x"), grp.alias("__g")).withColumn("__b", F.substring("__h", 1, plen))
     sizes = base.groupBy("__g", "__b").agg(F.count("*").alias("__n"))
-    # cumulative bucket offsets: a window over the bucket table (<= 16^plen rows per group)
-    w = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__g", "__b", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    offsets = _offsets(sizes, plen)
     ranked = base.join(offsets, ["__g", "__b"])
     wr = Window.partitionBy("__g", "__b").orderBy("__h", "__x")
     return (ranked.withColumn(rank_col, F.col("__off") + F.row_number().over(wr) - 1)
             .drop("__h", "__x", "__g", "__b", "__off"))
 
 
-def first_rows(df: DataFrame, keys: Sequence[str], seed: int, first: Mapping[str | None, int],
-               by: str | None = None) -> Column | None:
-    """Condition: the row is among the first ``first[class]`` rows of its class
-    in hash order.  None if a cut falls between rows equal in every column."""
+Cut = tuple[str, int, int, int]       # hash and content of the last rows inside, how many rows equal them, how many of these are inside
+
+
+def find_cuts(df: DataFrame, keys: Sequence[str], seed: int, first: Mapping[str | None, int] | Callable[[dict], Mapping[str | None, int]],
+              by: str | None = None) -> tuple[dict[str | None, Cut | bool], dict[str | None, int]]:
+    """Where the first ``first[class]`` rows of each class end in hash order:
+    True for all of a class, False for none, else the cut; and the class sizes,
+    from which ``first`` may be computed.
+
+    One pass counts classes and hash prefixes; the prefix that a cut falls in is
+    counted further while it holds many rows.  Then rows are counted by hash and
+    content, so rows equal in every column are one row here."""
     h, content = row_order(df, keys, seed)
     g = col(by).cast("string") if by else F.lit(None).cast("string")
     base = df.select(g.alias("g"), h.alias("h"), content.alias("x"))
-    sizes = {r.g: r.n for r in base.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ends: dict[str | None, tuple | None] = {c: None for c in sizes if first.get(c, 0) <= 0}
-    ends |= {c: ("g", 0) for c, n in sizes.items() if first.get(c, 0) >= n and n}
-    open_ = {c: {"prefix": "", "rest": first[c], "n": n} for c, n in sizes.items() if c not in ends}
+    counts: dict[str | None, dict[str, int]] = {}
+    for r in base.groupBy("g", F.substring("h", 1, PREFIX_STEP).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(r.g, {})[r.p] = r.n
+    sizes = {c: sum(v.values()) for c, v in counts.items()}
+    want = first(sizes) if callable(first) else first
+    ends: dict[str | None, Cut | bool] = {c: want.get(c, 0) >= n for c, n in sizes.items() if want.get(c, 0) <= 0 or want.get(c, 0) >= n}
+    open_ = {c: {"prefix": "", "rest": want[c], "n": n} for c, n in sizes.items() if c not in ends}
 
     def inside() -> Column:
         parts = [F.col("g").eqNullSafe(F.lit(c)) & F.col("h").startswith(o["prefix"]) for c, o in open_.items()]
         return functools.reduce(lambda x, y: x | y, parts)
 
-    while any(o["n"] > CUT_ROWS and len(o["prefix"]) < 32 for o in open_.values()):
-        size = max(len(o["prefix"]) for o in open_.values()) + PREFIX_STEP
-        counts: dict = {}
-        for r in base.where(inside()).groupBy("g", F.substring("h", 1, size).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect():
-            counts.setdefault(r.g, []).append((r.p, r.n))
+    def choose() -> None:
         for c, o in open_.items():
-            for prefix, n in sorted(counts[c]):
+            for prefix, n in sorted(counts.get(c, {}).items()):
                 if n >= o["rest"]:
                     o.update(prefix=prefix, n=n)
                     break
                 o["rest"] -= n
+
+    choose()
+    while any(o["n"] > CUT_ROWS and len(o["prefix"]) < 32 for o in open_.values()):
+        size = max(len(o["prefix"]) for o in open_.values()) + PREFIX_STEP
+        counts = {}
+        for r in base.where(inside()).groupBy("g", F.substring("h", 1, size).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect():
+            counts.setdefault(r.g, {})[r.p] = r.n
+        choose()
     if open_:
         rows: dict = {}
-        for r in base.where(inside()).collect():
-            rows.setdefault(r.g, []).append((r.h, r.x))
+        for r in base.where(inside()).groupBy("g", "h", "x").agg(F.count(F.lit(1)).alias("n")).collect():
+            rows.setdefault(r.g, []).append((r.h, r.x, r.n))
         for c, o in open_.items():
-            line = sorted(rows[c])
-            last = line[o["rest"] - 1]
-            if o["rest"] < len(line) and line[o["rest"]] == last:
-                return None
-            ends[c] = last
-    out = F.lit(False)
-    for c, end in ends.items():
-        if end is not None:
-            out = out | (g.eqNullSafe(F.lit(c)) & ((h < end[0]) | ((h == end[0]) & (content <= end[1]))))
-    return out
+            for hash_, x, n in sorted(rows[c]):
+                if n >= o["rest"]:
+                    ends[c] = (hash_, x, n, o["rest"])
+                    break
+                o["rest"] -= n
+    return ends, sizes
+
 
+def _mark_first(df: DataFrame, keys: Sequence[str], seed: int, first, by: str | None, name: str) -> DataFrame:
+    """Add boolean ``name``: among the first rows of the class.
 
-def _mark_first(df: DataFrame, keys: Sequence[str], seed: int, first: Mapping[str | None, int], by: str | None, name: str) -> DataFrame:
-    """Add boolean ``name``: among the first rows of the class."""
-    inside = first_rows(df, keys, seed, first, by)
-    if inside is not None:
+    Every row is compared with the cuts, without a shuffle.  Of rows that are equal
+    in every column and that a cut falls between, one is taken and made again
+    as often as they are there, some of them inside."""
+    ends, _ = find_cuts(df, keys, seed, first, by)
+    h, content = row_order(df, keys, seed)
+    g = col(by).cast("string") if by else F.lit(None).cast("string")
+    inside, shared = F.lit(False), []
+    for c, end in ends.items():
+        if end is True:
+            inside = inside | g.eqNullSafe(F.lit(c))
+        elif end is not False:
+            hash_, x, n, k = end
+            inside = inside | (g.eqNullSafe(F.lit(c)) & ((h < hash_) | ((h == hash_) & (content <= x))))
+            if k < n:
+                shared.append((g.eqNullSafe(F.lit(c)) & (h == hash_) & (content == x), n, k))
+    if not shared:
         return df.withColumn(name, inside)
-    ranked = hash_rank(df, keys, seed, by=by)
-    cut = F.lit(0)
-    for c, n in first.items():
-        cut = F.when((col(by).cast("string") if by else F.lit(None).cast("string")).eqNullSafe(F.lit(c)), F.lit(n)).otherwise(cut)
-    return ranked.withColumn(name, F.col("__rank") < cut).drop("__rank")
+    plain = df.where(~functools.reduce(operator.or_, [s[0] for s in shared])).withColumn(name, inside)
+    for same, n, k in shared:
+        rows = df.where(same)
+        other = F.xxhash64(F.lit(1), *[col(c) for c in df.columns])
+        if rows.agg(F.min(other) == F.max(other)).first()[0]:
+            step = 10_000
+            many = rows.limit(1).withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(-(-n // step) - 1)))).repartition("__i")
+            each = many.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(step - 1)))).withColumn("__j", F.col("__i").cast("long") * step + F.col("__j"))
+            made = each.where(F.col("__j") < n).withColumn(name, F.col("__j") < k).drop("__i", "__j")
+        else:       # two contents with one hash: so few that they are told apart by their order
+            order = Window.partitionBy(F.lit(1)).orderBy(other)
+            made = rows.withColumn("__j", F.row_number().over(order)).withColumn(name, F.col("__j") <= k).drop("__j")
+        plain = plain.unionByName(made)
+    return plain
 
 
 def class_counts(df: DataFrame, target: str) -> dict[str, int]:
@@ -148,21 +194,21 @@ def test_count(n: int, test_size: float) -> int:
 def split(df: DataFrame, target: str, keys: Sequence[str], test_size: float = 0.2,
           stratify: bool = False, seed: int = DEFAULT_SEED, split_col: str = "split") -> DataFrame:
     """Add ``split`` in {'train','test'}; exact sizes, deterministic membership (H5, H6)."""
-    counts = class_counts(df, target)
-    n = sum(counts.values())
-    n_test = test_count(n, test_size)
-    n_train = n - n_test
-    if n_train <= 0 or n_test <= 0:
-        raise ParamError(f"Split leaves an empty side: n={n}, test={n_test}")
-    if stratify:
+    def allocate(counts: dict[str | None, int]) -> Mapping[str | None, int]:
+        n = sum(counts.values())
+        n_train = n - test_count(n, test_size)
+        if not 0 < n_train < n:
+            raise ParamError(f"Split leaves an empty side: n={n}, test={n - n_train}")
+        if not stratify:
+            return {None: n_train}
         if None in counts:
             raise DataError("Cannot stratify on a target with nulls.")
         smallest = min(counts.values())
         if smallest < 2:
             raise DataError(f"Cannot stratify: class with only {smallest} sample(s). Distribution: {counts}")
-        marked = _mark_first(df, keys, seed, stratified_allocation(counts, n_train), target, "__first")
-    else:
-        marked = _mark_first(df, keys, seed, {None: n_train}, None, "__first")
+        return stratified_allocation(counts, n_train)
+
+    marked = _mark_first(df, keys, seed, allocate, target if stratify else None, "__first")
     return marked.withColumn(split_col, F.when(F.col("__first"), "train").otherwise("test")).drop("__first")
 
 
@@ -187,11 +233,11 @@ def kfold(df: DataFrame, target: str, keys: Sequence[str], k: int = CV_FOLDS, se
 def undersample(df: DataFrame, target: str, keys: Sequence[str], seed: int = DEFAULT_SEED) -> DataFrame:
     """Every class cut to the minority count, without replacement (H1).  Rows
     without a class are in no class and are left out."""
-    counts = {c: v for c, v in class_counts(df, target).items() if c is not None}
-    if not counts:
-        return df.limit(0)
-    least = min(counts.values())
-    return _mark_first(df, keys, seed, {c: least for c in counts}, target, "__first").where("__first").drop("__first")
+    def least(counts: dict[str | None, int]) -> Mapping[str | None, int]:
+        classes = {c: n for c, n in counts.items() if c is not None}
+        return dict.fromkeys(classes, min(classes.values(), default=0))
+
+    return _mark_first(df, keys, seed, least, target, "__first").where("__first").drop("__first")
 
 
 def class_drift(df: DataFrame, target: str, split_col: str = "split",

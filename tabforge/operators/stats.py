@@ -2,10 +2,11 @@
 
 Everything is one pass per statistic family over all requested columns:
 
-* quantiles/median are exact, found by histogram refinement: a bracket per
-  target rank is narrowed with a distributed histogram until it holds few
-  distinct values, and only that bracket (value, count) reaches the driver.
-  No task ever holds a whole column (unlike a global ``percentile`` buffer).
+* quantiles/median are exact: sketches of all columns, made in one pass, give a
+  bracket around each target rank; the few values in it are counted and ranked
+  in the cluster, and only the value at the rank reaches the driver.  A bracket
+  that would hold many rows is narrowed by sketches of its own first, so no task
+  ever holds a whole column (unlike a global ``percentile`` buffer).
 * modes, distinct counts and top values come from one tall value-count
   shuffle keyed by (column, value), so a hot value is just one count.
 * correlations are pairwise ``covar_pop / (stddev_pop * stddev_pop)`` with
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from tabforge.errors import DataError
 from tabforge.functions.exprs import col, is_numeric_type
 
-MAX_BRACKET_VALUES = 50_000   # distinct values pulled to the driver per bracket
-HISTOGRAM_BINS = 4096
+ACCURACY = 10_000           # of the sketches that place a bracket: their rank error is a part of 1 / ACCURACY
+MAX_BRACKET_VALUES = 1_000_000    # rows expected in a bracket before its values are ranked
+QUANTILE_CHUNK = 16         # columns whose sketches one job makes
 
 
 def tall_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -45,13 +47,89 @@ def _interp(lo: float, hi: float, d: float) -> float:
     return lo if d == 0.0 or lo == hi else lo + (hi - lo) * d
 
 
-def _finite(v, linear: bool):
-    """An ascending finite scale over all doubles: signed logarithm (heavy tails
-    narrow quickly), or the value itself within half the range of doubles."""
-    if linear:
-        return F.greatest(F.least(v, F.lit(8e307)), F.lit(-8e307))
-    scaled = F.signum(v) * F.log1p(F.abs(v))
-    return F.greatest(F.least(scaled, F.lit(1e4)), F.lit(-1e4))
+def _probes(share: float, margin: float) -> list[float]:
+    return [max(0.0, share - margin), min(1.0, share + margin)]
+
+
+def _value(c: str):
+    v = col(c).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def _first_brackets(df: DataFrame, columns: list[str], probs: Sequence[float]) -> tuple[dict, list[dict], dict]:
+    """Counts per column, a bracket for each rank that is asked for, and the
+    ranks and weight of each quantile: sketches of all columns, no shuffle of rows."""
+    counts, targets, plan = {}, [], {}
+    margin = 2.0 / ACCURACY
+    probes = sorted({x for p in probs for x in _probes(float(p), margin)})
+    for at in range(0, len(columns), QUANTILE_CHUNK):
+        part = columns[at:at + QUANTILE_CHUNK]
+        aggs = []
+        for i, c in enumerate(part):
+            v = _value(c)
+            aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
+                     F.percentile_approx(v, F.array(*[F.lit(x) for x in probes]), F.lit(ACCURACY)).alias(f"q{i}")]
+        row = df.agg(*aggs).first()
+        for i, c in enumerate(part):
+            counts[c], plan[c] = row[f"n{i}"], []
+            if not counts[c]:
+                continue
+            near = dict(zip(probes, row[f"q{i}"]))
+            for p in probs:
+                h = (counts[c] - 1) * float(p)
+                low = int(math.floor(h))
+                plan[c].append((low, min(low + 1, counts[c] - 1), h - low))
+                for r in plan[c][-1][:2]:
+                    below, above = _probes(float(p), margin)
+                    if not any(t["name"] == c and t["rank"] == r for t in targets):
+                        # one rank more on either side than the sketch's error, or the column's end
+                        targets.append({"name": c, "rank": r, "lo": row[f"lo{i}"] if below * counts[c] < 2 else near[below],
+                                        "hi": row[f"hi{i}"] if (1 - above) * counts[c] < 2 else near[above],
+                                        "least": row[f"lo{i}"], "most": row[f"hi{i}"], "rows": 4 * counts[c] / ACCURACY})
+    return counts, targets, plan
+
+
+def _bracket_table(df: DataFrame, targets: list[dict]) -> DataFrame:
+    """A row for each open rank: as many as were asked for, so it may be broadcast."""
+    rows = [(i, t["name"], t["rank"], float(t["lo"]), float(t["hi"])) for i, t in enumerate(targets)]
+    return F.broadcast(df.sparkSession.createDataFrame(rows, "tid int, name string, pos bigint, blo double, bhi double"))
+
+
+def _narrow(df: DataFrame, tall: DataFrame, targets: list[dict]) -> None:
+    """Brackets that hold too many rows are narrowed by sketches of what is in them."""
+    inside = tall.join(_bracket_table(df, targets), "name").where(F.col("v") <= F.col("bhi"))
+    within = F.when(F.col("v") >= F.col("blo"), F.col("v"))
+    sizes = inside.groupBy("tid", "pos").agg(F.count(F.lit(1)).alias("upto"), F.count(within).alias("n"))
+    rows = {r.tid: r for r in sizes.collect()}
+    shares = []
+    for i, t in enumerate(targets):
+        r = rows.get(i)
+        below = r.upto - r.n if r else 0
+        if not r or not below <= t["rank"] < r.upto:        # the sketch missed it: the whole column is its bracket
+            t.update(lo=t["least"], hi=t["most"])
+            continue
+        lower, upper = _probes((t["rank"] - below) / max(r.n - 1, 1), 2.0 / ACCURACY)
+        shares.append((i, math.floor(lower * ACCURACY) / ACCURACY, math.ceil(upper * ACCURACY) / ACCURACY))
+        t["rows"] = 4 * r.n / ACCURACY
+    asked = sorted({x for _, lower, upper in shares for x in (lower, upper)})
+    found: dict[int, dict[float, float]] = {}
+    for at in range(0, len(asked), 500):
+        part = asked[at:at + 500]
+        sketch = F.percentile_approx("v", F.array(*[F.lit(x) for x in part]), F.lit(ACCURACY))
+        for r in inside.where(F.col("v") >= F.col("blo")).groupBy("tid").agg(sketch.alias("q")).collect():
+            found.setdefault(r.tid, {}).update(zip(part, r.q))
+    for i, lower, upper in shares:
+        targets[i].update(lo=found[i][lower] if lower > 0 else targets[i]["lo"], hi=found[i][upper] if upper < 1 else targets[i]["hi"])
+
+
+def _ranked(df: DataFrame, tall: DataFrame, targets: list[dict]) -> dict[int, float]:
+    """The value at each rank: distinct values of a bracket and their counts are
+    summed up in the cluster, and a row for each rank comes back."""
+    inside = tall.join(_bracket_table(df, targets), "name").where(F.col("v") <= F.col("bhi"))
+    counted = inside.groupBy("tid", "pos", F.when(F.col("v") >= F.col("blo"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("tid").orderBy(F.asc_nulls_first("v"))))
+    found = upto.where((F.col("upto") > F.col("pos")) & (F.col("upto") - F.col("n") <= F.col("pos")) & F.col("v").isNotNull())
+    return {r.tid: r.v for r in found.select("tid", "v").collect()}
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
@@ -59,114 +137,31 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     """Exact linear-interpolation quantiles per column (nulls/NaN ignored).
 
     Returns ``{column: [q(p) for p in probs]}``; None for an all-null column.
+    The driver gets as many rows as there are ranks to find, in each job.
     """
-    columns = list(columns)
+    columns = list(dict.fromkeys(columns))
     if not columns:
         return {}
-    tall = tall_numeric(df, columns)
-    # one wide pass (no shuffle) for count / min / max per column
-    aggs = []
-    for i, c in enumerate(columns):
-        v = F.when(~F.isnan(col(c).cast("double")), col(c).cast("double"))
-        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    w = df.agg(*aggs).collect()[0]
-    stats = {c: {"n": w[f"n{i}"], "lo": w[f"lo{i}"], "hi": w[f"hi{i}"]} for i, c in enumerate(columns)}
-
-    # target ranks per column; a bracket per (column, rank)
-    targets: dict[tuple[str, int], dict] = {}
-    plan: dict[str, list[tuple[int, int, float]]] = {}
-    for c in columns:
-        s = stats.get(c)
-        if s is None or s["n"] == 0:
-            plan[c] = []
-            continue
-        n = s["n"]
-        entries = []
-        for p in probs:
-            h = (n - 1) * float(p)
-            r_lo = int(math.floor(h))
-            r_hi = min(r_lo + 1, n - 1)
-            entries.append((r_lo, r_hi, h - r_lo))
-            for r in (r_lo, r_hi):
-                targets.setdefault((c, r), {"lo": s["lo"], "hi": s["hi"], "below": 0,
-                                            "count": n, "value": None})
-        plan[c] = entries
-
-    spark = df.sparkSession
-    linear = False        # bins on a log scale, then on a linear one where that does not narrow a bracket
-    while True:
-        open_t = {k: t for k, t in targets.items() if t["value"] is None}
-        if not open_t:
-            break
-        for k, t in open_t.items():
-            if t["lo"] == t["hi"]:
-                t["value"] = t["lo"]
-        open_t = {k: t for k, t in open_t.items() if t["value"] is None}
-        if not open_t:
-            break
-        small = {k: t for k, t in open_t.items() if t["count"] <= MAX_BRACKET_VALUES}
-        large = {k: t for k, t in open_t.items() if t["count"] > MAX_BRACKET_VALUES}
-        keyed = list(open_t.items())
-        # targets that share a bracket share one histogram / one value list
-        bid: dict[tuple, int] = {}
-        tid_of = []
-        for k, t in keyed:
-            key = (k[0], float(t["lo"]), float(t["hi"]), k in small)
-            tid_of.append(bid.setdefault(key, len(bid)))
-        br = spark.createDataFrame(
-            [(i, key[0], key[1], key[2], key[3]) for key, i in bid.items()],
-            "tid int, name string, blo double, bhi double, final boolean")
-        joined = tall.join(F.broadcast(br), "name").where(
-            (F.col("v") >= F.col("blo")) & (F.col("v") <= F.col("bhi")))
-        if small:
-            rows = (joined.where("final").groupBy("tid", "v").count().collect())
-            by_tid: dict[int, list] = {}
-            for r in rows:
-                by_tid.setdefault(r["tid"], []).append((r["v"], r["count"]))
-            for j, (k, t) in enumerate(keyed):
-                if k not in small:
-                    continue
-                vals = sorted(by_tid.get(tid_of[j], []))
-                pos = k[1] - t["below"]
-                acc = 0
-                for v, cnt in vals:
-                    acc += cnt
-                    if acc > pos:
-                        t["value"] = v
-                        break
-        if large:
-            lo, hi, v = (_finite(F.col(c), linear) for c in ("blo", "bhi", "v"))
-            share = F.coalesce(F.try_divide(v - lo, hi - lo), F.lit(0.0))
-            b = F.least(F.floor(share * HISTOGRAM_BINS).cast("int"), F.lit(HISTOGRAM_BINS - 1))
-            hist = (joined.where(~F.col("final")).groupBy("tid", b.alias("bin"))
-                    .agg(F.count("*").alias("cnt"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-                    .collect())
-            by_tid, stuck = {}, False
-            for r in hist:
-                by_tid.setdefault(r["tid"], []).append((r["bin"], r["cnt"], r["mn"], r["mx"]))
-            for j, (k, t) in enumerate(keyed):
-                if k not in large:
-                    continue
-                pos = k[1] - t["below"]
-                acc, before = 0, t["count"]
-                for _bin, cnt, mn, mx in sorted(by_tid.get(tid_of[j], [])):
-                    if acc + cnt > pos:
-                        t.update(lo=mn, hi=mx, below=t["below"] + acc, count=cnt)
-                        break
-                    acc += cnt
-                stuck |= t["count"] == before and t["lo"] != t["hi"]
-            if stuck and linear:
-                raise DataError("A quantile's bracket cannot be narrowed.")
-            linear = stuck
-
-    out: dict[str, list[float | None]] = {}
-    for c in columns:
-        vals = []
-        for r_lo, r_hi, d in plan[c]:
-            a, b = targets[(c, r_lo)]["value"], targets[(c, r_hi)]["value"]
-            vals.append(None if a is None else _interp(float(a), float(b), d))
-        out[c] = vals if plan[c] else [None] * len(probs)
-    return out
+    _, targets, plan = _first_brackets(df, columns, probs)
+    tall, open_ = tall_numeric(df, columns), targets
+    while open_:
+        known = [t for t in open_ if t["lo"] == t["hi"] and t["lo"] == t["least"] == t["most"]]
+        for t in known:
+            t["value"] = t["lo"]
+        open_ = [t for t in open_ if "value" not in t]
+        for _ in range(8):      # each narrows a bracket by a factor of ACCURACY / 4, unless equal values fill it
+            wide = [t for t in open_ if t["rows"] > MAX_BRACKET_VALUES and t["lo"] != t["hi"]]
+            if not wide:
+                break
+            _narrow(df, tall, wide)
+        if open_:
+            for i, v in _ranked(df, tall, open_).items():
+                open_[i]["value"] = v
+        open_ = [t for t in open_ if "value" not in t]
+        for t in open_:         # a sketch has missed it
+            t.update(lo=t["least"], hi=t["most"], rows=0.0)
+    value = {(t["name"], t["rank"]): float(t["value"]) for t in targets}
+    return {c: [_interp(value[c, a], value[c, b], d) for a, b, d in plan[c]] if plan[c] else [None] * len(probs) for c in columns}
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
