@@ -76,6 +76,18 @@ def fx_knn(spark, sf_dir):
         "l_tax", "l_linestatus")
 
 
+def fx_full(spark, sf_dir):
+    """All that a preparation meets: nulls, outliers, an id-like column, a constant, a rare target null."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        *LINEITEM_KEYS, F.col("l_suppkey").alias("user_id"),
+        F.when(F.col("l_orderkey") % 10 == 0, None).otherwise(F.col("l_quantity")).alias("l_quantity"),
+        F.when(F.col("l_partkey") % 97 == 0, F.col("l_extendedprice") * 20).otherwise(F.col("l_extendedprice")).alias("l_extendedprice"),
+        "l_discount", "l_tax", F.lit(5.0).alias("k"),
+        F.when(F.col("l_partkey") % 7 == 0, None).otherwise(F.col("l_returnflag")).alias("l_returnflag"),
+        F.when(F.col("l_orderkey") % 1000 == 1, None).otherwise((_charge() > 60000).cast("int")).alias("is_big"))
+
+
 def fx_outliers(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     return ev.select("event_id", "value", "event_type",
@@ -142,6 +154,10 @@ FX_SQL = {
                        "CASE WHEN l_quantity > 25 THEN 'O' ELSE 'F' END AS prediction FROM lineitem"),
     "fx_knn": (f"SELECT {_K}, CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE l_quantity END AS l_quantity, "
                "CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_discount END AS l_discount, l_tax, l_linestatus FROM lineitem"),
+    "fx_full": (f"SELECT {_K}, l_suppkey AS user_id, CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE l_quantity END AS l_quantity, "
+                "CASE WHEN l_partkey % 97 = 0 THEN l_extendedprice * 20 ELSE l_extendedprice END AS l_extendedprice, l_discount, l_tax, "
+                "CAST(5.0 AS DOUBLE) AS k, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_returnflag END AS l_returnflag, "
+                f"CASE WHEN l_orderkey % 1000 = 1 THEN NULL ELSE CAST({_CHARGE} > 60000 AS INTEGER) END AS is_big FROM lineitem"),
     "fx_raw_new": (f"SELECT {_K}, CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE l_quantity END AS l_quantity, "
                    "l_extendedprice, l_discount, "
                    "CASE WHEN l_orderkey % 11 = 0 THEN ' Z' ELSE l_returnflag END AS l_returnflag FROM lineitem"),
@@ -152,4 +168,5 @@ FIXTURES = {
     "fx_redundant": fx_redundant, "fx_dirty": fx_dirty, "fx_outliers": fx_outliers,
     "fx_imbalanced": fx_imbalanced, "fx_three_class": fx_three_class,
     "fx_rule_scores": fx_rule_scores, "fx_raw_new": fx_raw_new, "fx_knn": fx_knn,
+    "fx_full": fx_full,
 }

@@ -6,6 +6,8 @@ aggregation over the table; :func:`require` turns failed rows into errors.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -50,7 +52,7 @@ def quality_checks(df: DataFrame, target: str, keys: Sequence[str] = (), min_row
     agg = df.agg(
         F.count("*").alias("rows"),
         F.count_distinct(col(target)).alias("classes"),
-        *([F.count_if(F.greatest(*[col(c).isNull().cast("int") for c in feats]) > 0).alias("null_rows")]
+        *([F.count_if(functools.reduce(operator.or_, [col(c).isNull() for c in feats])).alias("null_rows")]
           if feats else [F.lit(0).cast("bigint").alias("null_rows")]),
     )
     def row(name, column, n, ok):

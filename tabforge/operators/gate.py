@@ -8,12 +8,13 @@ a failure validates the free-text inputs like the rest of the run log.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.constants import (DEPLOY_MAX_F1_GAP, DEPLOY_MIN_F1, LOW_CONFIDENCE, MIN_RATIONALE_CHARS,
+from tabforge.constants import (DEFAULT_REMEDIATION, DEPLOY_MAX_F1_GAP, DEPLOY_MIN_F1, LOW_CONFIDENCE, MIN_RATIONALE_CHARS,
                                 SUPPORTED_METRICS, VERDICTS)
 from tabforge.errors import ParamError
 from tabforge.functions.exprs import col
@@ -77,12 +78,24 @@ def deploy_branch(verdicts: DataFrame) -> DataFrame:
                                .otherwise("do_not_deploy"))
 
 
-def failure_record(spark, rationale: str, steps) -> DataFrame:
-    """(seq, step) remediation rows; at least one non-empty step."""
-    _rationale(rationale)
+def remediation_steps(steps) -> list[str]:
+    """Steps from a list, from a JSON list or from the lines of a text; a blank
+    text, or none at all, stands for the four default steps."""
+    if steps is None or isinstance(steps, str) and not steps.strip():
+        return list(DEFAULT_REMEDIATION)
     if isinstance(steps, str):
-        steps = [s.strip() for s in steps.splitlines() if s.strip()]
-    steps = [str(s).strip() for s in (steps or []) if s and str(s).strip()]
+        try:
+            found = json.loads(steps)
+            steps = found if isinstance(found, list) else [steps]
+        except json.JSONDecodeError:
+            steps = steps.splitlines()
+    return [str(s).strip() for s in steps if s is not None and str(s).strip()]
+
+
+def failure_record(spark, rationale: str, steps=None) -> DataFrame:
+    """(seq, step) remediation rows; at least one step."""
+    _rationale(rationale)
+    steps = remediation_steps(steps)
     if not steps:
         raise ParamError("remediation_steps must contain at least one step.")
     arr = F.array(*[F.lit(s) for s in steps])
@@ -110,3 +123,18 @@ def schema_summary(schema: Sequence[dict], spark) -> DataFrame:
     cat = [f"{s['name']}({len(s['categories'])})" for s in schema if s["type"] == "categorical"]
     return spark.createDataFrame([(len(schema), ",".join(num), ",".join(cat))],
                                  "field_count int, numeric_fields string, categorical_fields string")
+
+
+def failure_report(verdicts: DataFrame, rationale: str | None = None, steps=None) -> DataFrame:
+    """Rows ``section, item, value`` of a refused deployment: the metrics and
+    the verdict it rests on, the rationale, the numbered steps.  No rows when the
+    verdict is to deploy."""
+    refused = deploy_branch(verdicts).where("branch = 'do_not_deploy'")
+    if rationale is not None:
+        _rationale(rationale)
+    parts = [("metrics", c, F.format_number(c, 4)) for c in ("test_f1", "f1_gap")]
+    parts += [("verdict", c, F.col(c)) for c in ("suggested_verdict", "verdict")]
+    parts += [("rationale", "rationale", F.lit(rationale) if rationale is not None else F.col("rationale"))]
+    parts += [("next steps", str(i), F.lit(s)) for i, s in enumerate(remediation_steps(steps), 1)]
+    rows = [F.struct(F.lit(s).alias("section"), F.lit(i).alias("item"), v.cast("string").alias("value")) for s, i, v in parts]
+    return refused.select(F.inline(F.array(*rows)))

@@ -344,10 +344,31 @@ def save_bundle(c: Candidate, path: str, schema: list[dict] | None = None, extra
         .write.mode("overwrite").text(f"{path}/meta")
 
 
+def add_evaluation(spark, path: str, metrics: dict, verdict: str, rationale: str) -> None:
+    """Test metrics and the verdict become part of a saved bundle.  They are
+    a table of their own beside the model, so the bundle is never half written;
+    the last one counts."""
+    seq = len(_evaluations(spark, path)) + 1
+    entry = {**{k: float(v) for k, v in metrics.items() if v is not None}, "verdict": verdict, "rationale": rationale}
+    spark.createDataFrame([(seq, json.dumps(entry))], "seq int, entry string").coalesce(1).write.mode("append").parquet(f"{path}/evaluation")
+
+
+def _evaluations(spark, path: str) -> list:
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.schema("seq int, entry string").parquet(f"{path}/evaluation").orderBy("seq").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
 def load_bundle(spark, path: str) -> dict:
     meta = json.loads(spark.read.text(f"{path}/meta").collect()[0][0])
     absent = [k for k in ("classes", "features", "target", "input_schema") if k not in meta]
     if absent:
         raise DataError(f"{path}: the bundle lacks {absent}.")
+    if added := _evaluations(spark, path):
+        meta["evaluation_metrics"] = json.loads(added[-1].entry)
     meta["model"] = PipelineModel.load(f"{path}/model")
     return meta

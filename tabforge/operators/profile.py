@@ -7,12 +7,14 @@ collected.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.constants import IMBALANCE_RATIO, SPLIT_SIZE_RULE, TRAIN_RULE, VALIDATION_SIZE
+from tabforge.constants import IMBALANCE_RATIO, MAX_GRID_COMBINATIONS, SPLIT_SIZE_RULE, TRAIN_RULE, TUNABLE_PARAMS, VALIDATION_SIZE
 from tabforge.functions.exprs import col, is_numeric_type
 from tabforge.operators import stats
 from tabforge.operators.normalize import detect_id_like
@@ -99,7 +101,7 @@ def prep_recommendations(df: DataFrame, target: str, keys: Sequence[str] = (),
     cats = [c for c in feats if not is_numeric_type(df.schema[c].dataType)]
     agg = df.agg(
         F.count("*").alias("rows"),
-        (F.greatest(*[F.max(col(c).isNull().cast("int")) for c in feats]) > 0).alias("has_missing")
+        F.max(functools.reduce(operator.or_, [col(c).isNull() for c in feats])).alias("has_missing")
         if feats else F.lit(False).alias("has_missing"))
     cc = class_counts(df, target, include_null=True).agg(
         F.max("n").alias("mx"), F.min("n").alias("mn"))
@@ -139,6 +141,19 @@ def split_recommendation(df: DataFrame, target: str) -> DataFrame:
     )
 
 
+def parameter_catalogue(spark) -> DataFrame:
+    """A row per algorithm and parameter that a search may vary, and the
+    largest grid."""
+    rows = [(a, i, p, MAX_GRID_COMBINATIONS) for a, names in TUNABLE_PARAMS.items() for i, p in enumerate(names, 1)]
+    return spark.createDataFrame(rows, "algorithm string, position int, parameter string, max_grid_combinations int")
+
+
+def recommended_search(df: DataFrame, target: str) -> DataFrame:
+    """The recommended algorithm with the parameters that its search may vary."""
+    rec = train_recommendation(df, target)
+    return rec.join(F.broadcast(parameter_catalogue(df.sparkSession)), "algorithm")
+
+
 def train_recommendation(df: DataFrame, target: str) -> DataFrame:
     """rows -> algorithm and whether to tune."""
     s = df.agg(F.count("*").alias("rows"))

@@ -146,10 +146,7 @@ def deploy_stage(verdicts: DataFrame, rationale: str | None = None, remediation=
     b = br.collect()[0]["branch"]
     if b == "do_not_deploy":
         return br, gate.failure_record(verdicts.sparkSession, rationale or verdicts.collect()[0]["rationale"],
-                                       remediation or ["Collect more labelled data",
-                                                       "Revisit feature preparation",
-                                                       "Widen the hyper-parameter search",
-                                                       "Re-check class balance handling"])
+                                       remediation)
     return br, None
 
 

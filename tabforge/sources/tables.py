@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.errors import DataError, ParamError
 from tabforge.functions.exprs import col, parse_number, trim_all
 from tabforge.operators.encode import schema_frame, schema_from_frame
+from tabforge.sources.runlog import RunLog
 
 # FIXED VALUES: text that a CSV field holds for a missing value
 CSV_MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
@@ -64,17 +65,38 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_stage(df: DataFrame, path: str, partition_by: Sequence[str] = (), rows: int | None = None) -> int:
-    """A3/A4: write Parquet and compare the rows that are there with ``rows``, the
-    count of the step before, or with a count of ``df`` where none is given."""
-    writer = df.write.mode("overwrite")
+    """A3/A4: write Parquet and compare what was written with what is there, and
+    with ``rows``, the count of the step before, where it is given.  The rows are
+    counted while they are written (an observed metric) and in the files' footers:
+    ``df`` is computed once."""
+    seen = Observation()
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    there = df.sparkSession.read.parquet(path).count()
-    rows = df.count() if rows is None else rows
-    if there != rows:
-        raise DataError(f"{path}: {rows} rows to write, {there} read back.")
+    there, sent = df.sparkSession.read.parquet(path).count(), seen.get["rows"]
+    if there != sent or rows is not None and rows != sent:
+        raise DataError(f"{path}: {sent if rows is None else rows} rows to write, {sent} written, {there} read back.")
     return there
 
 
+def logged_write(df: DataFrame, path: str, log: RunLog, tool: str, params: dict, rows_before: int | None = None,
+                 summary: str = "") -> int:
+    """Write a step's table and log the step with the rows that were written."""
+    rows = write_stage(df, path)
+    log.step(tool, {**params, "path": path}, rows_before, rows, summary)
+    return rows
+
+
+def continuity_check(spark: SparkSession, path: str, steps: DataFrame, tools: Sequence[str]) -> DataFrame:
+    """C5 as a check row: the table at ``path`` has the rows that the last of the
+    ``tools`` in the log left (``n`` is how many it has).  A step without a row
+    count doesn't count; without any such step the check holds."""
+    last = steps.where(F.col("tool").isin(*tools) & F.col("rows_after").isNotNull()).agg(
+        F.max_by("rows_after", "seq").alias("want"), F.max_by("tool", "seq").alias("tool"))
+    there = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
+    return there.join(last).select(F.lit("row_count").alias("check"), F.col("tool").alias("column_name"), "n",
+                                   F.coalesce(F.col("n") == F.col("want"), F.lit(True)).alias("ok"))
+
+
 def read_stage(spark: SparkSession, path: str, target: str, keys: Sequence[str] = ()) -> DataFrame:
     """A2: a stage's table; it must hold the target and a feature at least."""
     df = load_table(spark, path) if path.endswith((".csv", ".parquet")) else spark.read.parquet(path)
