@@ -42,6 +42,24 @@ IGNORED = {"solver", "n_jobs", "verbose", "warm_start"}
 MAX_TREE_DEPTH = 30
 
 
+class _NoSummary:
+    """Fitted models without their training summary.  It holds the session, which
+    cannot be sent to tasks once it has observed a metric, and is never read here."""
+
+    def _fit(self, dataset):
+        model = super()._fit(dataset)
+        model._java_obj.setSummary(dataset.sparkSession._jvm.scala.Option.apply(None))
+        return model
+
+
+class _PlainLogisticRegression(_NoSummary, LogisticRegression):
+    pass
+
+
+class _PlainRandomForest(_NoSummary, RandomForestClassifier):
+    pass
+
+
 def validate_algorithm(name: str) -> str:
     """The algorithm's own name, whatever case and separators it was given in."""
     found = "_".join(re.findall(r"[a-z0-9]+", str(name).lower()))
@@ -123,7 +141,7 @@ def estimator(algorithm: str, params: dict, n_fit: int, seed: int = DEFAULT_SEED
     if a == "logistic_regression":
         c = float(p.pop("C", 1.0))
         penalty = p.pop("penalty", "l2")
-        est = LogisticRegression(maxIter=int(p.pop("max_iter", 100)), tol=float(p.pop("tol", 1e-4)),
+        est = _PlainLogisticRegression(maxIter=int(p.pop("max_iter", 100)), tol=float(p.pop("tol", 1e-4)),
                                  fitIntercept=bool(p.pop("fit_intercept", True)), standardization=False,
                                  family="binomial", **common)
         if penalty in (None, "none"):
@@ -137,7 +155,7 @@ def estimator(algorithm: str, params: dict, n_fit: int, seed: int = DEFAULT_SEED
         if crit not in ("gini", "entropy"):
             _bad(f"criterion {crit}")
         rate = _sampling_rate(p.pop("max_samples", None), n_fit)
-        est = RandomForestClassifier(numTrees=int(p.pop("n_estimators", 100)), maxDepth=_depth(p.pop("max_depth", None)),
+        est = _PlainRandomForest(numTrees=int(p.pop("n_estimators", 100)), maxDepth=_depth(p.pop("max_depth", None)),
                                      minInstancesPerNode=int(p.pop("min_samples_leaf", 1)),
                                      subsamplingRate=rate, impurity=crit, seed=seed,
                                      bootstrap=bool(p.pop("bootstrap", True)), **common)
