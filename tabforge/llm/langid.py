@@ -188,7 +188,8 @@ def train(docs: DataFrame, order: int = ORDER, docs_per_language: int = DOCS_PER
     models where one would be too large; None if no row has text and language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
     # a few times as many as are wanted, by the id's hash, so that no task ranks a whole language
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = written(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
     cut = F.lit(2.0 ** 64) * F.lit(8.0 * docs_per_language) / F.col("n") - F.lit(2.0 ** 63)
     some = labelled.select("lang", "doc_id").join(sizes, "lang").where(F.xxhash64("doc_id").cast("double") <= cut).select("lang", "doc_id").distinct()
     nth = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
