@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.functions.exprs import col
+from tabforge.session import written
 
 ROC_BUCKETS = 128
 
@@ -84,8 +85,9 @@ def classification_report(df: DataFrame, label: str, pred: str,
 def _score_counts(df: DataFrame, label: str, score: str, positive: str) -> DataFrame:
     is_pos = (col(label).cast("string") == F.lit(positive)).cast("bigint")
     scored = df.where(col(score).isNotNull() & ~F.isnan(col(score).cast("double")))
-    return scored.groupBy(col(score).cast("double").alias("s")).agg(
+    counts = scored.groupBy(col(score).cast("double").alias("s")).agg(
         F.sum(is_pos).alias("pos"), F.sum(1 - is_pos).alias("neg"))
+    return written(counts, "scores")        # read for the bounds, the bucket sums and the points
 
 
 def _cumulative_desc(sc: DataFrame) -> DataFrame:

@@ -290,16 +290,26 @@ def corr_pairs(df: DataFrame, columns: Sequence[str], nulls: dict[str, bool] | N
                ) -> dict[tuple[str, str], float | None]:
     """Pairwise-complete |r| for every pair i<j.
 
-    Columns without nulls share one correlation matrix; pairs touching a column
-    with nulls are masked to the rows where both are present, in chunks of
+    Columns without nulls share one pass, or one correlation matrix where they are
+    many; pairs touching a column with nulls are masked to the rows where both are present, in chunks of
     aggregates that fit whole-stage codegen.
     """
     cols = list(columns)
     if len(cols) < 2:
         return {}
-    nulls = nulls if nulls is not None else null_flags(df, cols)
-    full = _full_corr(df, [c for c in cols if not nulls[c]])
     pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    if nulls is None and len(pairs) + 2 * len(cols) <= 2 * AGG_CHUNK:
+        # few columns: null flags and all moments in one pass or two
+        at = {c: i for i, c in enumerate(cols)}
+        named = [(f"n{i}", F.max(col(c).isNull().cast("int"))) for c, i in at.items()]
+        named += [(f"s{i}", F.stddev_pop(col(c).cast("double"))) for c, i in at.items()]
+        named += [(f"c{at[a]}_{at[b]}", F.covar_pop(col(a).cast("double"), col(b).cast("double"))) for a, b in pairs]
+        got = _run_chunked(df, named)
+        nulls = {c: bool(got[f"n{i}"]) for c, i in at.items()}
+        full = {(a, b): _abs_r(got[f"c{at[a]}_{at[b]}"], got[f"s{at[a]}"], got[f"s{at[b]}"]) for a, b in pairs if not nulls[a] and not nulls[b]}
+    else:
+        nulls = nulls if nulls is not None else null_flags(df, cols)
+        full = _full_corr(df, [c for c in cols if not nulls[c]])
     named: list[tuple[str, object]] = []
     for a, b in pairs:
         if nulls[a] or nulls[b]:
