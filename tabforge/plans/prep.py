@@ -25,6 +25,7 @@ from tabforge.operators.outliers import handle_outliers
 from tabforge.operators.select import filter_by_correlation
 from tabforge.session import cut_lineage
 from tabforge.sources.runlog import RunLog
+from tabforge.sources.tables import continuity_check, logged_write, write_schema
 
 
 @dataclass
@@ -42,9 +43,15 @@ def prepare(df: DataFrame, target: str, keys: Sequence[str] = (), manual_drops:
             outliers: str = "iqr_remove", imputation: str = "median",
             encoding: str = "one_hot_drop_first", correlation: str = "both",
             balance: str = "none", ratio: float = IMBALANCE_RATIO, seed: int = 42,
-            log: RunLog | None = None, count_steps: bool = False, checkpoint: bool = True) -> PrepResult:
+            log: RunLog | None = None, count_steps: bool = False, checkpoint: bool = True, folder: str | None = None) -> PrepResult:
     """Run the preparation stage; ``balance='suggested'`` uses the profile rule.
 
+    With ``folder`` the table is written there before it is encoded (``working``),
+    after selection and balancing (``selected``) and at the end (``cleaned``).  The
+    log gets the rows that were written, counted on the way, and each table
+    must still have them when the next step reads it (C5).  ``count_steps`` counts
+    after every step instead, which takes a scan for each.
+
     The finished table is checkpointed into the shared checkpoint folder, so
     later stages (many actions each) start from it instead of replaying the
     preparation lineage, and a lost executor recomputes from there.
@@ -59,15 +66,23 @@ def prepare(df: DataFrame, target: str, keys: Sequence[str] = (), manual_drops:
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _steps(df, target, keys, manual_drops, outliers, imputation, encoding, correlation, balance, ratio, seed,
-                      log, count_steps, checkpoint)
+                      log, count_steps, checkpoint, folder)
     finally:
         df.unpersist()
 
 
 def _steps(df: DataFrame, target: str, keys: list[str], manual_drops: Sequence[str], outliers: str, imputation: str,
            encoding: str, correlation: str, balance: str, ratio: float, seed: int, log: RunLog, count_steps: bool,
-           checkpoint: bool) -> PrepResult:
+           checkpoint: bool, folder: str | None) -> PrepResult:
     info: dict = {}
+    spark = df.sparkSession
+
+    def stored(name, table, tool, params, before):
+        """The table as it is read back, and its rows, once the log agrees with them."""
+        path = f"{folder}/{name}"
+        rows = logged_write(table, path, log, tool, params, before)
+        checks.require(continuity_check(spark, path, log.steps_frame(spark), [tool]))
+        return spark.read.schema(table.schema).parquet(path), rows
 
     def step(name, params, before, after_df):
         n_after = after_df.count() if count_steps else None
@@ -86,7 +101,10 @@ def _steps(df: DataFrame, target: str, keys: list[str], manual_drops: Sequence[s
 
     df, iinfo = impute(df, imputation, target, keys=keys)
     info["impute"] = iinfo
-    n = step("impute_missing", {"strategy": imputation}, n, df)
+    if folder:
+        df, n = stored("working", df, "impute_missing", {"strategy": imputation}, n)
+    else:
+        n = step("impute_missing", {"strategy": imputation}, n, df)
 
     encoded, einfo = encode_features(df, encoding, target, keys=keys, manual_drops=dropped)
     info["encode"] = {k: v for k, v in einfo.items() if k != "pre_encode"}
@@ -94,7 +112,10 @@ def _steps(df: DataFrame, target: str, keys: list[str], manual_drops: Sequence[s
 
     selected, sinfo = filter_by_correlation(encoded, correlation, target, keys=keys)
     info["select"] = sinfo
-    n = step("filter_by_correlation", {"mode": correlation}, n, selected)
+    if folder and balance == "none":
+        selected, n = stored("selected", selected, "filter_by_correlation", {"mode": correlation}, n)
+    else:
+        n = step("filter_by_correlation", {"mode": correlation}, n, selected)
 
     if balance != "none":
         from tabforge.operators.resample import balance_classes
@@ -105,10 +126,16 @@ def _steps(df: DataFrame, target: str, keys: list[str], manual_drops: Sequence[s
                 .collect()[0]["suggested_balance"]
         selected, binfo = balance_classes(selected, method, target, keys=keys, ratio=ratio, seed=seed)
         info["balance"] = binfo
-        n = step("balance_classes", {"method": method}, n, selected)
-
-    final, schema, feats = finalize(selected, target, keys, einfo, log)
-    if checkpoint:
+        if folder:
+            selected, n = stored("selected", selected, "balance_classes", {"method": method}, n)
+        else:
+            n = step("balance_classes", {"method": method}, n, selected)
+
+    final, schema, feats = finalize(selected, target, keys, einfo, None if folder else log)
+    if folder:
+        final, n = stored("cleaned", final, "finalize_preparation", {"target": target}, n)
+        write_schema(spark, schema, f"{folder}/schema")
+    elif checkpoint:
         final = cut_lineage(final)
     info["features"] = feats
     return PrepResult(final, schema, target, keys, feats, info, log)

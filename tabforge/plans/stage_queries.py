@@ -39,7 +39,7 @@ def row_continuity(spark, d):
 def split_written(spark, d):
     """A4, M2: the split stage's two tables, read back and counted."""
     folder = work_path(spark, "split")
-    stages.save_split(stages.split_stage(fx.fx_high(spark, d).drop("l_returnflag"), "is_high", keys=LK), folder)
+    stages.split_stage(fx.fx_high(spark, d).drop("l_returnflag"), "is_high", keys=LK, folder=folder)
     sides = [spark.read.parquet(f"{folder}/{s}").groupBy("is_high").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(s)) for s in ("train", "test")]
     return sides[0].unionByName(sides[1])
 

@@ -33,8 +33,11 @@ class SplitResult:
 
 def split_stage(df: DataFrame, target: str, keys: Sequence[str] = (), test_size: float | None = None,
                 stratify: bool | None = None, seed: int = DEFAULT_SEED,
-                max_drift: float = MAX_CLASS_DRIFT, log: RunLog | None = None) -> SplitResult:
-    """validate -> recommend -> split -> drift check (raises over the limit)."""
+                max_drift: float = MAX_CLASS_DRIFT, log: RunLog | None = None, folder: str | None = None) -> SplitResult:
+    """validate -> recommend -> split -> drift check (raises over the limit) -> write.
+
+    With ``folder`` the sides are written there as ``train`` and ``test`` and the
+    result reads them from there."""
     log = log or RunLog("split")
     checks.require(checks.quality_checks(df, target, keys=keys, min_rows=MIN_ROWS),
                    only=["non_empty", "min_rows", "binary_target", "numeric_features", "null_free_features"])
@@ -50,7 +53,12 @@ def split_stage(df: DataFrame, target: str, keys: Sequence[str] = (), test_size:
     log.step("validate_split", {"max_class_drift": max_drift}, rec["rows"], rec["rows"], f"max drift {mx:.4f}")
     train = sp.where(F.col("split") == "train").drop("split")
     test = sp.where(F.col("split") == "test").drop("split")
-    return SplitResult(train, test, drift, {"test_size": ts, "stratify": st, "max_drift": mx, "rows": rec["rows"]}, log)
+    result = SplitResult(train, test, drift, {"test_size": ts, "stratify": st, "max_drift": mx, "rows": rec["rows"]}, log)
+    if folder:
+        counts = save_split(result, folder)
+        result.train, result.test = (df.sparkSession.read.schema(side.schema).parquet(f"{folder}/{name}") for name, side in (("train", train), ("test", test)))
+        log.step("finalize_split", {"folder": folder, **counts}, rec["rows"], sum(counts.values()))
+    return result
 
 
 def save_split(sp: SplitResult, path: str) -> dict[str, int]:

@@ -112,7 +112,9 @@ def drop_written(df: DataFrame) -> None:
 @contextlib.contextmanager
 def scratch_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables written inside are deleted at the end, but for those given to the
-    function this yields: write what is wanted of them before."""
+    function this yields: write what is wanted of them before.  The kept ones
+    belong to the scope outside, if there is one."""
+    outside = _scope.get()
     token = _scope.set([])
     kept: list[DataFrame] = []
 
@@ -125,5 +127,7 @@ def scratch_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFr
         for table, path in _scope.get():
             if not any(table is k for k in kept):
                 _delete(spark, path)
+            elif outside is not None:
+                outside.append((table, path))
     finally:
         _scope.reset(token)

@@ -1,4 +1,4 @@
-"""Run log (A7) and stage reports.
+"""Run log (A7).
 
 Control-plane metadata only (one entry per operator call), kept on the
 driver while a stage runs and persisted as append-only Parquet tables.
@@ -51,16 +51,6 @@ class RunLog:
         self.decisions.append((self.stage, len(self.decisions) + 1, issue.strip(),
                                [str(o) for o in options], choice.strip(), rationale.strip(), _now()))
 
-    def last_rows(self, tools) -> int | None:
-        """rows_after of the latest step among ``tools`` (C5 continuity)."""
-        for s in reversed(self.steps):
-            if s[2] in tools and s[5] is not None:
-                return s[5]
-        return None
-
-    def has_step(self, tool: str) -> bool:
-        return any(s[2] == tool for s in self.steps)
-
     def steps_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.steps, STEP_DDL)
 
@@ -73,20 +63,3 @@ class RunLog:
             self.steps_frame(spark).write.mode("append").parquet(f"{folder}/steps")
         if self.decisions:
             self.decisions_frame(spark).write.mode("append").parquet(f"{folder}/decisions")
-
-
-def report(steps: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
-    """A8 as rows (section, item, value): one per step, plus metric rows."""
-    from pyspark.sql import functions as F
-    out = steps.select(
-        F.concat(F.lit("steps:"), F.col("stage")).alias("section"),
-        F.col("tool").alias("item"),
-        F.concat_ws(" ", F.col("summary"),
-                    F.concat(F.lit("("), F.coalesce(F.col("rows_before").cast("string"), F.lit("?")),
-                             F.lit(" -> "), F.coalesce(F.col("rows_after").cast("string"), F.lit("?")),
-                             F.lit(" rows)"))).alias("value"))
-    if metrics is not None:
-        out = out.unionByName(metrics.select(
-            F.lit("metrics").alias("section"), F.col("metric").alias("item"),
-            F.col("value").cast("string").alias("value")))
-    return out

@@ -45,6 +45,20 @@ def test_continuity_looks_at_the_last_counted_step(spark, tmp_path):
     assert not ok(["impute_missing", "drop_columns"]).ok and ok(["encode_features"]).ok
 
 
+def test_prepare_writes_and_checks_its_tables(spark, sf, tmp_path):
+    from tabforge.plans.prep import prepare
+    res = prepare(fx.fx_full(spark, sf), "is_big", keys=LK, manual_drops=["user_id"], folder=str(tmp_path))
+    plain = prepare(fx.fx_full(spark, sf), "is_big", keys=LK, manual_drops=["user_id"], count_steps=True)
+    assert res.features == plain.features and sorted(map(tuple, res.table.collect())) == sorted(map(tuple, plain.table.collect()))
+    rows = {s[2]: s[5] for s in plain.log.steps}
+    logged = {s[2]: s[5] for s in res.log.steps if s[5] is not None}
+    assert logged == {"impute_missing": rows["impute_missing"], "filter_by_correlation": rows["filter_by_correlation"], "finalize_preparation": res.table.count()}
+    steps = res.log.steps_frame(spark)
+    assert validate.prep_checks(spark, f"{tmp_path}/cleaned", f"{tmp_path}/schema", "is_big", LK).where("NOT ok").isEmpty()
+    res.table.limit(3).write.mode("append").parquet(f"{tmp_path}/cleaned")
+    assert not continuity_check(spark, f"{tmp_path}/cleaned", steps, ["finalize_preparation"]).first().ok
+
+
 def test_fitted_preparation(spark, sf, tmp_path):
     raw = fx.fx_full(spark, sf)
     train, test, prep = fitted.leak_free(raw, "is_big", LK, manual_drops=["user_id"], outlier="iqr_cap", balance="undersample")
