@@ -106,7 +106,9 @@ def fit(df: DataFrame, target: str, keys: Sequence[str] = (), manual_drops: Sequ
     df = normalize.integrate(df)
     if target not in df.columns:
         raise DataError(f"Target '{target}' not in columns {df.columns}.")
-    df, dropped = normalize.drop_columns(df, list(manual_drops), target)
+    # id-like columns go before anything is learnt, so no later table needs to have them
+    dropped = normalize.excluded_columns(df.drop(*keys), target, manual_drops)
+    df, dropped = normalize.drop_columns(df, [c for c in dropped if c not in keys], target)
     fences = outliers.fit_fences(df, target, keys=keys) if outlier != "skip" else {}
     fences = {c: f for c, f in fences.items() if f["applies"]}
     if outlier == "iqr_remove":

@@ -46,7 +46,7 @@ def split_written(spark, d):
 
 def fitted_apply(spark, d):
     """Split first, fit on the training side, apply a reloaded preparation to the test side."""
-    _, test, prep = fitted.leak_free(fx.fx_full(spark, d), "is_big", LK, test_size=0.2, manual_drops=["user_id"], correlation="skip", scale=True)
+    _, test, prep = fitted.leak_free(fx.fx_full(spark, d), "is_big", LK, test_size=0.2, correlation="skip", scale=True)
     path = work_path(spark, "prep")
     prep.save(spark, path)
     again = fitted.FittedPrep.load(spark, path)
