@@ -13,8 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.constants import DEFAULT_SEED, MAX_CLASS_DRIFT, MIN_ROWS, VERDICTS
-from tabforge.operators import checks, gate, metrics, models, profile, sampling
+from tabforge.constants import DEFAULT_SEED, MAX_CANDIDATES, MAX_CLASS_DRIFT, MIN_ROWS, VERDICTS
+from tabforge.operators import candidates, checks, gate, metrics, models, profile, sampling
 from tabforge.operators.score import score
 from tabforge.session import cut_lineage
 from tabforge.sources.runlog import RunLog
@@ -81,9 +81,23 @@ class TrainResult:
 def train_stage(train: DataFrame, target: str, keys: Sequence[str] = (), baseline=("logistic_regression",
                 {"C": 1.0, "max_iter": 1000, "random_state": 42}),
                 search=("random_forest", {"n_estimators": [20, 50], "max_depth": [5, 10]}),
-                fixed=None, seed: int = DEFAULT_SEED, log: RunLog | None = None) -> TrainResult:
-    """validate -> recommend -> decision -> baseline -> grid search -> choose best."""
+                fixed=None, seed: int = DEFAULT_SEED, log: RunLog | None = None, folder: str | None = None) -> TrainResult:
+    """validate -> recommend -> decision -> baseline -> grid search -> choose best.
+
+    With ``folder`` every candidate becomes a row of the table ``candidates`` there,
+    beside those of earlier runs; the limit on their number is checked before
+    anything is fitted, and the seat is decided by the whole table."""
     log = log or RunLog("train")
+    spark = train.sparkSession
+    table = f"{folder}/candidates"
+
+    def keep(c: models.Candidate) -> None:
+        reg.add(c)
+        if folder:
+            c.extra["row"] = candidates.append_candidate(spark, table, c.algorithm, c.method, c.params, c.metrics)
+
+    if folder:
+        candidates.next_candidate(spark, table, MAX_CANDIDATES - bool(search))
     models.validate_training_data(train, target, keys)
     rec = profile.train_recommendation(train, target).collect()[0].asDict()
     log.decision("algorithm choice", [baseline[0], search[0] if search else "none"],
@@ -91,16 +105,18 @@ def train_stage(train: DataFrame, target: str, keys: Sequence[str] = (), baselin
                  f"rows={rec['rows']}; rule suggests {rec['algorithm']} (tune={rec['tune']})")
     reg = models.CandidateRegistry()
     c = models.train_baseline(train, target, baseline[0], baseline[1], keys=keys, seed=seed, cand_id=reg.next_id())
-    reg.add(c)
+    keep(c)
     log.step("train_baseline", {"algorithm": c.algorithm}, rec["rows"], rec["rows"],
              f"val F1 {c.metrics['validation_f1_weighted']:.4f}")
     if search:
         t = models.tune(train, target, search[0], search[1], fixed=fixed or {"random_state": seed}, keys=keys,
                         seed=seed, cand_id=reg.next_id())
-        reg.add(t)
+        keep(t)
         log.step("tune_hyperparameters", {"algorithm": t.algorithm, "grid": search[1]}, rec["rows"], rec["rows"],
                  f"cv {t.metrics['best_cv_score']:.4f}, val F1 {t.metrics['validation_f1_weighted']:.4f}")
     best = reg.best()
+    if folder:      # an earlier run's candidate may hold the seat; of this run's the best one is returned
+        log.step("select_candidate", {"seat": candidates.promote_row(candidates.read_candidates(spark, table))["candidate_id"]}, None, None)
     log.step("finalize_training", {"best": best.id}, rec["rows"], rec["rows"])
     return TrainResult(reg, best, rec, log)
 
@@ -128,8 +144,9 @@ def predictions(c: models.Candidate, df: DataFrame) -> DataFrame:
 
 
 def evaluate_stage(c: models.Candidate, train: DataFrame, test: DataFrame, verdict: str | None = None,
-                   rationale: str | None = None, log: RunLog | None = None) -> EvalResult:
-    """metrics x {train, test} -> confusion + ROC on test -> signals -> verdict."""
+                   rationale: str | None = None, log: RunLog | None = None, bundle: str | None = None) -> EvalResult:
+    """metrics x {train, test} -> confusion + ROC on test -> signals -> verdict.  Test
+    metrics and verdict are added to the promoted model at ``bundle``."""
     log = log or RunLog("evaluate")
     ptr, pte = predictions(c, train), cut_lineage(predictions(c, test))
     m_tr = metrics.weighted_metrics(ptr, "actual", "predicted", c.classes)
@@ -144,6 +161,8 @@ def evaluate_stage(c: models.Candidate, train: DataFrame, test: DataFrame, verdi
     v = verdict or sug
     rec = gate.record_verdict(sig, v, rationale or f"Threshold rule applied to test F1 and train-test gap: {sug}")
     log.step("issue_deploy_verdict", {"verdict": v}, None, None)
+    if bundle:
+        models.add_evaluation(test.sparkSession, bundle, {**m_te.first().asDict(), "auc": auc}, rec.first()["verdict"], rec.first()["rationale"])
     return EvalResult(mt, conf, roc, auc, sig, rec, log)
 
 

@@ -165,6 +165,24 @@ def test_good_outputs_pass_all_checks(spark, sf, tmp_path):
     assert [r.section for r in report] == ["decisions"] + ["verdict"] * 6
 
 
+def test_train_and_evaluate_leave_tables(spark, sf, tmp_path):
+    from tabforge.plans.stages import evaluate_stage, train_stage
+    table = fx.fx_high(spark, sf).drop("l_returnflag")
+    sides = split_stage(table, "is_high", keys=LK, folder=str(tmp_path / "split"))
+    assert sides.train.count() + sides.test.count() == table.count() and sides.log.steps[-1][2] == "finalize_split"
+    done = train_stage(sides.train, "is_high", keys=LK, baseline=("logistic_regression", {"C": 1.0, "max_iter": 10}), search=None, folder=str(tmp_path))
+    rows = C.read_candidates(spark, str(tmp_path / "candidates")).collect()
+    assert [(r.candidate_id, r.method) for r in rows] == [("candidate_1", "baseline")] and done.best.extra["row"] == "candidate_1"
+    promote(done.best, str(tmp_path / "bundle"), [])
+    found = evaluate_stage(done.best, sides.train, sides.test, bundle=str(tmp_path / "bundle"))
+    kept = models.load_bundle(spark, str(tmp_path / "bundle"))["evaluation_metrics"]
+    assert kept["verdict"] == found.verdict.first().verdict and kept["auc"] == pytest.approx(found.auc)
+    for _ in range(4):
+        C.append_candidate(spark, str(tmp_path / "candidates"), "rule", "baseline", {}, {})
+    with pytest.raises(ParamError):
+        train_stage(sides.train, "is_high", keys=LK, search=None, folder=str(tmp_path))
+
+
 def test_wide_categories(spark):
     df = spark.createDataFrame([(1, "b", "y"), (2, "a", None), (3, None, "x"), (4, "c", "x"), (5, "a", "y")], "id int, p string, q string")
     index = wide_encode.category_index(df, ["q", "p"], "one_hot_drop_first")
