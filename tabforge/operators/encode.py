@@ -123,8 +123,8 @@ def schema_from_frame(df: DataFrame) -> list[dict]:
 
 # --------------------------------------------------------------- label index
 def label_classes(df: DataFrame, target: str) -> list[str]:
-    """Sorted distinct non-null labels as text."""
-    return stats.sorted_categories(df, [target])[target]
+    """Sorted distinct non-null labels as text (F5); too many raise."""
+    return stats.label_values(df.select(col(target)))
 
 
 def label_index(target_col, classes: Sequence[str]):

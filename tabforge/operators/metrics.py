@@ -14,7 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabforge.constants import MAX_CLASSES
+from tabforge.errors import DataError
 from tabforge.functions.exprs import col
+from tabforge.operators.stats import label_values
 from tabforge.session import written
 
 ROC_BUCKETS = 128
@@ -25,8 +28,9 @@ def confusion(df: DataFrame, label: str, pred: str, classes: Sequence[str] | Non
     counts = df.groupBy(col(label).cast("string").alias("actual"),
                         col(pred).cast("string").alias("predicted")).agg(F.count("*").alias("n"))
     if classes is None:
-        got = counts.select("actual").union(counts.select("predicted")).distinct().collect()
-        classes = sorted(r[0] for r in got if r[0] is not None)
+        classes = label_values(counts.select("actual").union(counts.select("predicted")))
+    if len(classes) > MAX_CLASSES:      # the grid of pairs is broadcast
+        raise DataError(f"{label} has more than {MAX_CLASSES} classes.")
     spark = df.sparkSession
     grid = spark.createDataFrame([(a, p) for a in classes for p in classes], "actual string, predicted string")
     return (F.broadcast(grid).join(counts, ["actual", "predicted"], "left")

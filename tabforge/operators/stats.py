@@ -21,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabforge.constants import MAX_CLASSES
 from tabforge.errors import DataError
 from tabforge.functions.exprs import col, is_numeric_type
 
@@ -246,6 +247,16 @@ def sorted_categories(df: DataFrame, columns: Sequence[str], max_categories: int
     return {c: sorted(v) for c, v in got.items()}
 
 
+def label_values(labels: DataFrame, most: int = MAX_CLASSES) -> list[str]:
+    """Sorted distinct non-null values of a one-column table of labels.  More than
+    ``most`` raise; no more than that come to the driver."""
+    name = labels.columns[0]
+    rows = labels.select(col(name).cast("string").alias("v")).where("v IS NOT NULL").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise DataError(f"{name} has more than {most} classes.")
+    return sorted(r.v for r in rows)
+
+
 # ------------------------------------------------------------- correlation
 def pearson(a, b):
     """Pearson r as an aggregate expression; NULL when either side is constant."""
@@ -333,7 +344,9 @@ def target_codes(df: DataFrame, target: str):
     dt = df.schema[target].dataType
     if is_numeric_type(dt):
         return df, col(target).cast("double")
-    labels = sorted_categories(df, [target])[target]
+    labels = label_values(df.select(col(target)))
+    if not labels:
+        return df, F.lit(None).cast("double")
     mapping = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(float(i)))])
     return df, mapping[col(target).cast("string")]
 

@@ -162,6 +162,14 @@ i AS (SELECT o, v, row_number() OVER (ORDER BY o, encode(v)) - 1 AS p FROM v)
 SELECT c_custkey, (SELECT count(*) FROM i) AS size, a.p || ',' || b.p AS positions
 FROM customer JOIN i a ON a.o = 0 AND a.v = c_name JOIN i b ON b.o = 1 AND b.v = c_mktsegment"""
 
+VALIDATION_SPLIT = with_fx("fx_high", f"""
+SELECT {K}, is_high, CASE WHEN rk < alloc.n_cut THEN 'fit' ELSE 'validation' END AS part
+FROM r JOIN alloc ON CAST(r.is_high AS VARCHAR) = alloc.cls""", _strat_alloc(0.2))
+
+COERCE_STRICT = with_fx("fx_dirty", f"""
+SELECT {K}, round(CAST({clean('qty_text')} AS DOUBLE), 6) AS qty_text, {clean('"Status "', '"Status"')} FROM fx""")
+
 ORACLE_SQL = {"row_continuity": ROW_CONTINUITY, "split_written": SPLIT_WRITTEN, "fitted_apply": FITTED_APPLY, "prep_full_log": PREP_FULL_LOG, "candidate_seat": CANDIDATE_SEAT,
               "failure_report": FAILURE_REPORT, "stage_failures": STAGE_FAILURES, "run_report": RUN_REPORT, "evaluation_context": EVALUATION_CONTEXT,
-              "schema_summary": SCHEMA_SUMMARY, "recommended_search": RECOMMENDED_SEARCH, "wide_categories": WIDE_CATEGORIES}
+              "schema_summary": SCHEMA_SUMMARY, "recommended_search": RECOMMENDED_SEARCH, "wide_categories": WIDE_CATEGORIES,
+              "validation_split": VALIDATION_SPLIT, "coerce_strict": COERCE_STRICT}

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from tabforge import fixtures as fx
 from tabforge.fixtures import LINEITEM_KEYS as LK
-from tabforge.operators import candidates, fitted, gate, metrics, profile, sampling
+from tabforge.operators import candidates, fitted, gate, metrics, models, profile, sampling
 from tabforge.operators.encode import build_input_schema, encode_features, schema_frame
-from tabforge.operators.normalize import integrate
+from tabforge.operators.normalize import coerce_numeric_strict, integrate
 from tabforge.operators.wide_encode import category_index, sparse_dummies
 from tabforge.plans import stages, validate
 from tabforge.plans.prep import prepare
@@ -147,5 +147,18 @@ def wide_categories(spark, d):
     return rows.select("c_custkey", "size", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
 
 
+def validation_split(spark, d):
+    """H7: the stratified fifth that training holds back."""
+    fit, held = models.validation_split(fx.fx_high(spark, d), "is_high", LK, 42)
+    return fit.withColumn("part", F.lit("fit")).unionByName(held.withColumn("part", F.lit("validation"))).select(*LK, "is_high", "part")
+
+
+def coerce_strict(spark, d):
+    """Text features that are numbers throughout."""
+    df = integrate(fx.fx_dirty(spark, d).drop("mixed_text", "rf_dirty"))
+    out = coerce_numeric_strict(df, "Status", LK)
+    return out.withColumn("qty_text", F.round("qty_text", 6))
+
+
 QUERIES = {f.__name__: f for f in (row_continuity, split_written, fitted_apply, prep_full_log, candidate_seat, failure_report, stage_failures, evaluation_context,
-                                    schema_summary, recommended_search, wide_categories)} | {"run_report": report_rows}
+                                    schema_summary, recommended_search, wide_categories, validation_split, coerce_strict)} | {"run_report": report_rows}

@@ -58,6 +58,18 @@ def test_split_of_equal_rows(spark, monkeypatch):
     assert {r.t: r["count"] for r in few.groupBy("t").count().collect()} == {"a": 100_000, "b": 100_000}
 
 
+def test_too_many_classes_are_refused(spark):
+    from tabforge.errors import DataError
+    from tabforge.operators import encode, metrics
+    df = spark.range(2000).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("t"), F.col("id").cast("double").alias("x"))
+    for call in (lambda: encode.label_classes(df, "t"), lambda: stats.target_corr(df, ["x"], "t"), lambda: metrics.confusion(df, "t", "t")):
+        with pytest.raises(DataError):
+            call()
+    few = df.where("x < 3").union(spark.createDataFrame([(None, 1.0)], "t string, x double"))
+    assert encode.label_classes(few, "t") == ["c0", "c1", "c2"]
+    assert stats.target_corr(few.where("t IS NULL"), ["x"], "t") == {"x": None}
+
+
 def test_hash_rank_in_two_levels(spark, monkeypatch):
     monkeypatch.setattr(sampling, "ROWS_PER_BUCKET", 2)
     df = spark.range(500).select("id", (F.col("id") % 3).cast("string").alias("g"))
