@@ -36,7 +36,7 @@ other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -215,7 +215,8 @@ def prefix_entries(rows: DataFrame) -> DataFrame:
 
 def _in_two(entries: DataFrame) -> DataFrame:
     """Entries whose shingle stands in two classes or more."""
-    shared = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
+    # all columns are used on both sides, so that what the entries are made of is exchanged once
+    shared = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("n").alias("n")).where("low != high AND n IS NOT NULL")
     return entries.join(shared.select("token"), "token").select("token", "node", "n")
 
 
@@ -227,11 +228,12 @@ def core(entries: DataFrame) -> DataFrame:
     drop_written(first)
     left = now.count()
     for _ in range(ROUNDS):
-        keep = now.groupBy("node", "n").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= _needed())
-        last, now = now, written(_in_two(now.join(keep.select("node"), "node", "left_semi")), "entries")
+        # a class has no more entries than its prefix
+        keep = now.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("node"))).where(F.col("k") >= _needed()).select("token", "node", "n")
+        last, now = now, written(_in_two(keep), "entries")
         drop_written(last)
         before, left = left, now.count()
-        if left > 0.98 * before:
+        if left > 0.9 * before:     # another round costs more than the few entries it would spare the next steps
             break
     return now
 
@@ -283,9 +285,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` (least id of the component),
     ``text_hash`` and ``component`` (a key of the component; NULL for an empty
     set) for every row."""
+    with scratch_tables(docs.sparkSession) as keep:
+        return _components(docs, keep)
+
+
+def _components(docs: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), _text_key(text).alias("mark"), text.alias("text"))
-    sets = written(read_sets(rows), "sets")
+    sets = keep(written(read_sets(rows), "sets"))
     groups = components(candidate_edges(core(prefix_entries(rows))))
     classes = written(sets.where("n > 0").groupBy("cls", "n").agg(F.min(F.struct("id", "mark")).alias("first"), F.min("id").alias("least")), "classes")
     members = written(classes.withColumn("node", _low_long(F.col("cls"))).join(groups, "node").select("cls", "n", "first", "root"), "members")
@@ -293,7 +300,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     linked = components(links).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
     of_class = classes.join(linked, "cls", "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp"))
     least = of_class.groupBy("comp").agg(F.min("least").alias("component_id"))
-    found = written(of_class.join(least, "comp").select("cls", "comp", "component_id"), "components")
+    found = keep(written(of_class.join(least, "comp").select("cls", "comp", "component_id"), "components"))
     return sets.select("id", "mark", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(found, "cls", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.col("mark").alias("text_hash"), F.col("comp").alias("component"))
