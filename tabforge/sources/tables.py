@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.errors import DataError, ParamError
-from tabforge.functions.exprs import col, parse_number, trim_all
+from tabforge.functions.exprs import col, parse_trimmed, trim_all
 from tabforge.operators.encode import schema_frame, schema_from_frame
 from tabforge.sources.runlog import RunLog
 
@@ -22,6 +22,8 @@ from tabforge.sources.runlog import RunLog
 CSV_MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
                "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 _INTEGER = r"^[+-]?\d{1,18}$"
+_DIGITS = r"\A[+-]?\d{1,18}\z"       # an integer that is a number for certain
+_BOOLEAN, _WHOLE, _NUMBER = 1, 2, 4
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -31,19 +33,20 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     if not raw.columns:
         raise DataError(f"{path} has no columns.")
     text = raw.select(*[F.when(~col(c).isin(*CSV_MISSING), col(c)).alias(c) for c in raw.columns])
-    fits = []
-    for i, c in enumerate(raw.columns):
-        v = trim_all(col(c))
-        fits += [F.count(col(c)).alias(f"n{i}"), F.count_if(v.isin("True", "False", "TRUE", "FALSE", "true", "false")).alias(f"b{i}"),
-                 F.count_if(v.rlike(_INTEGER)).alias(f"i{i}"), F.count(parse_number(v)).alias(f"d{i}")]
-    row = text.agg(F.count(F.lit(1)).alias("rows"), *fits).first()
-    if not row.rows:
+    # a row per value, so that the code does not grow with the columns; bits of what a value reads as, shared by all of a column
+    v = F.col("v")
+    reads = (F.when(v.isin("True", "False", "TRUE", "FALSE", "true", "false"), _BOOLEAN).when(v.rlike(_DIGITS), _WHOLE | _NUMBER)
+             .otherwise(F.when(v.rlike(_INTEGER), _WHOLE).otherwise(0) + F.when(parse_trimmed(v).isNotNull(), _NUMBER).otherwise(0)))
+    places = [str(i) for i in range(len(raw.columns))]
+    tall = text.select(*[trim_all(col(c)).alias(i) for i, c in zip(places, raw.columns)]).unpivot([], places, "i", "v")
+    found = {int(r.i): r for r in tall.groupBy("i").agg(F.count("v").alias("n"), F.bit_and(F.when(F.col("v").isNotNull(), reads)).alias("bits")).collect()}
+    if not found:
         raise DataError(f"{path} has no rows.")
     out = []
     for i, c in enumerate(raw.columns):
-        n, v = row[f"n{i}"], trim_all(col(c))
-        typed = (v.cast("boolean") if n and row[f"b{i}"] == n else v.cast("bigint") if n and row[f"i{i}"] == n
-                 else parse_number(v) if row[f"d{i}"] == n else col(c))
+        n, bits, v = found[i].n, found[i].bits, trim_all(col(c))
+        typed = (v.cast("boolean") if n and bits & _BOOLEAN else v.cast("bigint") if n and bits & _WHOLE
+                 else parse_trimmed(v) if not n or bits & _NUMBER else col(c))
         out.append(typed.alias(c))
     return text.select(*out)
 
