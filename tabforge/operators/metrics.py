@@ -24,9 +24,12 @@ ROC_BUCKETS = 128
 
 
 def confusion(df: DataFrame, label: str, pred: str, classes: Sequence[str] | None = None) -> DataFrame:
-    """(actual, predicted, n) for every class pair, zero cells included."""
-    counts = df.groupBy(col(label).cast("string").alias("actual"),
-                        col(pred).cast("string").alias("predicted")).agg(F.count("*").alias("n"))
+    """(actual, predicted, n) for every class pair, zero cells included.
+
+    The pairs are counted once, in one pass over ``df``; the labels and all that is
+    made of the table are read from the written counts."""
+    counts = written(df.groupBy(col(label).cast("string").alias("actual"),
+                                col(pred).cast("string").alias("predicted")).agg(F.count("*").alias("n")), "confusion")
     if classes is None:
         classes = label_values(counts.select("actual").union(counts.select("predicted")))
     if len(classes) > MAX_CLASSES:      # the grid of pairs is broadcast
