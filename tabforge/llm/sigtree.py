@@ -215,9 +215,10 @@ def prefix_entries(rows: DataFrame) -> DataFrame:
 
 def _in_two(entries: DataFrame) -> DataFrame:
     """Entries whose shingle stands in two classes or more."""
-    # all columns are used on both sides, so that what the entries are made of is exchanged once
-    shared = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("n").alias("n")).where("low != high AND n IS NOT NULL")
-    return entries.join(shared.select("token"), "token").select("token", "node", "n")
+    # dealt by shingle once, for the counts and the join: all columns are used on both sides, so Spark reuses the exchange
+    dealt = entries.repartition("token")
+    shared = dealt.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("n").alias("n")).where("low != high AND n IS NOT NULL")
+    return dealt.join(shared.select("token"), "token").select("token", "node", "n")
 
 
 def core(entries: DataFrame) -> DataFrame:

@@ -207,3 +207,17 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert C.run(spark, str(tmp_path)).collect() == []
+
+
+def test_entries_are_exchanged_once_to_find_shared_shingles(spark):
+    rows = [(t, n, 10) for n in range(40) for t in range(n, n + 6)] + [(1000 + n, n, 10) for n in range(40)] + [(5000, 3, 10), (5000, 3, 10)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = J._in_two(written(spark.createDataFrame(rows, "token long, node long, n long"), "entries"))
+        got = sorted(map(tuple, out.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted(r for r in rows if 0 < r[0] < 44)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("Exchange hashpartitioning") == 2
