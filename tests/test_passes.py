@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tabforge.functions.exprs import trim_all
 from tabforge.operators import gate, metrics, sampling, stats
 
 
@@ -56,3 +57,12 @@ def test_ranks_of_brackets_with_ties_and_extremes(spark):
     assert stats._ranked(df, targets) == {0: -5.0, 1: 0.0, 2: 1.5, 5: math.inf, 6: 3.0}
     q = stats.exact_quantiles(df, ["a b"], [0.25])["a b"]
     assert q == [pytest.approx(-3.75)]
+
+
+def test_text_is_trimmed_without_a_pattern_unless_it_ends_in_a_line_end(spark):
+    texts = [" a b\t\r\n", "", None, "   ", "x \x85", "x   ", "x\t  ", "x  \n", " ", " \x85", "x\x85 y", "é  \x85\x85"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(trim_all(F.col("t")).alias("out"), F.regexp_replace(F.btrim("t", F.lit(" \t\n\x0b\f\r")), r"\s+(?=[\x85  ]\z)", "").alias("by_pattern"))
+    assert all(r.out == r.by_pattern for r in got.collect())
+    plan = df.select(trim_all(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("CASE WHEN") < plan.index("regexp_replace")
