@@ -81,10 +81,11 @@ def require(checks: DataFrame, only: Sequence[str] | None = None) -> None:
         raise DataError("; ".join(f"{r['check']} failed ({r['column_name'] or ''}: {r['n']})" for r in bad))
 
 
-def require_binary_target(df: DataFrame, target: str) -> int:
+def require_binary_target(df: DataFrame, target: str, classes: int | None = None) -> int:
+    """``classes``: how many there are, where they have been counted already."""
     if target not in df.columns:
         raise DataError(f"Target '{target}' not in columns {df.columns}.")
-    n = df.agg(F.count_distinct(col(target))).collect()[0][0]
+    n = df.agg(F.count_distinct(col(target))).collect()[0][0] if classes is None else classes
     if n != 2:
         raise DataError(f"Binary classification requires exactly 2 classes, found {n}.")
     return n
